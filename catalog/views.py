@@ -183,16 +183,16 @@ def centroids(spark, d):
     return means, -0.5 * (means * means).sum(axis=1)
 
 
-def digest(col: str = "features") -> list[Column]:
+def digest(col: str = "features", digits: int = 5) -> list[Column]:
     """Scalars that pin down a vector: length, sum, position-weighted sum, range."""
     weighted = F.transform(F.col(col), lambda x, i: x * (i + 1))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return [
         F.size(col).cast("bigint").alias("v_len"),
-        F.round(total(F.col(col)), 5).alias("v_sum"),
-        F.round(total(weighted), 4).alias("v_wsum"),
-        F.round(F.array_min(col), 6).alias("v_min"),
-        F.round(F.array_max(col), 6).alias("v_max"),
+        F.round(total(F.col(col)), digits).alias("v_sum"),
+        F.round(total(weighted), digits - 1).alias("v_wsum"),
+        F.round(F.array_min(col), digits + 1).alias("v_min"),
+        F.round(F.array_max(col), digits + 1).alias("v_max"),
     ]
 
 
@@ -310,7 +310,7 @@ def normal(pos: str, *parts: str, seed) -> str:
     return f"({r} * CASE WHEN ({pos}) % 2 = 0 THEN cos({a}) ELSE sin({a}) END)"
 
 
-def sql_digest(col: str = "features") -> str:
-    return f"""CAST(len({col}) AS BIGINT) AS v_len, round(list_sum({col}), 5) AS v_sum,
-        round(list_sum(list_transform({col}, lambda x, i: x * i)), 4) AS v_wsum,
-        round(list_min({col}), 6) AS v_min, round(list_max({col}), 6) AS v_max"""
+def sql_digest(col: str = "features", digits: int = 5) -> str:
+    return f"""CAST(len({col}) AS BIGINT) AS v_len, round(list_sum({col}), {digits}) AS v_sum,
+        round(list_sum(list_transform({col}, lambda x, i: x * i)), {digits - 1}) AS v_wsum,
+        round(list_min({col}), {digits + 1}) AS v_min, round(list_max({col}), {digits + 1}) AS v_max"""

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -108,51 +108,52 @@ def confusion(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def classification_metrics(pred: DataFrame) -> DataFrame:
-    """Precision, recall and F1 per label, and weighted by label frequency.
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def metrics_per_label(pred: DataFrame) -> DataFrame:
+    """Support, precision, recall and F1 of every label.
 
     Works on the confusion counts: each cell adds to the row total of its
-    label and to the column total of its prediction. The row ``label`` = null
-    holds the weighted metrics and the accuracy.
+    label and to the column total of its prediction.
     """
-    cells = confusion(pred)
-    sides = cells.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("label").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
-                F.struct(F.col("prediction").alias("label"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")),
-            )
-        ).alias("s"),
-        F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("hit"),
-    ).select("s.*", "hit")
+    zero = F.lit(0).cast("bigint")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero)
+
+    def side(column: str, support: Column, predicted: Column, tp: Column) -> Column:
+        return F.struct(
+            F.col(column).alias("label"), support.alias("support"),
+            predicted.alias("predicted"), tp.alias("tp"),
+        )
+
+    sides = confusion(pred).select(
+        F.inline(
+            F.array(side("label", F.col("n"), zero, hit), side("prediction", zero, F.col("n"), zero))
+        )
+    )
     counts = sides.groupBy("label").agg(
-        F.sum("support").alias("support"),
-        F.sum("predicted").alias("predicted"),
-        # every hit cell was seen twice, once per side
-        (F.sum("hit") / 2).alias("tp"),
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "tp")]
     )
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    per_label = counts.select(
+    rates = counts.select(
         "label",
         "support",
         "tp",
-        ratio(F.col("tp"), F.col("predicted")).alias("precision"),
-        ratio(F.col("tp"), F.col("support")).alias("recall"),
-    ).withColumn(
-        "f1",
-        ratio(
-            2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")
-        ),
+        _ratio(F.col("tp"), F.col("predicted")).alias("precision"),
+        _ratio(F.col("tp"), F.col("support")).alias("recall"),
     )
-    mean = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c)
-    overall = per_label.agg(
-        F.lit(None).cast("int").alias("label"),
-        F.sum("support").alias("support"),
-        mean("precision"),
-        mean("recall"),
-        mean("f1"),
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
+    p, r = F.col("precision"), F.col("recall")
+    return rates.withColumn("f1", _ratio(2 * p * r, p + r))
+
+
+def classification_metrics(pred: DataFrame) -> DataFrame:
+    """Accuracy, and precision, recall and F1 weighted by label frequency."""
+    total = F.sum("support")
+    return metrics_per_label(pred).agg(
+        total.alias("support"),
+        (F.sum("tp") / total).alias("accuracy"),
+        *[
+            (F.sum(F.col(c) * F.col("support")) / total).alias(c)
+            for c in ("precision", "recall", "f1")
+        ],
     )
-    return per_label.select(
-        "label", "support", "precision", "recall", "f1", F.lit(None).cast("double").alias("accuracy")
-    ).unionByName(overall)
