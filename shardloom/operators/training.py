@@ -200,7 +200,10 @@ def train_logistic(
         F.map_from_entries(F.collect_list(F.struct("label", "_s"))).alias("of"),
     )
     packed = cells.groupBy(by).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "t", "of"))).alias("_cells")
+        F.array_sort(
+            F.collect_list(F.struct("pos", "t", "of")),
+            lambda a, b: a.getField("pos") - b.getField("pos"),
+        ).alias("_cells")
     )
     intercept = F.get("_cells", F.lit(0))
     shaped = packed.select(
