@@ -14,7 +14,9 @@ from shardloom.sources.messages import (
 )
 from shardloom.streaming import training as K
 
-from .views import hash60, requests, samples, with_views
+from .views import hash60, normal, requests, samples, table, with_views
+
+SIGMA = PrivacyConfig(epsilon=50.0).sigma
 
 
 def _topic(spark, d):
@@ -30,8 +32,6 @@ def _topic(spark, d):
 
 def _resources(spark, d):
     """Loads of participants 0..9 from the share of their users' events."""
-    from .views import table
-
     share = lambda kind: F.lit(100.0) * F.avg((F.col("event_type") == kind).cast("int"))
     return (
         table(spark, d, "events")
@@ -84,10 +84,10 @@ def k5(spark, d):
 
 
 def k6(spark, d):
-    """Several batches, with noise; the newest model is the global one."""
-    path = _run(spark, d, PrivacyConfig(), files_per_batch=2)
+    """The global model after a noised batch."""
+    path = _run(spark, d, PrivacyConfig(epsilon=50.0))
     rows = K.global_model(spark, path)
-    return rows.select("pos", F.isnan("value").alias("is_nan"))
+    return rows.select("pos", F.round("value", 5).alias("value"))
 
 
 def k7(spark, d):
@@ -188,7 +188,12 @@ ORACLE = {
         0.0::DOUBLE AS privacy_spent FROM chosen""",
         "sample_cells", **_SELECT,
     ),
-    "k6_update_global_model": "SELECT CAST(unnest(range(640)) AS INTEGER) AS pos, false AS is_nan",
+    "k6_update_global_model": with_views(
+        """SELECT CAST(i AS INTEGER) AS pos, round(sum(w + z) / count(*), 5) AS value FROM noised GROUP BY 1""",
+        "sample_cells", **_SELECT,
+        noised=f"""SELECT g, label * 64 + pos AS i, w, {SIGMA!r}::DOUBLE * {normal('label * 64 + pos', 'g', seed='42|0')} AS z
+        FROM (SELECT d.g, d.label, d.pos, -d.v / m.norm AS w FROM graded d JOIN norms m ON m.g = d.g WHERE d.pos >= 0)""",
+    ),
     "k7_budget_across_batches": with_views(
         """SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_updates, count(*) * 0.5::DOUBLE AS epsilon,
         count(*) * 0.5::DOUBLE AS spent FROM chosen""",

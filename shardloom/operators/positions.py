@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 # Up to this many rows one task may order a whole table.
 ROWS_PER_CELL = 100_000
+# A larger table is cut into at least so many cells, to spread the ordering.
+MIN_CELLS = 32
 MAX_CELLS = 4096
 # Sampled keys per cell: the driver sees at most MAX_CELLS times this many.
 SAMPLED_PER_CELL = 64
@@ -52,29 +54,48 @@ def _literal_array(values: Sequence, type_name: str) -> Column:
 def count_reached(df: DataFrame, order_by: Sequence[str], bounds: Sequence[tuple]) -> Column:
     """How many of the sorted ``bounds`` are at or below the row's key.
 
-    A binary search written as a fold over the step sizes: each row does
-    log2(len(bounds)) comparisons inside the JVM and nothing is shuffled.
+    A binary search written as a fold over the step sizes: log2(len(bounds))
+    comparisons a row inside the JVM, and nothing is shuffled. Bounds may be
+    prefixes of the key.
     """
     n = len(bounds)
     if n == 0:
         return F.lit(0)
+    order_by = list(order_by)[: len(bounds[0])]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     arrays = [_literal_array([b[j] for b in bounds], types[c]) for j, c in enumerate(order_by)]
+    steps = F.array(*[F.lit(1 << p) for p in range(n.bit_length() - 1, -1, -1)])
 
-    def at(i: Column) -> Column:
-        fields = [F.get(a, i).alias(f"k{j}") for j, a in enumerate(arrays)]
-        return fields[0] if len(fields) == 1 else F.struct(*fields)
-
-    own = [F.col(c).alias(f"k{j}") for j, c in enumerate(order_by)]
-    key = F.col(order_by[0]) if len(own) == 1 else F.struct(*own)
-    steps = [1 << p for p in range(n.bit_length() - 1, -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda done, step: F.when(
-            (done + step <= F.lit(n)) & (key >= at(done + step - 1)), done + step
-        ).otherwise(done),
-    )
+    def packed(values: list[Column]) -> Column:
+        if len(values) == 1:
+            return values[0]
+        return F.struct(*[v.alias(f"k{j}") for j, v in enumerate(values)])
+
+    def search(own: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda done, step: F.when(
+                (done + step <= F.lit(n))
+                & (own >= packed([F.get(a, done + step - 1) for a in arrays])),
+                done + step,
+            ).otherwise(done),
+        )
+
+    # The one-element array makes the key a lambda variable: a key that is an
+    # md5 is computed once a row, not once a comparison.
+    return F.get(F.transform(F.array(packed([F.col(c) for c in order_by])), search), F.lit(0))
+
+
+def hashed_cell(df: DataFrame, key: str) -> Column:
+    """Cell of a 60-bit random order key: its leading bits.
+
+    Hashes are spread evenly, so no sampling is needed; the number of cells
+    follows the shuffle width.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(14, max(6, (8 * width).bit_length() - 1))
+    return F.shiftright(F.col(key), 60 - bits).cast("int")
 
 
 def sampled_bounds(
@@ -84,15 +105,20 @@ def sampled_bounds(
 
     Two passes over the key columns only. The sample that reaches the driver
     is bounded by ``MAX_CELLS * SAMPLED_PER_CELL`` keys, whatever the table.
+    Bounds are cut to the shortest prefix of the key that tells them apart.
     """
     keys = df.select(*order_by)
     n = keys.count()
-    cells = min(MAX_CELLS, math.ceil(n / rows_per_cell))
-    if cells <= 1:
+    if n <= rows_per_cell:
         return n, []
+    cells = min(MAX_CELLS, max(MIN_CELLS, math.ceil(n / rows_per_cell)))
     fraction = min(1.0, cells * SAMPLED_PER_CELL / n)
     sample = sorted(tuple(r) for r in keys.sample(False, fraction, seed=17).collect())
     picks = {sample[i * len(sample) // cells] for i in range(1, cells)} if sample else set()
+    for width in range(1, len(order_by) + 1):
+        prefixes = {p[:width] for p in picks}
+        if len(prefixes) == len(picks):
+            return n, sorted(prefixes)
     return n, sorted(picks)
 
 
@@ -164,6 +190,7 @@ def keys_at(
     order_by: Sequence[str],
     positions,
     rows_per_cell: int = ROWS_PER_CELL,
+    cell: Column | None = None,
 ) -> tuple[int, list[tuple]]:
     """Row count, and the order keys found at the given 0-based positions.
 
@@ -173,15 +200,19 @@ def keys_at(
     """
     order_by = list(order_by)
     keys = df.select(*order_by)
-    n, bounds = sampled_bounds(keys, order_by, rows_per_cell)
+    if cell is None:
+        n, bounds = sampled_bounds(keys, order_by, rows_per_cell)
+        cell = count_reached(keys, order_by, bounds)
+        known = None if bounds else {0: n}
+    else:
+        known = None
+    tagged = keys.withColumn("_cell", cell)
+    # one row per cell
+    counts = known if known is not None else dict(tagged.groupBy("_cell").count().collect())
+    n = sum(counts.values())
     wanted = sorted({p for p in positions(n) if 0 <= p < n})
     if not wanted:
         return n, []
-    tagged = keys.withColumn("_cell", count_reached(keys, order_by, bounds))
-    if bounds:
-        counts = dict(tagged.groupBy("_cell").count().collect())  # at most MAX_CELLS rows
-    else:
-        counts = {0: n}
     ranks: dict[int, list[int]] = {}
     start, todo = 0, iter(wanted)
     p = next(todo)
@@ -190,8 +221,7 @@ def keys_at(
             ranks.setdefault(c, []).append(p - start)
             p = next(todo, None)
         start += counts[c]
-    spark = df.sparkSession
-    targets = spark.createDataFrame(
+    targets = df.sparkSession.createDataFrame(
         [(c, r) for c, rs in ranks.items() for r in rs], "_cell INT, _rank INT"
     )
     inside = Window.partitionBy("_cell").orderBy(*order_by)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import order_key, shuffled
-from .positions import ROWS_PER_CELL, count_reached, join_on, keys_at, with_position
+from .positions import ROWS_PER_CELL, count_reached, hashed_cell, join_on, keys_at, with_position
 
 ID = "sample_id"
 
@@ -26,8 +26,13 @@ def with_dense_index(
 
 
 def _cut(
-    df: DataFrame, order_by: Sequence[str], n: int, remainder: str, rows_per_cell: int
-) -> tuple[DataFrame, int]:
+    df: DataFrame,
+    order_by: Sequence[str],
+    n: int,
+    remainder: str,
+    rows_per_cell: int,
+    cell: Column | None = None,
+) -> DataFrame:
     """Add ``_part`` 0..n-1: equal runs of the order, remainder last or dropped."""
     if n < 1:
         raise ValueError("at least one shard is needed")
@@ -39,31 +44,29 @@ def _cut(
         size = total // n
         return [i * size for i in range(1, last_cut + 1)] if size else []
 
-    total, cuts = keys_at(df, order_by, wanted, rows_per_cell)
+    total, cuts = keys_at(df, order_by, wanted, rows_per_cell, cell)
     if total < n:
         # size 0: nothing for the first shards, all rows are remainder
         out = df.withColumn("_part", F.lit(n - 1))
-        return (out.limit(0) if remainder == "drop" else out), 0
+        return out.limit(0) if remainder == "drop" else out
     out = df.withColumn("_part", count_reached(df, order_by, cuts).cast("int"))
     if remainder == "drop":
         out = out.filter(F.col("_part") < n)
-    return out, total // n
+    return out
 
 
 def shard_contiguous(
     samples: DataFrame, n: int, remainder: str = "last", rows_per_cell: int = ROWS_PER_CELL
 ) -> DataFrame:
     """Runs of ``N // n`` consecutive ids; the rest goes to the last shard or is dropped."""
-    out, _ = _cut(samples, [ID], n, remainder, rows_per_cell)
+    out = _cut(samples, [ID], n, remainder, rows_per_cell)
     return out.withColumnRenamed("_part", "shard_id")
 
 
-def shard_iid(
-    samples: DataFrame, n: int, seed=42, rows_per_cell: int = ROWS_PER_CELL
-) -> DataFrame:
+def shard_iid(samples: DataFrame, n: int, seed=42) -> DataFrame:
     """``N // n`` samples each, drawn without replacement (a seeded permutation, cut)."""
     keyed = samples.withColumn("_key", order_key(F.col(ID), seed=seed))
-    out, _ = _cut(keyed, ["_key", ID], n, "drop", rows_per_cell)
+    out = _cut(keyed, ["_key", ID], n, "drop", ROWS_PER_CELL, hashed_cell(keyed, "_key"))
     return out.withColumnRenamed("_part", "shard_id").drop("_key")
 
 
@@ -79,7 +82,7 @@ def shard_noniid(
 ) -> DataFrame:
     """Sort by label, cut into ``n * shards_per`` blocks, deal blocks at random."""
     blocks = n * shards_per
-    out, _ = _cut(samples, ["label", ID], blocks, "drop", rows_per_cell)
+    out = _cut(samples, ["label", ID], blocks, "drop", rows_per_cell)
     owner = [0] * blocks
     for rank, block in enumerate(shuffled(blocks, seed)):
         owner[block] = rank // shards_per
@@ -98,12 +101,12 @@ def shard_modulo(samples: DataFrame, n: int, by: str = "label") -> DataFrame:
     return samples.withColumn("shard_id", F.pmod(F.col(columns[by]), F.lit(n)).cast("int"))
 
 
-def train_test_split(
-    samples: DataFrame, test_size: int, seed=42, rows_per_cell: int = ROWS_PER_CELL
-) -> DataFrame:
+def train_test_split(samples: DataFrame, test_size: int, seed=42) -> DataFrame:
     """Add ``is_test``, true for exactly ``test_size`` rows."""
     keyed = samples.withColumn("_key", order_key(F.col(ID), seed=seed))
-    total, cut = keys_at(keyed, ["_key", ID], lambda n: [test_size], rows_per_cell)
+    total, cut = keys_at(
+        keyed, ["_key", ID], lambda n: [test_size], cell=hashed_cell(keyed, "_key")
+    )
     if test_size > total:
         raise ValueError(f"test_size {test_size} is larger than the table ({total} rows)")
     is_test = F.lit(True) if not cut else count_reached(keyed, ["_key", ID], cut) == 0

@@ -15,7 +15,7 @@ from ..functions.rates import lr_at
 from ..functions.vectors import vector_norm
 from ..schemas import UPDATES
 from .models import ModelSpec, TrainConfig, train
-from .positions import ROWS_PER_CELL, with_position
+from .positions import hashed_cell, with_position
 from .sharding import with_unit
 
 # Rows one task trains on in sequence. A shard of this size or less is trained
@@ -245,13 +245,7 @@ def train_logistic(
     )
 
 
-def minibatches(
-    samples: DataFrame,
-    batch: int,
-    seed=42,
-    epochs: int = 1,
-    rows_per_cell: int = ROWS_PER_CELL,
-) -> DataFrame:
+def minibatches(samples: DataFrame, batch: int, seed=42, epochs: int = 1) -> DataFrame:
     """Shuffled batch number of every sample, per shard and epoch.
 
     Only ids move; join the features back by ``sample_id`` where needed.
@@ -262,7 +256,7 @@ def minibatches(
     keyed = ids.withColumn("_key", order_key(F.col("sample_id"), F.col("epoch"), seed=seed))
     placed = with_position(
         keyed, ["_key", "sample_id"], within=["shard_id", "epoch"], name="_pos",
-        rows_per_cell=rows_per_cell,
+        cell=hashed_cell(keyed, "_key"),
     )
     return placed.select(
         "shard_id", "epoch", "sample_id",
