@@ -65,7 +65,7 @@ def main() -> None:
         # The round loop: 20 rounds over four shards, five local epochs.
         for kind in ("softmax", "mlp"):
             began = time.perf_counter()
-            ledger = run(spark, sf_dir, 20, "any", kind, lr=0.05).ledger.collect()
+            ledger = run(spark, sf_dir, 20, "any", kind).ledger.collect()
             seconds[f"e11_20_rounds_{kind}"] = round(time.perf_counter() - began, 3)
             print(f"{kind}: final accuracy {ledger[-1]['accuracy']:.2f}", file=sys.stderr)
     print(

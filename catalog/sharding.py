@@ -82,7 +82,10 @@ def b11(spark, d):
 
 
 def b12(spark, d):
-    laid = S.colocate(line_samples(spark, d).select("shard_id", "label"), 8)
+    rows = line_samples(spark, d).select(
+        "shard_id", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("sample_id")
+    )
+    laid = S.colocate(rows, 8)
     return (
         laid.withColumn("_p", F.spark_partition_id())
         .groupBy("shard_id")

@@ -128,7 +128,7 @@ def _written_shards(spark, d) -> str:
     path = fresh_path(spark, "shards")
     rows = samples(spark, d).drop("shard_id")
     test, train = rows.filter("sample_id % 10 = 0"), rows.filter("sample_id % 10 <> 0")
-    sample_files.write_shards(shard_contiguous(train, 3), path, test, files_per_shard=2)
+    sample_files.write_shards(shard_contiguous(train, 3), path, test, rows_per_file=100)
     return path
 
 

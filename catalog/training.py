@@ -19,6 +19,7 @@ from .views import (
     outages,
     samples,
     sql_digest,
+    taught_samples,
     with_views,
 )
 
@@ -118,10 +119,10 @@ ROUND_COLUMNS = ["round", "accuracy", "loss", "active", "failed", "mode", "metho
 
 
 def run(spark, d, rounds: int, policy: str, kind: str = "softmax", **train):
-    rows = train_test_split(samples(spark, d), 100, seed=42)
+    rows = train_test_split(taught_samples(spark, d), 100, seed=42)
     spec = ModelSpec(n_features=64, n_classes=10, kind=kind, hidden=32)
     cfg = RoundConfig(
-        spec=spec, train=TrainConfig(**{"lr": 0.1, **train}), rounds=rounds, policy=policy, mode=policy
+        spec=spec, train=TrainConfig(**{"lr": 0.5, **train}), rounds=rounds, policy=policy, mode=policy
     )
     return run_rounds(
         rows.filter(~F.col("is_test")), rows.filter("is_test"), cfg, outages=outages(spark)

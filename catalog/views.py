@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.vectors import predict
 from shardloom.operators.averaging import as_vector
 from shardloom.schemas import OUTAGES
 
@@ -28,6 +29,15 @@ def samples(spark, d) -> DataFrame:
     )
 
 
+def taught_samples(spark, d) -> DataFrame:
+    """Samples labelled by the largest of their first ten features.
+
+    The labels of the table itself do not depend on the features; these can be
+    learned, so that training has something to show.
+    """
+    return samples(spark, d).withColumn("label", predict(F.slice("features", 1, 10)))
+
+
 def order_samples(spark, d) -> DataFrame:
     """Orders as labelled samples: a larger table with a unique id."""
     return table(spark, d, "orders").select(

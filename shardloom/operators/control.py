@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import join_on
+from .positions import join_on, small_side
 
 
 def admit(requests: DataFrame, expected_round: int | Column, order_by: str = "request_id") -> DataFrame:
@@ -50,7 +50,7 @@ def within_deadline(
 ) -> DataFrame:
     """Rows that arrived within ``seconds`` of their round's start."""
     limit = F.make_dt_interval(secs=F.lit(float(seconds)))
-    starts = round_starts.select(*by, F.col("ts").alias("round_start"))
+    starts = small_side(round_starts.select(*by, F.col("ts").alias("round_start")))
     return updates.join(starts, list(by)).filter(
         (F.col("ts") >= F.col("round_start")) & (F.col("ts") <= F.col("round_start") + limit)
     )

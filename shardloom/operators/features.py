@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from ..functions import vectors as V
 from ..functions.random import normals, uniform
-from .positions import with_position
+from .positions import small_side, with_position
 
 ID = "sample_id"
 
@@ -41,7 +41,7 @@ def sample_per_participant(
     ``participants * k + samples``, not with their product. A participant that
     ended up short would raise, never return fewer rows.
     """
-    indexed = with_position(samples, [ID], name="_at")
+    indexed = with_position(samples.select(ID), [ID], name="_at")
     n = samples.count()
     if k > n:
         raise ValueError(f"cannot draw {k} distinct samples out of {n}")
@@ -64,7 +64,8 @@ def sample_per_participant(
         )
         .select("participant_id", "_at", F.col("_rank").alias("draw"))
     )
-    return picks.join(indexed, "_at").drop("_at")
+    drawn = picks.join(indexed, "_at").drop("_at")
+    return samples.join(small_side(drawn), ID)
 
 
 def valid_updates(updates: DataFrame) -> DataFrame:
@@ -81,9 +82,9 @@ def exclude_unavailable(
 ) -> DataFrame:
     """Drop shards that are out: in one round, or row by row on a round column."""
     if round_no is not None:
-        out = outages.filter(F.col("round") == round_no).select(key)
-        return shards.join(out, key, "left_anti")
-    return shards.join(outages.select("round", key), ["round", key], "left_anti")
+        out = outages.filter(F.col("round") == round_no).select(key).distinct()
+        return shards.join(small_side(out), key, "left_anti")
+    return shards.join(small_side(outages.select("round", key)), ["round", key], "left_anti")
 
 
 def format_ledger(ledger: DataFrame) -> DataFrame:

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 ROWS_PER_CELL = 100_000
 # A larger table is cut into at least so many cells, to spread the ordering.
 MIN_CELLS = 32
-MAX_CELLS = 4096
+MAX_CELLS = 32_768
 # Sampled keys per cell: the driver sees at most MAX_CELLS times this many.
-SAMPLED_PER_CELL = 64
+SAMPLED_PER_CELL = 32
+# Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def _literal(value) -> str:
@@ -94,7 +96,7 @@ def hashed_cell(df: DataFrame, key: str) -> Column:
     follows the shuffle width.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(14, max(6, (8 * width).bit_length() - 1))
+    bits = min(15, max(6, (8 * width).bit_length() - 1))
     return F.shiftright(F.col(key), 60 - bits).cast("int")
 
 
@@ -122,6 +124,20 @@ def sampled_bounds(
     return n, sorted(picks)
 
 
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side that proves to be small, else leave the join to Spark.
+
+    The size of an aggregate is unknown when a plan is made, and the large side
+    would be shuffled on what may be a hot key before the small size shows. So
+    the side is read first, up to ``max_rows``; beyond that it is returned as
+    it is and joined by a shuffle.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that keeps rows whose key is null; no side is forced."""
     if not keys:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import order_key
-from .positions import with_position
+from .positions import small_side, with_position
 
 
 def label_entropy(samples: DataFrame, by: str = "participant_id", label: str = "label") -> DataFrame:
@@ -83,4 +83,6 @@ def select_participants(
 
 
 def restrict_to(samples: DataFrame, selected: DataFrame, key: str = "participant_id") -> DataFrame:
-    return samples.join(selected.select(key), key, "left_semi")
+    """Rows of the selected ids. A short list is broadcast, and the samples stay
+    where they are; a long one is joined by a shuffle."""
+    return samples.join(small_side(selected.select(key)), key, "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import order_key, shuffled
-from .positions import ROWS_PER_CELL, count_reached, hashed_cell, join_on, keys_at, with_position
+from .positions import ROWS_PER_CELL, count_reached, hashed_cell, join_on, keys_at, small_side, with_position
 
 ID = "sample_id"
 
@@ -190,22 +190,21 @@ def with_unit(samples: DataFrame, unit_rows: int, key: str = "shard_id") -> Data
         F.ceil(F.count(F.lit(1)) / F.lit(unit_rows)).cast("int").alias("_units")
     )
     return (
-        join_on(samples, sizes, [key])
+        join_on(samples, small_side(sizes), [key])
         .withColumn("unit", F.pmod(F.xxhash64(F.col(ID)), F.col("_units")).cast("int"))
         .drop("_units")
     )
 
 
 def colocate(
-    samples: DataFrame, n: int, unit_rows: int | None = None, sort_by: Sequence[str] = ()
+    samples: DataFrame, n: int, unit_rows: int = 1_000_000, sort_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Bring each shard together in ``n`` Spark partitions.
+    """Bring each shard together in one of ``n`` Spark partitions.
 
-    With ``unit_rows`` a large shard is spread over its units instead of being
+    A shard above ``unit_rows`` is spread over its units instead of being
     forced into one partition. Cache the result to reuse the layout.
     """
-    keys: list[Column | str] = ["shard_id"]
-    if unit_rows is not None:
-        samples = with_unit(samples, unit_rows)
-        keys.append("unit")
-    return samples.repartition(n, *keys).sortWithinPartitions(*keys, *sort_by)
+    keys = ["shard_id", "unit"]
+    return (
+        with_unit(samples, unit_rows).repartition(n, *keys).sortWithinPartitions(*keys, *sort_by)
+    )

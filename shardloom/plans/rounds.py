@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..operators.averaging import average_weighted
 from ..operators.evaluation import evaluate, score
-from ..operators.features import exclude_unavailable
 from ..operators.models import ModelSpec, TrainConfig
 from ..operators.sharding import colocate
 from ..operators.training import train_units, unit_rows_for
@@ -83,8 +82,10 @@ def run_rounds(
     began = time.monotonic()
     try:
         expected = {r[0] for r in laid_out.select("shard_id").distinct().collect()}
+        away = _outages_by_round(outages, expected, cfg)
         for r in range(cfg.start_round, cfg.start_round + cfg.rounds):
-            active = laid_out if outages is None else exclude_unavailable(laid_out, outages, r)
+            # A filter on the cached layout keeps its partitioning: no shuffle.
+            active = laid_out.filter(~F.col("shard_id").isin(away[r])) if r in away else laid_out
             shared = context.broadcast(weights)
             # Read twice: per shard for the quorum, per position for the mean.
             units = train_units(active, cfg.spec, cfg.train, shared, r).persist(
@@ -94,7 +95,8 @@ def run_rounds(
             failed = len(expected) - len(valid)
             met = bool(valid) and n > 0 and (cfg.policy == "any" or failed == 0)
             if met:
-                weights = _averaged(units, valid, cfg.spec.size)
+                whole = units if failed == 0 else units.filter(F.col("shard_id").isin(valid))
+                weights = _averaged(whole, cfg.spec.size)
             units.unpersist()
             shared.unpersist()
             accuracy, loss = evaluate(score(held_out, cfg.spec, weights)).first()
@@ -113,6 +115,24 @@ def run_rounds(
     )
 
 
+def _outages_by_round(outages: DataFrame | None, shards: set, cfg: RoundConfig) -> dict:
+    """Known shards that are out, per round of this run."""
+    if outages is None:
+        return {}
+    last = cfg.start_round + cfg.rounds - 1
+    rows = (
+        outages.filter(F.col("round").between(cfg.start_round, last))
+        .filter(F.col("shard_id").isin(list(shards)))
+        .select("round", "shard_id")
+        .distinct()
+        .collect()
+    )
+    found: dict[int, list] = {}
+    for r, shard in rows:
+        found.setdefault(r, []).append(shard)
+    return found
+
+
 def _valid_shards(units: DataFrame) -> tuple[list[int], int]:
     """Shards all of whose units succeeded, and their samples; a row per shard."""
     ok = (
@@ -124,8 +144,8 @@ def _valid_shards(units: DataFrame) -> tuple[list[int], int]:
     return [r["shard_id"] for r in ok], sum(r["n"] for r in ok)
 
 
-def _averaged(units: DataFrame, valid: list[int], size: int) -> np.ndarray:
-    mean = average_weighted(units.filter(F.col("shard_id").isin(valid)).drop("round"))
+def _averaged(units: DataFrame, size: int) -> np.ndarray:
+    mean = average_weighted(units.drop("round"))
     found = mean.toPandas()  # one row per model parameter
     if len(found) != size:
         raise ValueError(f"averaged model has {len(found)} values, {size} expected")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sharding import with_unit
 from ..schemas import SAMPLES, SHARDED_SAMPLES
 
 
@@ -31,16 +32,17 @@ def write_label_csv(samples: DataFrame, path: str, n_features: int, mode: str =
 
 
 def write_shards(
-    samples: DataFrame, path: str, test: DataFrame | None = None, files_per_shard: int = 1
+    samples: DataFrame, path: str, test: DataFrame | None = None, rows_per_file: int = 1_000_000
 ) -> None:
     """One folder per shard below ``train``, and one shared ``test`` set.
 
-    Rows are laid out by (shard, file), so a task writes few files and a large
-    shard is spread over ``files_per_shard`` of them.
+    Rows are laid out by (shard, file), so a task writes few files, and a large
+    shard is spread over as many files and tasks as its size asks for.
     """
-    file_no = F.pmod(F.xxhash64("sample_id"), F.lit(files_per_shard))
     (
-        samples.repartition("shard_id", file_no)
+        with_unit(samples, rows_per_file)
+        .repartition("shard_id", "unit")
+        .drop("unit")
         .write.mode("overwrite")
         .partitionBy("shard_id")
         .parquet(f"{path}/train")

@@ -134,7 +134,11 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
                 written.select("weights"), cfg.denominator, selected
             )
             update_global_model(mean, cfg.path, batch_id)
-            _replace(batch_metrics(spark, cfg.path, batch_id, selected, written), cfg.path, "metrics", batch_id)
+            epsilon = cfg.privacy.epsilon if cfg.privacy is not None else 0.0
+            _replace(
+                batch_metrics(spark, cfg.path, batch_id, selected, written, epsilon),
+                cfg.path, "metrics", batch_id,
+            )
             selected.unpersist()
         finally:
             samples.unpersist()
@@ -143,12 +147,23 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
 
 
 def batch_metrics(
-    spark: SparkSession, path: str, batch_id: int, selected: DataFrame, updates: DataFrame
+    spark: SparkSession,
+    path: str,
+    batch_id: int,
+    selected: DataFrame,
+    updates: DataFrame,
+    epsilon: float = 0.0,
 ) -> DataFrame:
-    """One row: participants, updates, samples, model norm, budget spent so far."""
+    """One row: participants, updates, samples, model norm, budget spent so far.
+
+    The budget adds to that of the last earlier batch, so the history of
+    updates is not read again, and a replayed batch arrives at the same sum.
+    """
     model = read_state(spark, path, "model").filter(F.col("batch_id") == batch_id)
     spent = (
-        read_state(spark, path, "budget").filter(F.col("batch_id") <= batch_id).agg(F.sum("epsilon"))
+        read_state(spark, path, "metrics")
+        .filter(F.col("batch_id") < batch_id)
+        .agg(F.max_by("privacy_spent", "batch_id"))
     )
     norm = model.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))))
     return updates.agg(
@@ -159,7 +174,9 @@ def batch_metrics(
         "n_updates",
         "n_samples",
         norm.scalar().alias("weights_norm"),
-        F.coalesce(spent.scalar(), F.lit(0.0)).alias("privacy_spent"),
+        (F.coalesce(spent.scalar(), F.lit(0.0)) + F.col("n_updates") * F.lit(epsilon)).alias(
+            "privacy_spent"
+        ),
     )
 
 
