@@ -65,7 +65,7 @@ def f6(spark, d):
 
 
 def f7(spark, d):
-    selected = participants(spark, d).filter("participant_id < 25").select("participant_id").distinct()
+    selected = participants(spark, d).select("participant_id").distinct()
     return _value(A.vector_sum_mean(label_updates(spark, d), "selected", selected))
 
 
@@ -158,7 +158,7 @@ ORACLE = {
     ),
     "f7_vector_sum_mean": with_views(
         """SELECT CAST(pos AS INTEGER) AS pos, round(sum(value) / (SELECT count(DISTINCT user_id)
-        FROM events WHERE user_id < 25), 6) AS value FROM label_means GROUP BY 1""",
+        FROM events), 6) AS value FROM label_means GROUP BY 1""",
         "label_means",
     ),
     "f7_vector_mean_received": with_views(

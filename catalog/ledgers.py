@@ -74,8 +74,9 @@ def i11(spark, d):
 
 def i13(spark, d):
     rows = ledger(spark, d)
-    a = rows.filter("method = 'a' AND round % 5 <> 0")
-    b = rows.filter("method = 'b' AND round % 7 <> 0")
+    # rounds missing on either side
+    a = rows.filter("method = 'a' AND accuracy < 80.3")
+    b = rows.filter("method = 'b' AND accuracy > 79.7")
     return _rounded(L.align_rounds(a, b))
 
 
@@ -199,8 +200,8 @@ ORACLE = {
         """SELECT coalesce(a.round, b.round) AS round, round(a.accuracy, 6) AS accuracy_a,
         round(a.loss, 6) AS loss_a, round(a.timestamp, 6) AS timestamp_a, round(b.accuracy, 6) AS accuracy_b,
         round(b.loss, 6) AS loss_b, round(b.timestamp, 6) AS timestamp_b
-        FROM (SELECT * FROM ledger WHERE method = 'a' AND round % 5 <> 0) a
-        FULL OUTER JOIN (SELECT * FROM ledger WHERE method = 'b' AND round % 7 <> 0) b ON a.round = b.round"""
+        FROM (SELECT * FROM ledger WHERE method = 'a' AND accuracy < 80.3) a
+        FULL OUTER JOIN (SELECT * FROM ledger WHERE method = 'b' AND accuracy > 79.7) b ON a.round = b.round"""
     ),
     "i14_tolerated": _sql(
         f"""SELECT method, round({_at('accuracy', 7)} - {_at('accuracy', 8)}, 6) AS drop,

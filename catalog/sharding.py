@@ -54,7 +54,7 @@ def b7(spark, d):
 
 def b8(spark, d):
     rows = order_samples(spark, d)
-    assignment = rows.filter("owner % 7 <> 0").select(
+    assignment = rows.filter("state <> 'P'").select(
         "sample_id", F.pmod("owner", F.lit(5)).cast("int").alias("shard_id")
     )
     return S.to_local_index(rows.select("sample_id"), assignment)
@@ -159,7 +159,7 @@ ORACLE = {
     "b8_to_local_index": with_views(
         """SELECT sample_id, CAST(owner % 5 AS INTEGER) AS shard_id,
         row_number() OVER (PARTITION BY owner % 5 ORDER BY sample_id) - 1 AS local_index
-        FROM order_samples WHERE owner % 7 <> 0""",
+        FROM order_samples WHERE state <> 'P'""",
         "order_samples",
     ),
     "b9_shard_stats": with_views(

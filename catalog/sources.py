@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from shardloom.operators.averaging import average_weighted
 from shardloom.operators.control import detect_short_round
 from shardloom.operators.ledger import comparison_report
-from shardloom.operators.sharding import shard_contiguous
+from shardloom.operators.sharding import shard_contiguous, train_test_split
 from shardloom.session import fresh_path
 from shardloom.sources import checkpoints, ledgers, messages, samples as sample_files
 
 from .features import raw_ledger
-from .views import digest, ledger, samples, shard_updates, sql_digest, with_views
+from .views import digest, hash60, ledger, samples, shard_updates, sql_digest, with_views
 
 
 def a1(spark, d):
@@ -126,8 +126,8 @@ def a11(spark, d):
 
 def _written_shards(spark, d) -> str:
     path = fresh_path(spark, "shards")
-    rows = samples(spark, d).drop("shard_id")
-    test, train = rows.filter("sample_id % 10 = 0"), rows.filter("sample_id % 10 <> 0")
+    rows = train_test_split(samples(spark, d).drop("shard_id"), 50, seed=6)
+    test, train = (rows.filter(c).drop("is_test") for c in ("is_test", "NOT is_test"))
     sample_files.write_shards(shard_contiguous(train, 3), path, test, rows_per_file=100)
     return path
 
@@ -170,8 +170,9 @@ QUERIES = {
 _MODEL = """SELECT round, CAST(pos AS INTEGER) AS pos, sum(n_samples * value) / sum(n_samples)
     * CASE WHEN round = 4 THEN 2 ELSE 1 END AS value
     FROM shard_updates WHERE status = 'success' GROUP BY 1, 2"""
+_SPLIT = f"SELECT *, row_number() OVER (ORDER BY {hash60('sample_id', seed=6)}, sample_id) <= 50 AS is_test FROM samples"
 _TRAIN = """SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS pos, count(*) OVER () AS n
-    FROM samples WHERE sample_id % 10 <> 0"""
+    FROM split WHERE NOT is_test"""
 _SHARD = "CAST(least(pos // (n // 3), 2) AS INTEGER)"
 
 ORACLE = {
@@ -226,12 +227,12 @@ ORACLE = {
     ),
     "a12_write_shards": with_views(
         f"SELECT sample_id, {_SHARD} AS shard_id, label, {sql_digest()} FROM train",
-        "samples", train=_TRAIN,
+        "samples", split=_SPLIT, train=_TRAIN,
     ),
     "a12_read_one_shard": with_views(
         f"""SELECT sample_id, 'shard 1' AS part, label FROM train WHERE {_SHARD} = 1
-        UNION ALL SELECT sample_id, 'test', label FROM samples WHERE sample_id % 10 = 0""",
-        "samples", train=_TRAIN,
+        UNION ALL SELECT sample_id, 'test', label FROM split WHERE is_test""",
+        "samples", split=_SPLIT, train=_TRAIN,
     ),
     "a13_comparison_report": with_views(
         """SELECT metric, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS change FROM (

@@ -45,6 +45,7 @@ def order_samples(spark, d) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("int").alias("label"),
         F.array(F.col("o_totalprice")).alias("features"),
         F.col("o_custkey").alias("owner"),
+        F.col("o_orderstatus").alias("state"),
     )
 
 
@@ -213,7 +214,7 @@ _CTES = {
         CAST(vec_id % 4 AS INTEGER) AS shard_id FROM embeddings""",
     "order_samples": """SELECT o_orderkey AS sample_id,
         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS label, o_custkey AS owner,
-        [o_totalprice] AS features FROM orders""",
+        o_orderstatus AS state, [o_totalprice] AS features FROM orders""",
     "line_samples": """SELECT l_orderkey, l_linenumber,
         [l_quantity / 50, l_extendedprice / 100000, l_discount, l_tax] AS features,
         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,

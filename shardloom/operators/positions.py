@@ -163,6 +163,9 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row, overall or ``within`` a group.
 
+    The key columns of ``df`` are read up to three times before the one pass
+    that moves rows: hand in a table, or a checkpoint of an expensive plan.
+
     ``total`` names an extra column for the row count of the group. ``cell``
     may give a non-decreasing function of the order key with a known bound on
     rows per (group, cell); then no sampling job is run.

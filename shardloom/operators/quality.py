@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import order_key
+from ..session import materialised
 from .positions import small_side, with_position
 
 
@@ -71,8 +72,10 @@ def select_participants(
     keyed = scored.withColumn("_desc", -F.round("score", digits)).withColumn(
         "_tie", order_key(F.col("participant_id"), seed=seed)
     )
+    # One row per participant, but often the result of a pass over all samples:
+    # ranking reads it several times, so it is computed once.
     ranked = with_position(
-        keyed, ["_desc", "_tie", "participant_id"], within=by, name="_pos", total="_total"
+        materialised(keyed), ["_desc", "_tie", "participant_id"], within=by, name="_pos", total="_total"
     )
     k = F.greatest(F.lit(min_n), F.floor(F.col("_total") * F.lit(float(ratio))).cast("int"))
     return (

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import order_key, shuffled
@@ -160,22 +160,17 @@ def verify_shards(samples: DataFrame, shards: DataFrame, expected_total: int | N
         .join(sizes, "shard_id", "left")
         .withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("bigint")))
     )
-    verdict = found.agg(
-        F.struct(
-            F.sum("n_samples").alias("total"), F.bool_and(F.col("n_samples") > 0).alias("all_present")
-        )
-    ).scalar()
-    total_ok = (
-        F.lit(True)
-        if expected_total is None
-        else verdict.getField("total") == F.lit(expected_total)
-    )
+    everything = Window.partitionBy()  # one row per expected shard
+    total = F.sum("n_samples").over(everything)
+    complete = F.bool_and(F.col("n_samples") > 0).over(everything)
+    if expected_total is not None:
+        complete = complete & (total == F.lit(expected_total))
     return found.select(
         "shard_id",
         "n_samples",
         (F.col("n_samples") > 0).alias("present"),
-        verdict.getField("total").alias("total_samples"),
-        (verdict.getField("all_present") & total_ok).alias("valid"),
+        total.alias("total_samples"),
+        complete.alias("valid"),
     )
 
 

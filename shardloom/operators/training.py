@@ -57,7 +57,7 @@ def train_units(
     )
     lr = lr_at(round_no, cfg.lr, cfg.lr_gamma, cfg.lr_step)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard, unit = int(key[0]), int(key[1])
         row = {
             "round": round_no, "shard_id": shard, "unit": unit, "n_samples": 0,
