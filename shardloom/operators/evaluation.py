@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .models import ModelSpec, forward, unpack
+from .models import ModelSpec, forward, hits_and_losses, unpack
 from .positions import ROWS_PER_CELL, with_position
 
 
@@ -104,6 +104,31 @@ def evaluate(pred: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_model(samples: DataFrame, spec: ModelSpec, weights) -> DataFrame:
+    """``evaluate(score(..))`` with the loss taken in the scoring batch itself.
+
+    The round loop runs it once a round: only a flag and a loss per row come
+    back from the batch, and the plan is a partial and a final aggregate.
+    """
+    shared = samples.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
+
+    @F.pandas_udf("hit int, loss double")
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        params = unpack(spec, shared.value)
+        for features, label in batches:
+            x = np.stack(features.to_numpy()) if len(features) else np.empty((0, spec.n_features))
+            hit, loss = hits_and_losses(forward(spec, params, x), label.to_numpy())
+            yield pd.DataFrame({"hit": hit, "loss": loss})
+
+    return (
+        samples.select(judged("features", "label").alias("j"))
+        .agg(
+            (F.lit(100.0) * F.sum("j.hit") / F.count(F.lit(1))).alias("accuracy"),
+            F.avg("j.loss").alias("loss"),
+        )
+    )
+
+
 def confusion(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 

@@ -77,6 +77,13 @@ def forward(spec: ModelSpec, params: list[np.ndarray], x: np.ndarray) -> np.ndar
     return np.maximum(x @ w1.T + b1, 0.0) @ w2.T + b2
 
 
+def hits_and_losses(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: is the first maximum the label, and the cross-entropy."""
+    top = scores.max(axis=1, keepdims=True, initial=-np.inf)
+    log_z = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+    return (scores.argmax(axis=1) == y).astype(np.int32), log_z - scores[np.arange(len(y)), y]
+
+
 def loss_and_gradient(
     spec: ModelSpec, vector: np.ndarray, x: np.ndarray, y: np.ndarray, rng=None
 ) -> tuple[float, np.ndarray]:

@@ -10,8 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.averaging import average_weighted
-from ..operators.evaluation import evaluate, score
+from ..operators.evaluation import evaluate_model
 from ..operators.models import ModelSpec, TrainConfig
 from ..operators.sharding import colocate
 from ..operators.training import train_units, unit_rows_for
@@ -87,21 +86,19 @@ def run_rounds(
             # A filter on the cached layout keeps its partitioning: no shuffle.
             active = laid_out.filter(~F.col("shard_id").isin(away[r])) if r in away else laid_out
             shared = context.broadcast(weights)
-            # Read twice: per shard for the quorum, per position for the mean.
-            units = train_units(active, cfg.spec, cfg.train, shared, r).persist(
-                StorageLevel.MEMORY_AND_DISK
-            )
-            valid, n = _valid_shards(units)
-            failed = len(expected) - len(valid)
-            met = bool(valid) and n > 0 and (cfg.policy == "any" or failed == 0)
+            step = _round(active, cfg, shared, r)
+            if step.mixed:
+                # Some units of a shard failed, others not: leave the shard out.
+                keep = active.filter(F.col("shard_id").isin(step.valid))
+                step.mean = _round(keep, cfg, shared, r).mean if step.valid else None
+            failed = len(expected) - len(step.valid)
+            met = bool(step.valid) and (cfg.policy == "any" or failed == 0)
             if met:
-                whole = units if failed == 0 else units.filter(F.col("shard_id").isin(valid))
-                weights = _averaged(whole, cfg.spec.size)
-            units.unpersist()
+                weights = step.mean
             shared.unpersist()
-            accuracy, loss = evaluate(score(held_out, cfg.spec, weights)).first()
+            accuracy, loss = evaluate_model(held_out, cfg.spec, weights).first()
             rows.append(
-                (r, time.monotonic() - began, accuracy, loss, len(valid), failed, cfg.mode, cfg.method)
+                (r, time.monotonic() - began, accuracy, loss, len(step.valid), failed, cfg.mode, cfg.method)
             )
             if cfg.ledger_path:
                 append_ledger(spark.createDataFrame(rows[-1:], LEDGER), cfg.ledger_path)
@@ -133,22 +130,47 @@ def _outages_by_round(outages: DataFrame | None, shards: set, cfg: RoundConfig)
     return found
 
 
-def _valid_shards(units: DataFrame) -> tuple[list[int], int]:
-    """Shards all of whose units succeeded, and their samples; a row per shard."""
-    ok = (
-        units.groupBy("shard_id")
-        .agg(F.bool_and(F.col("status") == "success").alias("ok"), F.sum("n_samples").alias("n"))
-        .filter("ok")
-        .collect()
-    )
-    return [r["shard_id"] for r in ok], sum(r["n"] for r in ok)
+@dataclass
+class _Step:
+    valid: list[int]
+    mixed: bool
+    mean: np.ndarray | None
 
 
-def _averaged(units: DataFrame, size: int) -> np.ndarray:
-    mean = average_weighted(units.drop("round"))
-    found = mean.toPandas()  # one row per model parameter
-    if len(found) != size:
-        raise ValueError(f"averaged model has {len(found)} values, {size} expected")
-    weights = np.empty(size)
-    weights[found["pos"].to_numpy()] = found["value"].to_numpy()
-    return weights
+def _round(active: DataFrame, cfg: RoundConfig, shared, round_no: int) -> _Step:
+    """Train all units and reduce them to one mean model and a row per shard.
+
+    One job: each unit yields its weights by position and a mark for its
+    shard, and a hash aggregate, partial before the shuffle, sums both.
+    """
+    units = train_units(active, cfg.spec, cfg.train, shared, round_no)
+    ok = F.col("status") == "success"
+    mark = F.array(F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0)))
+    entries = units.select(
+        "n_samples",
+        F.inline(
+            F.array(
+                F.struct(F.col("shard_id").alias("shard"), mark.alias("vector")),
+                F.struct(F.lit(None).cast("int").alias("shard"), F.col("weights").alias("vector")),
+            )
+        ),
+    ).select("shard", "n_samples", F.posexplode("vector").alias("pos", "v"))
+    n = F.col("n_samples")
+    found = (
+        entries.groupBy("shard", "pos")
+        .agg(
+            F.try_divide(F.sum(n * F.col("v")), F.sum(n)).alias("value"),
+            F.min("v").alias("lowest"),
+            F.max("v").alias("highest"),
+        )
+        .toPandas()  # a row per model parameter and per shard
+    )
+    model, marks = found[found["shard"].isna()], found[found["shard"].notna()]
+    valid = [int(s) for s in marks.loc[marks["lowest"] > 0, "shard"]]
+    mean = None
+    if len(model):
+        if len(model) != cfg.spec.size:
+            raise ValueError(f"averaged model has {len(model)} values, {cfg.spec.size} expected")
+        mean = np.empty(cfg.spec.size)
+        mean[model["pos"].to_numpy()] = model["value"].to_numpy()
+    return _Step(valid, bool(((marks["lowest"] == 0) & (marks["highest"] > 0)).any()), mean)

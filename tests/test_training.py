@@ -4,7 +4,14 @@ from pyspark.sql import functions as F
 
 from shardloom.operators import training as E
 from shardloom.operators.averaging import average_weighted
-from shardloom.operators.evaluation import accuracy, cross_entropy, evaluate, score, score_linear
+from shardloom.operators.evaluation import (
+    accuracy,
+    cross_entropy,
+    evaluate,
+    evaluate_model,
+    score,
+    score_linear,
+)
 from shardloom.operators.models import ModelSpec, TrainConfig, loss_and_gradient, train, unpack
 from shardloom.operators.sharding import shard_contiguous
 from shardloom.plans.rounds import RoundConfig, run_rounds
@@ -204,6 +211,26 @@ def test_quorum_all_keeps_the_model_bit_for_bit(spark, samples, outages):
     assert ledger[0]["loss"] == ledger[1]["loss"]
 
 
+def test_shard_with_one_failed_unit_is_left_out(spark, samples):
+    broken = samples.withColumn(
+        "label", F.when(F.col("sample_id") == 4, 77).otherwise(F.col("label"))
+    )
+    cfg = RoundConfig(SPEC, TrainConfig(epochs=1), 1, unit_rows=50)
+    got = run_rounds(broken, samples, cfg)
+    without = run_rounds(samples.filter("shard_id <> 1"), samples, cfg)
+    assert np.allclose(got.weights, without.weights, rtol=1e-12)
+    row = got.ledger.first()
+    assert (row["active"], row["failed"]) == (2, 1)
+
+
+def test_evaluation_in_the_batch_agrees(spark, samples):
+    w = SPEC.initial(3)
+    a, b = evaluate(score(samples, SPEC, w)).first(), evaluate_model(samples, SPEC, w).first()
+    assert a["accuracy"] == b["accuracy"] and a["loss"] == pytest.approx(b["loss"])
+    none = evaluate_model(samples.limit(0), SPEC, w).first()
+    assert none["loss"] is None
+
+
 def test_all_shards_out_keeps_the_model(spark, samples):
     out = spark.createDataFrame([(1, s) for s in range(3)], "round INT, shard_id INT")
     cfg = RoundConfig(SPEC, TrainConfig(epochs=1), 1)
