@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import valid_updates
-from .positions import join_on, small_side
+from .joins import join_on, small_side, spread_join
 
 
 def _group(df: DataFrame) -> list[str]:
@@ -63,13 +63,13 @@ def average_unweighted(updates: DataFrame, expected_layers: Sequence[str]) -> Da
         .filter((F.col("_layers") == len(layers)) & (F.col("_known") == len(layers)))
         .select(*keys)
     )
-    return average_stacked(present.join(small_side(matching), keys, "left_semi"))
+    return average_stacked(spread_join(present, matching, keys, "left_semi"))
 
 
 def average_typed(updates: DataFrame, model_layers: DataFrame) -> DataFrame:
     """Weighted mean, cast back to the layer's type (integers are truncated once)."""
     mean = average_weighted(updates)
-    typed = mean.join(small_side(model_layers.select("layer", "dtype")), "layer")
+    typed = spread_join(mean, model_layers.select("layer", "dtype"), ["layer"])
     # Weighted means of equal integers can come out a hair below the integer.
     whole = F.round("value", 9)
     truncated = F.when(whole >= 0, F.floor(whole)).otherwise(F.ceil(whole)).cast("double")
@@ -101,9 +101,8 @@ def apply_quorum(
     if policy == "all":
         need = F.count(F.lit(1)) if expected is None else F.lit(expected)
         met = met & (F.sum("_good") >= need)
-    accepted = small_side(
-        shards.groupBy("round").agg(met.alias("_met")).filter("_met").select("round")
-    )
+    accepted = shards.groupBy("round").agg(met.alias("_met")).filter("_met").select("round")
+    accepted = small_side(accepted) or accepted
     new = average_weighted(updates).join(accepted, "round", "left_semi")
     columns = [c for c in ("round", "layer", "pos", "value") if c in new.columns]
     kept = previous.join(accepted, "round", "left_anti")

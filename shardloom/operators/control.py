@@ -6,29 +6,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import join_on, small_side
+from .joins import spread_join
+from .positions import ROWS_PER_CELL, with_position
 
 
-def admit(requests: DataFrame, expected_round: int | Column, order_by: str = "request_id") -> DataFrame:
+def admit(
+    requests: DataFrame,
+    expected_round: int | Column,
+    order_by: str = "request_id",
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> DataFrame:
     """Reply to every request: refused, rejected with a reason, or accepted.
 
-    The first matching request of a participant in a round is found by an
-    aggregate (``min`` of time and id) and joined back, so a participant that
+    The first matching request of a participant in a round is the one at
+    position 0. Positions are found by cells of time, so a participant that
     sends very many requests is not ordered in one task.
     """
     expected = F.lit(expected_round) if isinstance(expected_round, int) else expected_round
     known = F.col("round").isNotNull()
     base = requests.withColumn("expected", expected.cast("int"))
-    matches = known & (F.col("round") == F.col("expected"))
-    first = (
-        base.filter(matches)
-        .groupBy("round", "participant_id")
-        .agg(F.min(F.struct("ts", order_by)).alias("_first"))
+    base = base.withColumn("_matches", known & (F.col("round") == F.col("expected")))
+    placed = with_position(
+        base, ["ts", order_by], ["round", "participant_id", "_matches"], "_pos",
+        rows_per_cell=rows_per_cell,
     )
-    joined = join_on(base, first, ["round", "participant_id"], "left")
-    is_first = F.struct("ts", order_by) == F.col("_first")
-    mismatch = known & ~matches
-    return joined.select(
+    is_first = F.col("_pos") == 0
+    mismatch = known & ~F.col("_matches")
+    return placed.select(
         *requests.columns,
         F.when(~known, "refused")
         .when(mismatch, "rejected")
@@ -50,8 +54,8 @@ def within_deadline(
 ) -> DataFrame:
     """Rows that arrived within ``seconds`` of their round's start."""
     limit = F.make_dt_interval(secs=F.lit(float(seconds)))
-    starts = small_side(round_starts.select(*by, F.col("ts").alias("round_start")))
-    return updates.join(starts, list(by)).filter(
+    starts = round_starts.select(*by, F.col("ts").alias("round_start"))
+    return spread_join(updates, starts, list(by)).filter(
         (F.col("ts") >= F.col("round_start")) & (F.col("ts") <= F.col("round_start") + limit)
     )
 

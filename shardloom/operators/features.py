@@ -10,7 +10,8 @@ from pyspark.sql import Window
 
 from ..functions import vectors as V
 from ..functions.random import normals, uniform
-from .positions import small_side, with_position
+from .joins import spread_join
+from .positions import with_position
 
 ID = "sample_id"
 
@@ -65,7 +66,7 @@ def sample_per_participant(
         .select("participant_id", "_at", F.col("_rank").alias("draw"))
     )
     drawn = picks.join(indexed, "_at").drop("_at")
-    return samples.join(small_side(drawn), ID)
+    return spread_join(samples, drawn, [ID])
 
 
 def valid_updates(updates: DataFrame) -> DataFrame:
@@ -83,8 +84,8 @@ def exclude_unavailable(
     """Drop shards that are out: in one round, or row by row on a round column."""
     if round_no is not None:
         out = outages.filter(F.col("round") == round_no).select(key).distinct()
-        return shards.join(small_side(out), key, "left_anti")
-    return shards.join(small_side(outages.select("round", key)), ["round", key], "left_anti")
+        return spread_join(shards, out, [key], "left_anti")
+    return spread_join(shards, outages.select("round", key), ["round", key], "left_anti")
 
 
 def format_ledger(ledger: DataFrame) -> DataFrame:

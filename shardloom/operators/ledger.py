@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .positions import join_on, with_carried, with_position
+from .joins import join_on
+from .positions import with_carried, with_position
 
 RUN = ("method", "mode")
 

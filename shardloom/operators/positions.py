@@ -27,8 +27,6 @@ MIN_CELLS = 32
 MAX_CELLS = 32_768
 # Sampled keys per cell: the driver sees at most MAX_CELLS times this many.
 SAMPLED_PER_CELL = 32
-# Rows up to which a side of a join is broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def _literal(value) -> str:
@@ -124,34 +122,6 @@ def sampled_bounds(
     return n, sorted(picks)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side that proves to be small, else leave the join to Spark.
-
-    The size of an aggregate is unknown when a plan is made, and the large side
-    would be shuffled on what may be a hot key before the small size shows. So
-    the side is read first, up to ``max_rows``; beyond that it is returned as
-    it is and joined by a shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that keeps rows whose key is null; no side is forced."""
-    if not keys:
-        raise ValueError("join_on needs at least one key")
-    renamed = right.select(
-        *[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns]
-    )
-    cond = None
-    for k in keys:
-        same = left[k].eqNullSafe(renamed[f"__{k}"])
-        cond = same if cond is None else cond & same
-    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
-
-
 def with_position(
     df: DataFrame,
     order_by: Sequence[str],
@@ -184,24 +154,30 @@ def with_position(
             return out
         cell = count_reached(df, order_by, bounds)
 
+    # A struct of the group columns is never null and equals itself when a field
+    # is null. So counts and rows join by plain equality, on the very columns
+    # the window is partitioned by: the rows are shuffled once for both.
+    group = ["_group"] if within else []
     tagged = df.withColumn("_cell", cell)
-    counts = tagged.groupBy(*within, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    if within:
+        tagged = tagged.withColumn("_group", F.struct(*within))
+    counts = tagged.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
-        Window.partitionBy(*within).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = counts.select(
-        *within,
+        *group,
         "_cell",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint").alias("_start"),
-        F.sum("_n").over(Window.partitionBy(*within)).alias("_total"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
     )
-    inside = Window.partitionBy(*within, "_cell").orderBy(*order_by)
+    inside = Window.partitionBy(*group, "_cell").orderBy(*order_by)
     ranked = tagged.withColumn("_rank", F.row_number().over(inside) - 1)
-    out = join_on(ranked, starts, [*within, "_cell"])
+    out = ranked.join(starts, [*group, "_cell"])
     out = out.withColumn(name, F.col("_start") + F.col("_rank"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_cell", "_rank", "_start", "_total")
+    return out.drop("_group", "_cell", "_rank", "_start", "_total")
 
 
 def keys_at(

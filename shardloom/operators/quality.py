@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.random import order_key
 from ..session import materialised
-from .positions import small_side, with_position
+from .joins import spread_join
+from .positions import with_position
 
 
 def label_entropy(samples: DataFrame, by: str = "participant_id", label: str = "label") -> DataFrame:
@@ -87,5 +88,6 @@ def select_participants(
 
 def restrict_to(samples: DataFrame, selected: DataFrame, key: str = "participant_id") -> DataFrame:
     """Rows of the selected ids. A short list is broadcast, and the samples stay
-    where they are; a long one is joined by a shuffle."""
-    return samples.join(small_side(selected.select(key)), key, "left_semi")
+    where they are; a long one is joined by a shuffle that spreads
+    the rows of a hot id."""
+    return spread_join(samples, selected.select(key), [key], "left_semi")

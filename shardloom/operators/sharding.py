@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import order_key, shuffled
-from .positions import ROWS_PER_CELL, count_reached, hashed_cell, join_on, keys_at, small_side, with_position
+from .joins import spread_join
+from .positions import ROWS_PER_CELL, count_reached, hashed_cell, keys_at, with_position
 
 ID = "sample_id"
 
@@ -185,7 +186,7 @@ def with_unit(samples: DataFrame, unit_rows: int, key: str = "shard_id") -> Data
         F.ceil(F.count(F.lit(1)) / F.lit(unit_rows)).cast("int").alias("_units")
     )
     return (
-        join_on(samples, small_side(sizes), [key])
+        spread_join(samples, sizes, [key], nulls=True)
         .withColumn("unit", F.pmod(F.xxhash64(F.col(ID)), F.col("_units")).cast("int"))
         .drop("_units")
     )

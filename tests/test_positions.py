@@ -7,12 +7,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shardloom.operators.joins import join_on, small_side, spread_join
 from shardloom.operators.positions import (
     count_reached,
-    join_on,
     keys_at,
     sampled_bounds,
-    small_side,
     with_carried,
     with_position,
 )
@@ -120,8 +119,31 @@ def test_look_back_blocks(spark, span):
 def test_small_side_is_checked(spark):
     small = small_side(spark.range(10), max_rows=10)
     assert "ResolvedHint (strategy=broadcast)" in small._jdf.queryExecution().analyzed().toString()
-    large = spark.range(11)
-    assert small_side(large, max_rows=10) is large
+    assert small_side(spark.range(11), max_rows=10) is None
+
+
+@pytest.mark.parametrize("max_rows", [3, 1000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join(spark, table, max_rows, how):
+    right = table.filter("g IN ('hot', 'a')").groupBy("g", "k").agg(F.max("x").alias("top"))
+    got = spread_join(table, right, ["g", "k"], how, max_rows=max_rows)
+    expected = table.join(right, ["g", "k"], how)
+    assert sorted(map(repr, got.select(expected.columns).collect())) == sorted(map(repr, expected.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("_salt" in plan) == (max_rows == 3)
+
+
+def test_rows_are_shuffled_once(spark, table):
+    """Window and join of a position share one exchange of the rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for within in ([], ["g"]):
+            placed = with_position(table, ["id"], within, rows_per_cell=50)
+            plan = placed._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+            wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+            assert len(wide) == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_join_on_matches_nulls(spark):
