@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .models import ModelSpec, forward, hits_and_losses, unpack
+from .models import ModelSpec, forward, hits_and_losses, matrix, unpack
 from .positions import ROWS_PER_CELL, with_position
 
 
@@ -26,15 +26,13 @@ def score(samples: DataFrame, spec: ModelSpec, weights) -> DataFrame:
         raise ValueError(f"model has {vector.size} values, {spec.size} expected")
     shared = samples.sparkSession.sparkContext.broadcast(vector)
 
-    @F.pandas_udf("array<double>")
-    def class_scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def class_scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         params = unpack(spec, shared.value)
         for features in batches:
-            if len(features) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(features.to_numpy()).astype(np.float64)
-            yield pd.Series(list(forward(spec, params, x)))
+            scores = forward(spec, params, matrix(features, spec.n_features))
+            ends = np.arange(len(scores) + 1, dtype=np.int32) * spec.n_classes
+            yield pa.ListArray.from_arrays(ends, scores.ravel())
 
     keep = [c for c in samples.columns if c != "features"]
     scored = samples.select(*keep, class_scores("features").alias("scores"))
@@ -112,13 +110,13 @@ def evaluate_model(samples: DataFrame, spec: ModelSpec, weights) -> DataFrame:
     """
     shared = samples.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
 
-    @F.pandas_udf("hit int, loss double")
-    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("hit int, loss double")
+    def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         params = unpack(spec, shared.value)
         for features, label in batches:
-            x = np.stack(features.to_numpy()) if len(features) else np.empty((0, spec.n_features))
-            hit, loss = hits_and_losses(forward(spec, params, x), label.to_numpy())
-            yield pd.DataFrame({"hit": hit, "loss": loss})
+            scores = forward(spec, params, matrix(features, spec.n_features))
+            hit, loss = hits_and_losses(scores, label.to_numpy(zero_copy_only=False))
+            yield pa.StructArray.from_arrays([pa.array(hit), pa.array(loss)], ["hit", "loss"])
 
     return (
         samples.select(judged("features", "label").alias("j"))

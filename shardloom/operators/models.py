@@ -6,10 +6,13 @@ Small NumPy helpers that run inside tasks. A model travels as one flat vector;
 
 from __future__ import annotations
 
+import math
 import sys
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Tasks receive this module's functions with the job itself, so executors need
@@ -62,12 +65,28 @@ class ModelSpec:
 def unpack(spec: ModelSpec, vector: np.ndarray) -> list[np.ndarray]:
     parts, at = [], 0
     for _, shape in spec.layers:
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         parts.append(vector[at : at + n].reshape(shape))
         at += n
     return parts
 
 
+def matrix(column, n_features: int) -> np.ndarray:
+    """Rows of an Arrow list column as one matrix, without an object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    if n == 0:
+        return np.empty((0, n_features))
+    widths = pc.list_value_length(column)
+    if widths.null_count or pc.min(widths).as_py() != n_features or pc.max(widths).as_py() != n_features:
+        raise ValueError(f"every row needs {n_features} features")
+    values = column.flatten()
+    if values.null_count:
+        raise ValueError("missing feature values")
+    return np.asarray(values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, n_features)
+
+
 def forward(spec: ModelSpec, params: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     """Class scores of a batch (no dropout)."""
     if spec.kind == "softmax":
@@ -102,18 +121,24 @@ def loss_and_gradient(
     else:
         act = x
         scores = x @ params[0].T + params[1]
-    scores = scores - scores.max(axis=1, keepdims=True)
-    exp = np.exp(scores)
-    total = exp.sum(axis=1, keepdims=True)
-    loss = float(np.mean(np.log(total[:, 0]) - scores[np.arange(n), y]))
-    delta = exp / total
-    delta[np.arange(n), y] -= 1.0
+    scores -= scores.max(axis=1, keepdims=True)
+    own = np.arange(n), y
+    own_score = scores[own]
+    delta = np.exp(scores, out=scores)
+    total = delta.sum(axis=1, keepdims=True)
+    loss = float((np.log(total[:, 0]) - own_score).sum()) / n
+    delta /= total
+    delta[own] -= 1.0
     delta /= n
-    grads = [delta.T @ act, delta.sum(axis=0)]
+    gradient = np.empty(vector.size)
+    parts = unpack(spec, gradient)
+    np.matmul(delta.T, act, out=parts[-2])
+    delta.sum(axis=0, out=parts[-1])
     if spec.kind == "mlp":
         back = (delta @ w2) * (act > 0) * mask
-        grads = [back.T @ x, back.sum(axis=0), *grads]
-    return loss, np.concatenate([g.ravel() for g in grads])
+        np.matmul(back.T, x, out=parts[0])
+        back.sum(axis=0, out=parts[1])
+    return loss, gradient
 
 
 @dataclass(frozen=True)
@@ -147,18 +172,22 @@ def train(
     epoch_losses = []
     for _ in range(cfg.epochs):
         order, losses = rng.permutation(len(y)), []
+        xs, ys = x[order], y[order]
         for at in range(0, len(y), cfg.batch):
-            rows = order[at : at + cfg.batch]
-            loss, g = loss_and_gradient(spec, w, x[rows], y[rows], rng)
+            loss, g = loss_and_gradient(
+                spec, w, xs[at : at + cfg.batch], ys[at : at + cfg.batch], rng
+            )
             losses.append(loss)
-            g = g + cfg.weight_decay * w
+            if cfg.weight_decay:
+                g += cfg.weight_decay * w
             if cfg.opt == "sgd":
-                m = cfg.momentum * m + g
-                w = w - lr * m
+                m *= cfg.momentum
+                m += g
+                w -= lr * m
             else:
                 steps += 1
                 m = 0.9 * m + 0.1 * g
                 v = 0.999 * v + 0.001 * g * g
-                w = w - lr * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+                w -= lr * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
         epoch_losses.append(float(np.mean(losses)))
     return w, epoch_losses

@@ -175,32 +175,45 @@ def verify_shards(samples: DataFrame, shards: DataFrame, expected_total: int | N
     )
 
 
-def with_unit(samples: DataFrame, unit_rows: int, key: str = "shard_id") -> DataFrame:
+def with_unit(
+    samples: DataFrame, unit_rows: int, key: str = "shard_id", sizes: DataFrame | None = None
+) -> DataFrame:
     """Split every shard into training units of about ``unit_rows`` rows.
 
     A shard at or below the limit is one unit. A larger one is split by a hash
     of the sample id into ``ceil(n / unit_rows)`` units, so a shard of any size
-    never has to fit into one task.
+    never has to fit into one task. ``sizes`` may hold the rows per shard
+    (``n_samples``) where they are known.
     """
-    sizes = samples.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(unit_rows)).cast("int").alias("_units")
+    if sizes is None:
+        sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_samples"))
+    units = sizes.select(
+        key, F.ceil(F.col("n_samples") / F.lit(unit_rows)).cast("int").alias("_units")
     )
     return (
-        spread_join(samples, sizes, [key], nulls=True)
+        spread_join(samples, units, [key], nulls=True)
         .withColumn("unit", F.pmod(F.xxhash64(F.col(ID)), F.col("_units")).cast("int"))
         .drop("_units")
     )
 
 
 def colocate(
-    samples: DataFrame, n: int, unit_rows: int = 1_000_000, sort_by: Sequence[str] = ()
+    samples: DataFrame,
+    n: int,
+    unit_rows: int = 1_000_000,
+    sort_by: Sequence[str] = (),
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Bring each shard together in one of ``n`` Spark partitions.
 
     A shard above ``unit_rows`` is spread over its units instead of being
-    forced into one partition. Cache the result to reuse the layout.
+    forced into one partition. Ranges of (shard, unit) carry about equally many
+    rows, where hashes of few keys would collide. Grouping by shard and unit
+    needs no further shuffle; cache the result to reuse the layout.
     """
     keys = ["shard_id", "unit"]
     return (
-        with_unit(samples, unit_rows).repartition(n, *keys).sortWithinPartitions(*keys, *sort_by)
+        with_unit(samples, unit_rows, sizes=sizes)
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys, *sort_by)
     )

@@ -1,4 +1,4 @@
-"""Training on shards: one grouped pandas UDF, failures as data, and the
+"""Training on shards: one grouped Arrow UDF, failures as data, and the
 per-participant logistic step as a plain aggregate."""
 
 from __future__ import annotations
@@ -6,15 +6,16 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.random import order_key
 from ..functions.rates import lr_at
 from ..functions.vectors import vector_norm
-from ..schemas import UPDATES
-from .models import ModelSpec, TrainConfig, train
+from ..schemas import UNITS, UPDATES
+from .models import ModelSpec, TrainConfig, matrix, train
 from .positions import hashed_cell, with_position
 from .sharding import with_unit
 
@@ -25,11 +26,6 @@ UNIT_BYTES = 256 * 1024 * 1024
 # A model is broadcast and averaged as (pos, value) rows, its size is fixed.
 MAX_MODEL_VALUES = 20_000_000
 
-_UNIT_SCHEMA = (
-    "round int, shard_id int, unit int, n_samples bigint, status string, error string, "
-    "avg_loss double, lr double, epoch_losses array<double>, weights array<double>"
-)
-
 
 def unit_rows_for(spec: ModelSpec) -> int:
     return max(1, min(UNIT_ROWS, UNIT_BYTES // (8 * spec.n_features)))
@@ -56,35 +52,35 @@ def train_units(
         np.asarray(start, dtype=np.float64)
     )
     lr = lr_at(round_no, cfg.lr, cfg.lr_gamma, cfg.lr_step)
+    schema = to_arrow_schema(UNITS)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, unit = int(key[0]), int(key[1])
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        shard, unit = key[0].as_py(), key[1].as_py()
         row = {
             "round": round_no, "shard_id": shard, "unit": unit, "n_samples": 0,
             "status": "failed", "error": None, "avg_loss": None, "lr": lr,
             "epoch_losses": None, "weights": None,
         }
         try:
-            pdf = pdf.sort_values("sample_id", kind="stable")
-            x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-            if x.shape[1] != spec.n_features:
-                raise ValueError(f"{x.shape[1]} features, {spec.n_features} expected")
+            order = np.argsort(group["sample_id"].to_numpy(), kind="stable")
+            x = matrix(group["features"], spec.n_features)[order]
+            y = group["label"].to_numpy()[order]
             seed = [cfg.seed, round_no, zlib.crc32(f"{shard}|{unit}".encode())]
-            w, losses = train(spec, cfg, lr, shared.value, x, pdf["label"].to_numpy(), seed)
+            w, losses = train(spec, cfg, lr, shared.value, x, y, seed)
             if not np.isfinite(w).all():
                 raise FloatingPointError("training diverged")
             row |= {
-                "n_samples": len(pdf), "status": "success", "weights": w,
+                "n_samples": len(y), "status": "success", "weights": w,
                 "avg_loss": float(np.mean(losses)), "epoch_losses": losses,
             }
         except Exception as e:  # noqa: BLE001 - a failed shard is a result
             if on_failure == "raise":
                 raise
             row["error"] = f"{type(e).__name__}: {e}"
-        return pd.DataFrame([row])
+        return pa.Table.from_pylist([row], schema=schema)
 
     columns = samples.select("shard_id", "unit", "sample_id", "features", "label")
-    return columns.groupBy("shard_id", "unit").applyInPandas(run, _UNIT_SCHEMA)
+    return columns.groupBy("shard_id", "unit").applyInArrow(run, UNITS)
 
 
 def train_local(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -19,6 +20,9 @@ from ..sources.checkpoints import save_checkpoint
 from ..sources.ledgers import append_ledger
 
 
+UNITS_PER_TASK = 4
+
+
 @dataclass(frozen=True)
 class RoundConfig:
     spec: ModelSpec
@@ -69,18 +73,29 @@ def run_rounds(
         raise ValueError(f"unknown quorum policy {cfg.policy!r}")
     spark = samples.sparkSession
     context = spark.sparkContext
-    parts = cfg.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unit_rows = cfg.unit_rows or unit_rows_for(cfg.spec)
+    # a row per shard
+    counts = samples.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    per_shard = counts.collect()
+    sizes = spark.createDataFrame(per_shard, counts.schema)
+    expected = {r["shard_id"] for r in per_shard}
+    n_units = sum(math.ceil(r["n_samples"] / unit_rows) for r in per_shard)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few units a task, so that little is lost with an executor
+    parts = cfg.partitions or max(width, math.ceil(n_units / UNITS_PER_TASK))
     laid_out = colocate(
-        samples.select("shard_id", "sample_id", "features", "label"),
-        parts,
-        cfg.unit_rows or unit_rows_for(cfg.spec),
+        samples.select("shard_id", "sample_id", "features", "label"), parts, unit_rows, sizes=sizes
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = test.select("sample_id", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    # Even tasks for every evaluation, whatever files the test set came in.
+    held_out = (
+        test.select("sample_id", "features", "label")
+        .repartition(parts, "sample_id")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     weights = cfg.spec.initial(cfg.train.seed, cfg.zeros) if start is None else np.asarray(start)
     rows = []
     began = time.monotonic()
     try:
-        expected = {r[0] for r in laid_out.select("shard_id").distinct().collect()}
         away = _outages_by_round(outages, expected, cfg)
         for r in range(cfg.start_round, cfg.start_round + cfg.rounds):
             # A filter on the cached layout keeps its partitioning: no shuffle.

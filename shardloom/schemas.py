@@ -17,6 +17,8 @@ UPDATES = _struct(
     round=_INT, shard_id=_INT, n_samples=_LONG, status=_STRING, error=_STRING,
     avg_loss=_DOUBLE, lr=_DOUBLE, epoch_losses=_VECTOR, weights=_VECTOR,
 )
+# A shard is trained in one or more units.
+UNITS = T.StructType([*UPDATES.fields[:2], T.StructField("unit", _INT), *UPDATES.fields[2:]])
 MESSAGE = _struct(
     participant_id=_INT, features=T.ArrayType(_VECTOR), label=T.ArrayType(_INT)
 )

@@ -13,7 +13,7 @@ from shardloom.operators.evaluation import (
     score_linear,
 )
 from shardloom.operators.models import ModelSpec, TrainConfig, loss_and_gradient, train, unpack
-from shardloom.operators.sharding import shard_contiguous
+from shardloom.operators.sharding import colocate, shard_contiguous
 from shardloom.plans.rounds import RoundConfig, run_rounds
 from shardloom.session import fresh_path
 from shardloom.sources.checkpoints import load_checkpoint
@@ -257,7 +257,7 @@ def test_resume_from_checkpoint_equals_one_run(spark, samples):
 
 
 def test_training_rounds_do_not_shuffle_samples(spark, samples):
-    laid = E.with_unit(samples, 100).repartition(8, "shard_id", "unit").sortWithinPartitions("shard_id", "unit").cache()
+    laid = colocate(samples, 8, unit_rows=100).cache()
     laid.count()
     plan = E.train_units(laid, SPEC, TrainConfig(), SPEC.initial())._jdf.queryExecution().executedPlan().toString()
     head = plan.split("InMemoryRelation")[0]
