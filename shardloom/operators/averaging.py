@@ -29,7 +29,8 @@ def average_weighted(updates: DataFrame) -> DataFrame:
     """``sum(n * w) / sum(n)`` per parameter over the valid updates."""
     rows = _positions(valid_updates(updates), "n_samples")
     return rows.groupBy(*_group(updates), "pos").agg(
-        (F.sum(F.col("n_samples") * F.col("value")) / F.sum("n_samples")).alias("value")
+        # null, not an error, where all updates are of no samples
+        F.try_divide(F.sum(F.col("n_samples") * F.col("value")), F.sum("n_samples")).alias("value")
     )
 
 

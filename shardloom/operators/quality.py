@@ -61,6 +61,7 @@ def select_participants(
     seed=42,
     by: Sequence[str] = (),
     digits: int = 9,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """The best ``max(min_n, int(n * ratio))`` participants, overall or per group.
 
@@ -69,14 +70,16 @@ def select_participants(
     the order their values were added up in. Rank and group size come from
     cell positions: selecting half of very many participants is a filter, not
     a limit on one task.
+
+    Ranking reads ``scored`` several times: one row per participant, but often
+    the result of a pass over all samples. It is checkpointed first, unless the
+    caller holds it already.
     """
     keyed = scored.withColumn("_desc", -F.round("score", digits)).withColumn(
         "_tie", order_key(F.col("participant_id"), seed=seed)
     )
-    # One row per participant, but often the result of a pass over all samples:
-    # ranking reads it several times, so it is computed once.
     ranked = with_position(
-        materialised(keyed), ["_desc", "_tie", "participant_id"], within=by, name="_pos", total="_total"
+        materialised(keyed) if checkpoint else keyed, ["_desc", "_tie", "participant_id"], within=by, name="_pos", total="_total"
     )
     k = F.greatest(F.lit(min_n), F.floor(F.col("_total") * F.lit(float(ratio))).cast("int"))
     return (

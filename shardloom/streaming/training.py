@@ -109,8 +109,10 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
             if samples.isEmpty():
                 return
             metrics = participant_metrics(label_entropy(samples), resources)
+            # Held in the cache for the batch: a stream leaves no checkpoint files.
+            scored = participant_score(metrics).persist()
             selected = select_participants(
-                participant_score(metrics), cfg.ratio, cfg.min_n, cfg.seed
+                scored, cfg.ratio, cfg.min_n, cfg.seed, checkpoint=False
             ).persist()
             updates = train_logistic(restrict_to(samples, selected), cfg.n_classes).filter(
                 F.col("status") == "success"
@@ -140,6 +142,7 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
                 cfg.path, "metrics", batch_id,
             )
             selected.unpersist()
+            scored.unpersist()
         finally:
             samples.unpersist()
 
