@@ -60,7 +60,8 @@ def spread_join(
 
     A right side that proves small is broadcast and the left stays where it is.
     Otherwise each right row is repeated once per salt and the left rows of a
-    key are spread over the salts by a hash of the row.
+    key are spread over the salts by a hash of the row, which tells rows of one
+    key apart by their id.
     """
     renamed = right.select(
         *[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns]
@@ -70,7 +71,8 @@ def spread_join(
         return left.join(small, _same(left, small, keys, nulls), how).drop(
             *[f"__{k}" for k in keys]
         )
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    hashable = [c for c, kind in left.dtypes if "map<" not in kind]
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)))
     repeated = renamed.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
