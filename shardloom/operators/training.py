@@ -181,7 +181,8 @@ def train_logistic(
 
     Coefficients are laid out for ``n_classes`` global classes (one row for
     two classes), zero for a class the participant does not have. With fewer
-    than two classes there is nothing to separate: status ``failed``.
+    than two classes there is nothing to separate, and a label outside the
+    global classes has no row: status ``failed``.
     """
     # position 0 is the intercept: a feature of constant one
     entries = F.concat(F.array(F.lit(1.0)), F.col("features"))
@@ -207,6 +208,9 @@ def train_logistic(
         "_cells",
         intercept.getField("t").cast("bigint").alias("_n"),
         F.size(intercept.getField("of")).alias("_k"),
+        F.forall(
+            F.map_keys(intercept.getField("of")), lambda c: (c >= 0) & (c < F.lit(n_classes))
+        ).alias("_known"),
     )
     classes = [1] if n_classes == 2 else list(range(n_classes))
     share = F.lit(0.5) if n_classes == 2 else F.lit(1.0) / F.col("_k")
@@ -231,13 +235,16 @@ def train_logistic(
             ),
         )
     )
-    enough = F.col("_k") >= 2
+    error = F.when(~F.col("_known"), f"label outside 0..{n_classes - 1}").when(
+        F.col("_k") < 2, "one class only"
+    )
+    ok = error.isNull()
     return graded.select(
         by,
-        F.when(enough, F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n_samples"),
-        F.when(enough, "success").otherwise("failed").alias("status"),
-        F.when(~enough, "one class only").alias("error"),
-        F.when(enough, step).alias("weights"),
+        F.when(ok, F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n_samples"),
+        F.when(ok, "success").otherwise("failed").alias("status"),
+        error.alias("error"),
+        F.when(ok, step).alias("weights"),
     )
 
 

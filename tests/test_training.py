@@ -147,11 +147,12 @@ def test_logistic_binary_step(spark, samples):
 
 def test_one_class_participant_fails_alone(spark):
     df = spark.createDataFrame(
-        [(1, [1.0], 0), (1, [2.0], 0), (2, [1.0], 0), (2, [3.0], 1)],
+        [(1, [1.0], 0), (1, [2.0], 0), (2, [1.0], 0), (2, [3.0], 1), (3, [1.0], 0), (3, [1.0], 7)],
         "participant_id INT, features ARRAY<DOUBLE>, label INT",
     )
     got = {r["participant_id"]: r for r in E.train_logistic(df, 3).collect()}
     assert (got[1]["status"], got[1]["weights"], got[1]["n_samples"]) == ("failed", None, 0)
+    assert got[3]["status"] == "failed" and "outside" in got[3]["error"]
     assert got[2]["status"] == "success" and len(got[2]["weights"]) == 3
     assert got[2]["weights"][2] == 0.0  # a class the participant does not have
 
