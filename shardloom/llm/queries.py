@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from . import sql
 from .jaccard import jaccard_components
+from .mixture import mix
 from .tables import documents
+from .tokens import read_documents, write_sequences
+
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op2_source_mixture(spark, sf_dir):
+    columns = ("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(documents(spark, sf_dir)).select(*columns)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_id_output(spark, sf_dir):
+    return read_documents(write_sequences(documents(spark, sf_dir), tokenizer_path(), end_id=2))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_source_mixture": op2_source_mixture,
+    "op6_token_id_output": op6_token_id_output,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": sql.JACCARD,
