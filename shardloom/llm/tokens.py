@@ -8,9 +8,8 @@ index (id, first id within the file, count) lies beside it in a file of the same
 
 The texts are encoded before they are moved: the shuffle by document ranges carries ids of two bytes
 where the vocabulary allows. A file is written under a name of its own attempt and then renamed, so a
-task that runs twice leaves one file. Encoding goes word by word: the tokenizer's splits never cross
-the white space that separates words (tested against whole texts), so each distinct word of a slice is
-encoded once.
+task that runs twice leaves one file. Encoding goes by pieces of words: the tokenizer splits at white space and
+between letters and marks (tested against whole texts), so each distinct piece is encoded once.
 """
 
 from __future__ import annotations
@@ -28,12 +27,12 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from .tables import parts
-from .words import U, ragged, slices, span_hash, prefix_hash, sums
+from .words import LOWER, U, prefix_hash, ragged, slices, span_hash, sums
 
 # Documents go to ranges of about so many ids per file.
 FILE_TOKENS = 1 << 24
-# Distinct words that a task remembers with their ids.
-REMEMBERED = 1 << 18
+# Distinct pieces of words that a task remembers with their ids.
+REMEMBERED = 1 << 20
 BATCH_ROWS = 1 << 10
 
 
@@ -45,10 +44,22 @@ def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+# Kinds of ASCII bytes; a piece of a word may end between a letter and a mark, where the tokenizer
+# always splits. The apostrophe (contractions) and all bytes outside ASCII stay with their neighbours.
+KIND = np.zeros(256, np.int8)
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+
+
 class WordEncoder:
-    """Ids of texts, by way of the ids of their distinct words."""
+    """Ids of texts, by way of the ids of their distinct pieces of words.
+
+    The tokenizer folds case, so pieces are told apart after folding A-Z; a slice that holds the
+    beginning of a special token's name keeps its case and its words whole.
+    """
 
     def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -56,22 +67,67 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, U)
-        self.starts = np.zeros(1, np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        new = [np.array(e.ids, np.uint32) for e in encoded]
-        pool = np.concatenate([self.ids, *new])
-        lengths = np.concatenate([np.diff(self.starts), [len(x) for x in new]]).astype(np.int64)
-        starts = sums(lengths)[:-1]
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys, lengths = keys[order], lengths[order]
-        self.ids = pool[ragged(starts[order], lengths)]
-        self.starts = sums(lengths)
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids: list[int] = []
+        lengths = np.empty(len(pieces), np.int64)
+        for a in range(0, len(pieces), 4096):
+            for i, e in enumerate(
+                self.tokenizer.encode_batch_fast(pieces[a : a + 4096], add_special_tokens=False), a
+            ):
+                lengths[i] = len(e.ids)
+                ids += e.ids
+        at = np.searchsorted(self.keys, keys)  # both ascending
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.insert(self.first, at, len(self.ids) + sums(lengths)[:-1])
+        self.length = np.insert(self.length, at, lengths)
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
 
     def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and how many each text has."""
+        part.find_words()
+        data, starts, ends, bounds = part.data, part.starts, part.ends, part.bounds
+        if b"<|" not in data.tobytes():
+            data = LOWER[data]
+            kind = KIND[data]
+            inside = np.zeros(len(data) + 1, bool)
+            inside[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+            cuts = np.flatnonzero(inside)
+            # A text begins a word, so no cut within a word crosses two texts.
+            cuts = cuts[~np.isin(cuts, part.offsets)]
+            starts = np.sort(np.concatenate([starts, cuts]))
+            ends = np.sort(np.concatenate([ends, cuts]))
+            bounds = np.searchsorted(starts, part.offsets)
+        h = span_hash(prefix_hash(data), starts, ends)
+        order = np.argsort(h)
+        sorted_h = h[order]
+        new_run = np.ones(len(h), bool)
+        new_run[1:] = sorted_h[1:] != sorted_h[:-1]
+        distinct, first = sorted_h[new_run], order[new_run]
+        inverse = np.empty(len(h), np.int64)
+        inverse[order] = np.cumsum(new_run) - 1
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != distinct
+        if len(self.keys) + new.sum() > REMEMBERED:
+            self._forget()
+            new[:] = True
+        if new.any():
+            body = data.tobytes()
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._learn(distinct[new], [body[a:b].decode() for a, b in spans])
+            at = np.searchsorted(self.keys, distinct)
+        lengths = self.length[at][inverse]
+        ids = self.ids[ragged(self.first[at][inverse], lengths)]
+        total = sums(lengths)
+        return ids, total[bounds[1:]] - total[bounds[:-1]]
+
+
+def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and how many each text has."""
         part.find_words()
         h = span_hash(prefix_hash(part.data), part.starts, part.ends)
@@ -101,7 +157,7 @@ def encode(
     def run(batches):
         encoder = WordEncoder(tokenizer_file)
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), 1 << 20):
                 ids, counts = encoder.encode(part)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids.astype(kind), ends, end_id)
