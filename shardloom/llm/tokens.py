@@ -14,6 +14,7 @@ between letters and marks (tested against whole texts), so each distinct piece i
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -146,30 +147,35 @@ def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
         return ids, total[part.bounds[1:]] - total[part.bounds[:-1]]
 
 
+@functools.cache
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    """One per worker process, so that what it has learned serves the next task."""
+    return WordEncoder(tokenizer_file)
+
+
 def encode(
     docs: DataFrame, tokenizer_file: str, end_id: int = 2, wide: bool = False, cuts=()
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (little-endian, two or four bytes each) of every row, and
     ``part``: how many of ``cuts`` lie below the id; rows without an id come after all others."""
     kind = "<u4" if wide else "<u2"
-    cuts = np.asarray(cuts, np.int64)
+    edges = np.asarray(cuts, np.int64)
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
         for batch in batches:
             for part in slices(batch.column(1), 1 << 20):
                 ids, counts = encoder.encode(part)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids.astype(kind), ends, end_id)
-                cuts = sums(counts + 1)
                 body = ids.view(np.uint8)
-                offsets = pa.py_buffer((cuts * ids.itemsize).astype(np.int32))
+                offsets = pa.py_buffer((sums(counts + 1) * ids.itemsize).astype(np.int32))
                 packed = pa.BinaryArray.from_buffers(
                     pa.binary(), len(part), [None, offsets, pa.py_buffer(body)]
                 )
                 doc_ids = batch.column(0).slice(part.first, len(part))
-                where = np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy())
-                where[doc_ids.is_null().to_numpy(zero_copy_only=False)] = len(cuts) + 1
+                where = np.searchsorted(edges, doc_ids.fill_null(0).to_numpy())
+                where[doc_ids.is_null().to_numpy(zero_copy_only=False)] = len(edges) + 1
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids, pa.array(counts + 1), packed, pa.array(where, pa.int32())],
                     ["doc_id", "n_tokens", "ids", "part"],
