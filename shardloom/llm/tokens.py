@@ -56,7 +56,8 @@ class WordEncoder:
     """Ids of texts, by way of the ids of their distinct pieces of words.
 
     The tokenizer folds case, so pieces are told apart after folding A-Z; a slice that holds the
-    beginning of a special token's name keeps its case and its words whole.
+    beginning of a special token's name keeps its case and its words whole. A tokenizer that splits
+    otherwise is found out at the start and given whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -64,6 +65,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.by_pieces = self._splits_as_assumed()
         self._forget()
 
     def _forget(self) -> None:
@@ -75,20 +77,36 @@ class WordEncoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         ids: list[int] = []
         lengths = np.empty(len(pieces), np.int64)
-        for a in range(0, len(pieces), 4096):
-            for i, e in enumerate(
-                self.tokenizer.encode_batch_fast(pieces[a : a + 4096], add_special_tokens=False), a
-            ):
-                lengths[i] = len(e.ids)
-                ids += e.ids
+        model = self.tokenizer.model
+        for i, piece in enumerate(pieces):
+            # Letters a-z are neither normalised nor split, so the model alone decides.
+            if piece.isascii() and piece.isalpha() and piece.islower():
+                own = [t.id for t in model.tokenize(piece)]
+            else:
+                own = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            lengths[i] = len(own)
+            ids += own
         at = np.searchsorted(self.keys, keys)  # both ascending
         self.keys = np.insert(self.keys, at, keys)
         self.first = np.insert(self.first, at, len(self.ids) + sums(lengths)[:-1])
         self.length = np.insert(self.length, at, lengths)
         self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
 
+    def _splits_as_assumed(self) -> bool:
+        """Whether this tokenizer folds case and splits at white space and at letter-mark borders."""
+        whole = "Over  (the)\nQUICK, brown;fox's don't!? a-b C3po"
+        pieces = ["over", "(", "the", ")", "quick", ",", "brown", ";", "fox's", "don't", "!?", "a", "-", "b", "c3po"]
+        encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        plain = [t.id for t in self.tokenizer.model.tokenize("quick")]
+        return encode(whole) == sum(map(encode, pieces), []) and plain == encode("quick")
+
     def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and how many each text has."""
+        if not self.by_pieces:
+            texts = [part.text(i) for i in range(len(part))]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat = np.array([i for x in each for i in x], np.uint32)
+            return flat, np.array([len(x) for x in each], np.int64)
         part.find_words()
         data, starts, ends, bounds = part.data, part.starts, part.ends, part.bounds
         if b"<|" not in data.tobytes():
@@ -130,6 +148,11 @@ class WordEncoder:
 
 def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and how many each text has."""
+        if not self.by_pieces:
+            texts = [part.text(i) for i in range(len(part))]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat = np.array([i for x in each for i in x], np.uint32)
+            return flat, np.array([len(x) for x in each], np.int64)
         part.find_words()
         h = span_hash(prefix_hash(part.data), part.starts, part.ends)
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
