@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import sql
+from .boosting import quality_scores
 from .jaccard import jaccard_components
 from .mixture import mix
-from .tables import documents
+from .rules import quality_rules
+from .tables import documents, labels
 from .tokens import read_documents, write_sequences
 
 
@@ -19,6 +21,10 @@ def op2_source_mixture(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select(*columns)
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -29,10 +35,16 @@ def op6_token_id_output(spark, sf_dir):
     return read_documents(write_sequences(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixture": op2_source_mixture,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_id_output": op6_token_id_output,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": sql.JACCARD,

@@ -84,9 +84,12 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def find_words(self) -> None:
-        """Sets ``starts``, ``ends`` (bytes) and ``bounds`` (first word of each text, and the end)."""
-        inside = ~SPACE[self.data]
+    def find_words(self, kinds: np.ndarray = ~SPACE) -> None:
+        """Sets ``starts``, ``ends`` (bytes) and ``bounds`` (first word of each text, and the end).
+
+        ``kinds`` tells for every byte whether it belongs to a word.
+        """
+        inside = kinds[self.data]
         before = np.empty_like(inside)
         after = np.empty_like(inside)
         if len(inside):
