@@ -5,10 +5,12 @@ from __future__ import annotations
 from . import sql
 from .boosting import quality_scores
 from .jaccard import jaccard_components
+from .language import identify_languages
 from .mixture import mix
 from .rules import quality_rules
 from .tables import documents, labels
 from .tokens import read_documents, write_sequences
+from .toxicity import toxicity_scores
 
 
 
@@ -21,6 +23,14 @@ def op2_source_mixture(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select(*columns)
 
 
+def op3_language_id(spark, sf_dir):
+    return identify_languages(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -42,6 +52,8 @@ def op9_quality_classifier(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixture": op2_source_mixture,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_id_output": op6_token_id_output,
     "op9_quality_classifier": op9_quality_classifier,
