@@ -6,6 +6,7 @@ from . import sql
 from .boosting import quality_scores
 from .jaccard import jaccard_components
 from .language import identify_languages
+from .lm import lm_scores
 from .mixture import mix
 from .rules import quality_rules
 from .tables import documents, labels
@@ -45,6 +46,10 @@ def op6_token_id_output(spark, sf_dir):
     return read_documents(write_sequences(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark, sf_dir):
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_id_output": op6_token_id_output,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLE = {
