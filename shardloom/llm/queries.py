@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from . import sql
 from .boosting import quality_scores
+from .decontaminate import contaminated
 from .jaccard import jaccard_components
 from .language import identify_languages
 from .lm import lm_scores
 from .mixture import mix
 from .rules import quality_rules
-from .tables import documents, labels
+from .tables import benchmark, documents, labels
 from .tokens import read_documents, write_sequences
 from .toxicity import toxicity_scores
 
@@ -54,6 +55,10 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_benchmark_decontamination(spark, sf_dir):
+    return contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixture": op2_source_mixture,
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_token_id_output": op6_token_id_output,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": sql.JACCARD,
