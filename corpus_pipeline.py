@@ -1,15 +1,79 @@
-"""From raw documents to token files: five stages, each a table that the next one reads."""
+"""From raw documents to token files: five stages, each a table that the next one reads.
+
+Every stage but the last returns the columns of ``documents``; ``run`` applies them in order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shardloom.llm.decontaminate import contaminated
+from shardloom.llm.jaccard import jaccard_components
+from shardloom.llm.mixture import mix
+from shardloom.llm.queries import tokenizer_path
+from shardloom.llm.tables import benchmark, labels, stored
+from shardloom.llm.tokens import read_documents, write_sequences
+from shardloom.llm.toxicity import toxicity_scores
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; a row without an id cannot be named and stays."""
+    toxic = toxicity_scores(docs, labels(spark, sf_dir)).filter("predicted = 1").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-duplicate shingles the one with the smallest id stays, once."""
+    groups = jaccard_components(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id")
+    kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = stored(twice, "repeated-ids")
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = contaminated(docs, benchmark(spark, sf_dir)).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; the last one of a source as far as it is taken."""
+    plan = stored(mix(docs).select("doc_id", "source", "size", "copies").filter(F.size("copies") > 0), "mix")
+    plan = plan.groupBy("doc_id").agg(F.first("size").alias("_size"), F.flatten(F.collect_list("copies")).alias("_copies"))
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
+    rows = rows.withColumn("_copy", F.explode("_copies"))
+    words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*" + WORD + "){"), F.col("_copy.words"), F.lit("}"))
+    cut = F.call_function("regexp_extract", F.col("text"), words, F.lit(0))
+    rows = rows.withColumn("text", F.when(F.col("_copy.words") < F.col("_size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and where each document lies in them."""
+    return read_documents(write_sequences(docs, tokenizer_path(), end_id=2))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("source_mixture", mixed),
+    ("token_id_output", to_tokens),
+]
+# Learned models, random draws and token ids are beyond SQL; tests check the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

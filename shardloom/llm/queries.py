@@ -9,6 +9,7 @@ from .jaccard import jaccard_components
 from .language import identify_languages
 from .lm import lm_scores
 from .mixture import mix
+from .pii import personal_data
 from .rules import quality_rules
 from .tables import benchmark, documents, labels
 from .tokens import read_documents, write_sequences
@@ -47,6 +48,10 @@ def op6_token_id_output(spark, sf_dir):
     return read_documents(write_sequences(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+def op7_pii(spark, sf_dir):
+    return personal_data(documents(spark, sf_dir))
+
+
 def op8_lm_scoring(spark, sf_dir):
     return lm_scores(documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_id_output": op6_token_id_output,
+    "op7_pii": op7_pii,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
