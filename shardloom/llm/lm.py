@@ -247,7 +247,8 @@ def train(
     folder = fresh_path(spark, "trie")
     store, root = store_of(folder)
     store.create_dir(root, recursive=True)
-    _write(reduced, folder, bits, shards).collect()  # a row per shard
+    if shards:
+        _write(reduced, folder, bits, shards).collect()  # a row per shard
     return Trie(
         order, bits, tuple(1 << shards[k] if k in shards else 0 for k in range(1, order + 1)), folder,
         totals[1]["tokens"] if totals else 0, totals[1]["words"] if totals else 0,
