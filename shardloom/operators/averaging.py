@@ -93,6 +93,8 @@ def apply_quorum(
     """
     if policy not in ("any", "all"):
         raise ValueError(f"unknown quorum policy {policy!r}")
+    if policy == "all" and expected is None:
+        raise ValueError("policy 'all' needs the number of expected shards: a silent one sends no row")
     good = F.coalesce(F.col("status") == "success", F.lit(False)) & F.col("weights").isNotNull()
     shards = updates.groupBy("round", "shard_id").agg(
         F.max(good.cast("int")).alias("_good"),
@@ -100,8 +102,7 @@ def apply_quorum(
     )
     met = (F.sum("_good") >= 1) & (F.sum("_n") > 0)
     if policy == "all":
-        need = F.count(F.lit(1)) if expected is None else F.lit(expected)
-        met = met & (F.sum("_good") >= need)
+        met = met & (F.sum("_good") >= F.lit(expected))
     accepted = shards.groupBy("round").agg(met.alias("_met")).filter("_met").select("round")
     accepted = small_side(accepted) or accepted
     new = average_weighted(updates).join(accepted, "round", "left_semi")

@@ -75,7 +75,10 @@ def select_participants(
     the result of a pass over all samples. It is checkpointed first, unless the
     caller holds it already.
     """
-    keyed = scored.withColumn("_desc", -F.round("score", digits)).withColumn(
+    keyed = scored.withColumn(
+        # A participant without a score ranks behind all others.
+        "_desc", F.coalesce(-F.round("score", digits), F.lit(float("inf")))
+    ).withColumn(
         "_tie", order_key(F.col("participant_id"), seed=seed)
     )
     ranked = with_position(

@@ -36,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     setting filled in, so that later calls find the same folder.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
+    if not path and spark.sparkContext.getCheckpointDir():
+        path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shardloom-")
         spark.conf.set(CHECKPOINT_CONF, path)
     return path

@@ -37,7 +37,7 @@ def clean_ledger(raw: DataFrame) -> DataFrame:
         named = named.withColumn("loss", F.replace("loss", F.lit("l"), F.lit("1")))
     as_number = {
         # '3.0' is round 3, as a numeric column reads it
-        c: F.col(c).try_cast("double").cast(t) if t == "int" else F.col(c).try_cast(t)
+        c: F.col(c).try_cast("double").try_cast(t) if t == "int" else F.col(c).try_cast(t)
         for c, t in _TYPES.items()
         if c in named.columns
     }
@@ -57,7 +57,9 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], HISTORY)
     try:
         header = spark.read.text(path).limit(1).collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty
     if not header or header[0][0].strip() != "Round,Accuracy":
         return empty

@@ -74,7 +74,9 @@ def read_state(spark: SparkSession, path: str, table: str) -> DataFrame:
     schema = _SCHEMAS[table]
     try:
         return spark.read.schema(schema).parquet(f"{path}/{table}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
