@@ -33,7 +33,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SUPPORT = 3  # different seeds that a pattern must have stood around
 CONFIDENCE = 0.7
 ROUNDS = 3
-PATTERNS = 1 << 20  # patterns that are counted: those with the most seeds
+# Bits of the filter that spares words whose patterns no seed stood in. All that passes is joined with the
+# patterns themselves, so a filter that fills up costs time and loses nothing.
+FILTER = 1 << 27
+SALTS = 16
 
 
 def _emails(text: str):
@@ -152,23 +155,40 @@ def _seed_edges(docs: DataFrame) -> DataFrame:
     return edges.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _filter(patterns: DataFrame) -> np.ndarray:
+    """A bitmap of hashed patterns: ``FILTER`` bits, however many patterns there are."""
+    rows = patterns.groupBy(F.expr(f"shiftright(pattern & {FILTER - 1}L, 6)").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(pattern & 63 AS INT)))").alias("bits")
+    ).toArrow()
+    out = np.zeros(FILTER // 64, U)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(U)
+    return out
+
+
+def _passes(bitmap: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    return (bitmap[((pattern & U(FILTER - 1)) >> U(6)).astype(np.int64)] >> (pattern & U(63))) & U(1) != 0
+
+
 def _other_edges(docs: DataFrame, known) -> DataFrame:
-    """How often known patterns stand around identifier-like words, and (instance 0) around others."""
+    """How often patterns of a filter stand around identifier-like words, and (instance 0) around others."""
 
     def run(batches):
-        patterns = known.value
         for batch in batches:
             for part in slices(batch.column(1), 1 << 20):
                 words = _Words(part)
-                rows, at = [], None
+                rows = []
                 for row in words.patterns:
-                    at = np.flatnonzero(np.isin(row, patterns, kind="sort") & ~words.taken)
+                    at = np.flatnonzero(_passes(known.value, row) & ~words.taken)
                     rows.append((row[at], np.where(words.like[at], words.word[at] >> U(2), U(0))))
                 pattern, instance = (np.concatenate(x) for x in zip(*rows, strict=True))
                 if len(pattern):
-                    pairs, n = np.unique(np.stack([pattern, instance]), axis=1, return_counts=True)
+                    order = np.lexsort((instance, pattern))
+                    pattern, instance = pattern[order], instance[order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (pattern[1:] != pattern[:-1]) | (instance[1:] != instance[:-1])
+                    n = np.diff(np.flatnonzero(new), append=len(order))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(pairs[0])), pa.array(_signed(pairs[1])), pa.array(n)],
+                        [pa.array(_signed(pattern[new])), pa.array(_signed(instance[new])), pa.array(n)],
                         ["pattern", "instance", "n"],
                     )
 
@@ -176,17 +196,19 @@ def _other_edges(docs: DataFrame, known) -> DataFrame:
     return edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
 
 
-def trusted_patterns(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> np.ndarray:
-    """Hashes of the patterns that the bootstrap ends up trusting."""
+def trusted_patterns(
+    docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS
+) -> DataFrame:
+    """Hashes (``pattern``) of the patterns that the bootstrap ends up trusting."""
     spark = docs.sparkSession
     seeds = stored(_seed_edges(docs), "pii-seeds")
     strong = seeds.groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= support)
-    strong = stored(strong.orderBy(F.desc("k"), "pattern").limit(PATTERNS), "pii-patterns")
-    names = strong.select("pattern").toArrow()["pattern"].to_numpy()  # at most PATTERNS numbers
-    known = spark.sparkContext.broadcast(np.sort(names.view(U)))
+    strong = stored(strong.select("pattern"), "pii-patterns")
+    known = spark.sparkContext.broadcast(_filter(strong))
     edges = (
-        seeds.join(strong.select("pattern"), "pattern").withColumn("belief", F.lit(1.0))
+        seeds.withColumn("belief", F.lit(1.0))
         .unionByName(_other_edges(docs, known).withColumn("belief", F.lit(0.0)))
+        .join(strong, "pattern", "left_semi")
     )
     edges = stored(edges.withColumn("seed", F.col("belief") == 1.0), "pii-graph")
     for _ in range(rounds):
@@ -200,8 +222,7 @@ def trusted_patterns(docs: DataFrame, support: int = SUPPORT, confidence: float
             "pii-graph",
         )
     trust = edges.groupBy("pattern").agg((F.sum(F.col("belief") * F.col("n")) / F.sum("n")).alias("trust"))
-    good = trust.filter(F.col("trust") >= confidence).select("pattern").toArrow()["pattern"].to_numpy()
-    return np.sort(good.view(U))
+    return stored(trust.filter(F.col("trust") >= confidence).select("pattern"), "pii-trusted")
 
 
 def personal_data(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -215,35 +236,72 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, confidence: float = C
     are searched whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    trusted = docs.sparkSession.sparkContext.broadcast(trusted_patterns(docs, support, confidence))
+    trusted = trusted_patterns(docs, support, confidence)
+    known = docs.sparkSession.sparkContext.broadcast(_filter(trusted))
     columns = [f"n_{k}" for k in KINDS]
+    every = (*KINDS, "other")
+    span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+    maybe = pa.struct([("pattern", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch.column(1), 1 << 20):
                 words = _Words(part)
-                hit = np.isin(words.patterns, trusted.value, kind="sort").any(0) & words.like & ~words.taken
                 more: dict[int, list] = {}
-                for w in np.flatnonzero(hit):
-                    t = int(np.searchsorted(words.bounds, w, "right")) - 1
-                    a, b = (int(x[w - words.bounds[t]]) for x in words.char_bounds(t))
-                    more.setdefault(t, []).append((a, b, "other"))
+                for row in words.patterns:
+                    for w in np.flatnonzero(_passes(known.value, row) & words.like & ~words.taken):
+                        t = int(np.searchsorted(words.bounds, w, "right")) - 1
+                        more.setdefault(t, []).append((int(w - words.bounds[t]), int(row[w].view(np.int64))))
                 rows = []
                 for t in range(len(part)):
                     base = words.base.get(t, [])
-                    every = sorted(base + more.get(t, []), key=lambda x: (x[0], (*KINDS, "other").index(x[2])))
-                    text, full = (",".join(f"{k}:{a}:{b}" for a, b, k in x) for x in (base, every))
+                    text = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+                    first, last = words.char_bounds(t) if t in more else ((), ())
                     kinds = [k for _, _, k in base]
-                    rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(text.encode()).hexdigest(), full, len(more.get(t, []))))
-                names = [*columns, "base_sha256", "spans", "n_other"]
-                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                    rows.append((
+                        *(kinds.count(k) for k in KINDS), hashlib.sha256(text.encode()).hexdigest(),
+                        [(a, KINDS.index(k), b) for a, b, k in base],
+                        [(p, int(first[w]), int(last[w])) for w, p in more.get(t, [])],
+                    ))
+                types = [pa.int64()] * 4 + [pa.string(), pa.list_(span), pa.list_(maybe)]
+                own = batch.slice(part.first, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(part))]
+                    [own.column(0), own.column(2), own.column(3)]
                     + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                    ["doc_id", *names],
+                    ["doc_id", "k1", "k2", *columns, "base_sha256", "base", "maybe"],
                 )
 
-    return docs.mapInArrow(
-        run,
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long",
+    # Two hashes name a text, whatever ids its rows have.
+    keyed = docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    found = stored(
+        keyed.mapInArrow(
+            run,
+            "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+            "base array<struct<start: bigint, kind: int, end: bigint>>, "
+            "maybe array<struct<pattern: bigint, start: bigint, end: bigint>>",
+        ),
+        "pii-found",
+    )
+    none = F.lit(None).cast("array<struct<start: bigint, kind: int, end: bigint>>")
+    other = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
+    hits = (
+        found.select("k1", "k2", F.inline("maybe")).distinct().join(trusted, "pattern", "left_semi")
+        .groupBy("k1", "k2").agg(F.collect_set(other).alias("other"))
+    )
+    # One text may be a third of all rows: they are spread, and its spans repeated, once per salt.
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = found.filter(F.size("maybe") > 0).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = (
+        open_.join(hits, ["k1", "k2", "salt"], "left").drop("salt")
+        .unionByName(found.filter(F.size("maybe") == 0).withColumn("other", none))
+        .withColumn("other", F.coalesce("other", F.expr("slice(base, 1, 0)")))
+    )
+    names = F.array(*map(F.lit, every))
+    spans = F.transform(
+        F.array_sort(F.concat("base", "other")),
+        lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string")),
+    )
+    return rows.select(
+        "doc_id", *columns, "base_sha256", F.array_join(spans, ",").alias("spans"),
+        F.size("other").cast("long").alias("n_other"),
     )
