@@ -98,6 +98,11 @@ def hashed_cell(df: DataFrame, key: str) -> Column:
     return F.shiftright(F.col(key), 60 - bits).cast("int")
 
 
+def _in_spark_order(key: tuple) -> tuple:
+    """Sort key for Python: nulls first and NaN last, as Spark orders them."""
+    return tuple((v is not None, v != v, v) for v in key)
+
+
 def sampled_bounds(
     df: DataFrame, order_by: Sequence[str], rows_per_cell: int = ROWS_PER_CELL
 ) -> tuple[int, list[tuple]]:
@@ -113,13 +118,13 @@ def sampled_bounds(
         return n, []
     cells = min(MAX_CELLS, max(MIN_CELLS, math.ceil(n / rows_per_cell)))
     fraction = min(1.0, cells * SAMPLED_PER_CELL / n)
-    sample = sorted(tuple(r) for r in keys.sample(False, fraction, seed=17).collect())
+    sample = sorted((tuple(r) for r in keys.sample(False, fraction, seed=17).collect()), key=_in_spark_order)
     picks = {sample[i * len(sample) // cells] for i in range(1, cells)} if sample else set()
     for width in range(1, len(order_by) + 1):
         prefixes = {p[:width] for p in picks}
         if len(prefixes) == len(picks):
-            return n, sorted(prefixes)
-    return n, sorted(picks)
+            return n, sorted(prefixes, key=_in_spark_order)
+    return n, sorted(picks, key=_in_spark_order)
 
 
 def with_position(
@@ -226,7 +231,7 @@ def keys_at(
         .join(targets, ["_cell", "_rank"], "left_semi")
         .select(*order_by)
     )
-    return n, sorted(tuple(r) for r in hits.collect())
+    return n, sorted((tuple(r) for r in hits.collect()), key=_in_spark_order)
 
 
 def with_carried(

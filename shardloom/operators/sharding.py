@@ -175,10 +175,22 @@ def verify_shards(samples: DataFrame, shards: DataFrame, expected_total: int | N
     )
 
 
+def with_equal_units(samples: DataFrame, units_per_shard: int = 1) -> DataFrame:
+    """Split every shard into ``units_per_shard`` training units by a hash of the sample id.
+
+    The number is the caller's and looks at no size, so the same samples are in
+    the same unit whatever else their shard holds. Nothing is counted or moved.
+    """
+    if units_per_shard < 1:
+        raise ValueError("units_per_shard must be positive")
+    unit = F.pmod(F.xxhash64(F.col(ID)), F.lit(units_per_shard)).cast("int")
+    return samples.withColumn("unit", F.lit(0) if units_per_shard == 1 else unit)
+
+
 def with_unit(
     samples: DataFrame, unit_rows: int, key: str = "shard_id", sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Split every shard into training units of about ``unit_rows`` rows.
+    """Split every shard into units of about ``unit_rows`` rows, where a caller asks for a size.
 
     A shard at or below the limit is one unit. A larger one is split by a hash
     of the sample id into ``ceil(n / unit_rows)`` units, so a shard of any size
@@ -200,20 +212,27 @@ def with_unit(
 def colocate(
     samples: DataFrame,
     n: int,
-    unit_rows: int = 1_000_000,
+    unit_rows: int | None = None,
     sort_by: Sequence[str] = (),
     sizes: DataFrame | None = None,
+    units_per_shard: int = 1,
 ) -> DataFrame:
-    """Bring each shard together in one of ``n`` Spark partitions.
-
-    A shard above ``unit_rows`` is spread over its units instead of being
-    forced into one partition. Ranges of (shard, unit) carry about equally many
-    rows, where hashes of few keys would collide. Grouping by shard and unit
-    needs no further shuffle; cache the result to reuse the layout.
+    """Bring each unit of each shard together in one of ``n`` Spark partitions.
+
+    With one unit per shard, whatever its size, a shard lies in one partition.
+    A shard that must be spread is cut into ``units_per_shard`` units, or into
+    units of about ``unit_rows`` rows if that is given. Ranges of (shard, unit)
+    carry about equally many rows, where hashes of few keys would collide.
+    Grouping by shard and unit needs no further shuffle; cache the result to
+    reuse the layout.
     """
     keys = ["shard_id", "unit"]
+    if unit_rows is None:
+        units = with_equal_units(samples, units_per_shard)
+    else:
+        units = with_unit(samples, unit_rows, sizes=sizes)
     return (
-        with_unit(samples, unit_rows, sizes=sizes)
+        units
         .repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys, *sort_by)
     )

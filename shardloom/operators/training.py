@@ -17,20 +17,12 @@ from ..functions.vectors import vector_norm
 from ..schemas import UNITS, UPDATES
 from .models import ModelSpec, TrainConfig, matrix, train
 from .positions import hashed_cell, with_position
-from .sharding import with_unit
+from .sharding import with_equal_units, with_unit
 
-# Rows one task trains on in sequence. A shard of this size or less is trained
-# exactly as one sequence of mini-batches; the feature bytes bound it too.
-UNIT_ROWS = 50_000
-UNIT_BYTES = 256 * 1024 * 1024
 # A model is broadcast and averaged as (pos, value) rows, its size is fixed.
 MAX_MODEL_VALUES = 20_000_000
 
 
-def unit_rows_for(spec: ModelSpec) -> int:
-    return max(1, min(UNIT_ROWS, UNIT_BYTES // (8 * spec.n_features)))
-
-
 def train_units(
     samples: DataFrame,
     spec: ModelSpec,
@@ -91,18 +83,20 @@ def train_local(
     round_no: int = 1,
     on_failure: str = "capture",
     unit_rows: int | None = None,
+    units_per_shard: int = 1,
 ) -> DataFrame:
     """One update per shard, from the same starting model.
 
-    A shard above ``unit_rows`` is trained in units, each from the starting
-    model, and its update is their sample-weighted mean. A shard with a failed
+    The unit plan is the caller's and looks at no size. With one unit per shard
+    a shard of any size is one sequence of mini-batches in one task, which must
+    hold its samples. With n ``units_per_shard`` (or units of about
+    ``unit_rows`` rows) each unit starts from the same model and holds its part
+    only, and the update is their sample-weighted mean. A shard with a failed
     unit is failed as a whole.
     """
     start = spec.initial(cfg.seed) if start is None else start
-    units = train_units(
-        with_unit(samples, unit_rows or unit_rows_for(spec)), spec, cfg, start, round_no, on_failure
-    )
-    return merge_units(units)
+    split = with_unit(samples, unit_rows) if unit_rows else with_equal_units(samples, units_per_shard)
+    return merge_units(train_units(split, spec, cfg, start, round_no, on_failure))
 
 
 # What an entry of a unit's result describes.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluation import evaluate_model
 from ..operators.models import ModelSpec, TrainConfig
 from ..operators.sharding import colocate
-from ..operators.training import train_units, unit_rows_for
+from ..operators.training import train_units
 from ..schemas import LEDGER, MODEL
 from ..sources.checkpoints import save_checkpoint
 from ..sources.ledgers import append_ledger
@@ -31,6 +31,8 @@ class RoundConfig:
     policy: str = "any"
     method: str = "spark"
     mode: str = "normal"
+    # Units of a shard: a number, or about so many rows each. See train_local.
+    units_per_shard: int = 1
     unit_rows: int | None = None
     partitions: int | None = None
     checkpoint_path: str | None = None
@@ -73,18 +75,20 @@ def run_rounds(
         raise ValueError(f"unknown quorum policy {cfg.policy!r}")
     spark = samples.sparkSession
     context = spark.sparkContext
-    unit_rows = cfg.unit_rows or unit_rows_for(cfg.spec)
     # a row per shard
     counts = samples.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_samples"))
     per_shard = counts.collect()
     sizes = spark.createDataFrame(per_shard, counts.schema)
     expected = {r["shard_id"] for r in per_shard}
-    n_units = sum(math.ceil(r["n_samples"] / unit_rows) for r in per_shard)
+    n_units = len(per_shard) * cfg.units_per_shard
+    if cfg.unit_rows:
+        n_units = sum(math.ceil(r["n_samples"] / cfg.unit_rows) for r in per_shard)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # few units a task, so that little is lost with an executor
     parts = cfg.partitions or max(width, math.ceil(n_units / UNITS_PER_TASK))
     laid_out = colocate(
-        samples.select("shard_id", "sample_id", "features", "label"), parts, unit_rows, sizes=sizes
+        samples.select("shard_id", "sample_id", "features", "label"), parts, cfg.unit_rows,
+        sizes=sizes, units_per_shard=cfg.units_per_shard,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     # Even tasks for every evaluation, whatever files the test set came in.
     held_out = (

@@ -151,3 +151,13 @@ def test_join_on_matches_nulls(spark):
     b = spark.createDataFrame([(None, 10), ("x", 20)], "k STRING, b INT")
     got = sorted((r["a"], r["b"]) for r in join_on(a, b, ["k"]).collect())
     assert got == [(1, 10), (2, 20)]
+
+
+def test_null_and_nan_keys_keep_their_place_at_every_cell_size(spark):
+    keys = [None, None, float("nan"), 2.0, None, -1.0, 7.5, float("nan"), 2.0, 0.0] * 30
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k double").repartition(4)
+    whole, cut = (
+        {r["id"]: r["position"] for r in with_position(df, ["k", "id"], rows_per_cell=n).collect()} for n in (1000, 7)
+    )
+    assert whole == cut and sorted(cut.values()) == list(range(300))
+    assert keys_at(df, ["k", "id"], lambda n: [0, 89, 90, n - 1], rows_per_cell=7)[1][:3] == [(None, 0), (None, 294), (-1.0, 5)]

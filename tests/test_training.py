@@ -270,3 +270,20 @@ def test_metrics_of_shard_models(spark, samples):
     w = updates.filter("shard_id = 0").first()["weights"]
     pred = score(samples, SPEC, w)
     assert accuracy(pred).first()["accuracy"] == evaluate(pred).first()["accuracy"] > 80
+
+
+@pytest.mark.parametrize("units", [1, 3])
+def test_the_unit_plan_does_not_look_at_sizes(spark, samples, units):
+    """A shard's update stays the same when other shards grow far beyond it."""
+    grown = samples.unionByName(
+        samples.filter("shard_id = 1").crossJoin(spark.range(1, 300)).withColumn(
+            "sample_id", F.col("sample_id") + F.col("id") * 1_000_000
+        ).drop("id")
+    )
+    cfg = TrainConfig(epochs=1)
+    small, large = (collect(E.train_local(x, SPEC, cfg, units_per_shard=units)) for x in (samples, grown))
+    assert large[1]["n_samples"] == 60_000
+    for s in (0, 2):
+        assert small[s]["weights"] == large[s]["weights"]
+    sizes = E.with_equal_units(grown, units).groupBy("shard_id").agg(F.count_distinct("unit").alias("n"))
+    assert {r["n"] for r in sizes.collect()} == {units}
