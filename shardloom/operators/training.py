@@ -175,24 +175,26 @@ def train_logistic(
 
     Coefficients are laid out for ``n_classes`` global classes (one row for
     two classes), zero for a class the participant does not have. With fewer
-    than two classes there is nothing to separate, and a label outside the
-    global classes has no row: status ``failed``.
+    than two classes there is nothing to separate, and a label that is null or
+    outside the global classes has no row: status ``failed``. So is a participant
+    whose vectors differ in length, are null or hold nulls.
     """
     # position 0 is the intercept: a feature of constant one
-    entries = F.concat(F.array(F.lit(1.0)), F.col("features"))
+    entries = F.concat(F.array(F.lit(1.0)), F.coalesce("features", F.array().cast("array<double>")))
     sums = (
-        samples.select(by, "label", F.posexplode(entries).alias("pos", "_x"))
+        samples.select(by, F.coalesce("label", F.lit(-1)).alias("label"), F.posexplode(entries).alias("pos", "_x"))
         .groupBy(by, "label", "pos")
-        .agg(F.sum("_x").alias("_s"))
+        .agg(F.sum("_x").alias("_s"), F.count("_x").alias("_c"))
     )
     # From here on the size is that of the models: classes x features.
     cells = sums.groupBy(by, "pos").agg(
         F.sum("_s").alias("t"),
+        F.sum("_c").alias("c"),
         F.map_from_entries(F.collect_list(F.struct("label", "_s"))).alias("of"),
     )
     packed = cells.groupBy(by).agg(
         F.array_sort(
-            F.collect_list(F.struct("pos", "t", "of")),
+            F.collect_list(F.struct("pos", "t", "c", "of")),
             lambda a, b: a.getField("pos") - b.getField("pos"),
         ).alias("_cells")
     )
@@ -205,6 +207,10 @@ def train_logistic(
         F.forall(
             F.map_keys(intercept.getField("of")), lambda c: (c >= 0) & (c < F.lit(n_classes))
         ).alias("_known"),
+        (
+            (F.size("_cells") > 1)
+            & F.forall("_cells", lambda cell: cell.getField("c") == intercept.getField("c"))
+        ).alias("_even"),
     )
     classes = [1] if n_classes == 2 else list(range(n_classes))
     share = F.lit(0.5) if n_classes == 2 else F.lit(1.0) / F.col("_k")
@@ -229,8 +235,10 @@ def train_logistic(
             ),
         )
     )
-    error = F.when(~F.col("_known"), f"label outside 0..{n_classes - 1}").when(
-        F.col("_k") < 2, "one class only"
+    error = (
+        F.when(~F.col("_known"), f"label outside 0..{n_classes - 1}")
+        .when(~F.col("_even"), "vectors of different length or with nulls")
+        .when(F.col("_k") < 2, "one class only")
     )
     ok = error.isNull()
     return graded.select(

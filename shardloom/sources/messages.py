@@ -62,12 +62,16 @@ def read_message_stream(spark: SparkSession, source: str = "kafka", path: str |
 def parse_messages(messages: DataFrame) -> DataFrame:
     """One row per sample; texts that are no message are dropped.
 
-    A malformed text parses to a struct of nulls, hence the filter on a field.
+    A malformed text parses to a struct of nulls, hence the filter on a field. A
+    message whose arrays differ in length or hold nulls is malformed as a whole.
     """
     parsed = messages.select(F.from_json("value", MESSAGE).alias("m")).filter(
         F.col("m.participant_id").isNotNull()
         & F.col("m.features").isNotNull()
         & F.col("m.label").isNotNull()
+        & (F.size("m.features") == F.size("m.label"))
+        & ~F.exists("m.label", lambda y: y.isNull())
+        & ~F.exists("m.features", lambda x: x.isNull() | F.exists(x, lambda v: v.isNull()))
     )
     return parsed.select(
         F.col("m.participant_id").alias("participant_id"),
