@@ -2,7 +2,10 @@
 
 import random
 
-from shardloom.llm.decontaminate import contaminated
+import numpy as np
+
+from shardloom.llm.decontaminate import BLOCK, PARAPHRASE, TERMS, Postings, _blocks, contaminated
+from shardloom.llm.words import sums
 
 
 def prose(seed, n, vocabulary=50_000):
@@ -28,3 +31,32 @@ def test_contaminated_punctuation_and_case(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert found(docs, bench) == {(1, 1), (2, 1)}
+
+
+def test_candidates_are_all_regions_with_enough_words():
+    draw = np.random.default_rng(6)
+    bounds = sums(draw.integers(0, 120, 40))
+    terms = draw.zipf(1.3, bounds[-1]) % 60
+    words = [draw.zipf(1.3, int(n)) % 60 for n in draw.integers(1, 49, 50)]
+    first, count = _blocks(bounds, BLOCK)
+    for blocks in (3, 7):
+        got = set(zip(*(x.tolist() for x in Postings(words, np.bincount(terms, minlength=TERMS)).candidates(
+            terms, bounds, first, count, blocks)), strict=True))
+        text, whole = np.repeat(np.arange(len(count)), count), set()
+        for i, t in enumerate(text):
+            region = terms[max(bounds[t], first[i] - BLOCK) : min(bounds[t + 1], first[i] + (blocks + 1) * BLOCK)]
+            whole |= {(i, q) for q, w in enumerate(words) if np.isin(w, region).sum() >= PARAPHRASE * len(w)}
+        assert whole and whole <= got
+
+
+def test_contaminated_large_benchmark(spark):
+    """2,000 items: verbatim between foreign words, and every third word replaced."""
+    items = {i: prose(1000 + i, 40) for i in range(2000)}
+    changed = {i: [f"x{k}" if k % 3 == 2 else w for k, w in enumerate(items[i])] for i in items}
+    rows = [(i, " ".join(prose(5000 + i, 13) + items[i] + prose(9000 + i, 21))) for i in range(0, 2000, 10)]
+    rows += [(i, " ".join(changed[i])) for i in range(1, 2000, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(
+        [(i, " ".join(w), " ".join(w[:2])) for i, w in items.items()], "item_id long, text string, answer string"
+    )
+    assert found(docs, bench) == {(i, i) for i in range(2000) if i % 10 < 2}
