@@ -16,7 +16,8 @@ from shardloom.llm.tables import benchmark, labels, stored
 from shardloom.llm.tokens import read_documents, write_sequences
 from shardloom.llm.toxicity import toxicity_scores
 
-WORD = r"[^\x20\x09-\x0D]+"
+# Between a word and the white space after it.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +49,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = plan.groupBy("doc_id").agg(F.first("size").alias("_size"), F.flatten(F.collect_list("copies")).alias("_copies"))
     rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
     rows = rows.withColumn("_copy", F.explode("_copies"))
-    words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*" + WORD + "){"), F.col("_copy.words"), F.lit("}"))
-    cut = F.call_function("regexp_extract", F.col("text"), words, F.lit(0))
+    pieces = F.slice(F.split("text", WORD_END), F.lit(1), F.col("_copy.words").cast("int"))
+    cut = F.array_join(pieces, "")
     rows = rows.withColumn("text", F.when(F.col("_copy.words") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

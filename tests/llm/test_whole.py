@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
+
 from shardloom.llm.decontaminate import BLOCK, PARAPHRASE, TERMS, Postings, _blocks, contaminated
 from shardloom.llm.words import sums
 
@@ -60,3 +62,10 @@ def test_contaminated_large_benchmark(spark):
         [(i, " ".join(w), " ".join(w[:2])) for i, w in items.items()], "item_id long, text string, answer string"
     )
     assert found(docs, bench) == {(i, i) for i in range(2000) if i % 10 < 2}
+
+
+def test_mix_cuts_a_long_text(spark):
+    text = " \n".join(f"w{i}\t" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    got = sorted((r["text"] for r in corpus_pipeline.mixed(spark, docs, "").collect()), key=len)
+    assert got == [text[: text.index("w24999") + len("w24999")], text]
