@@ -26,15 +26,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with ``_h1`` and ``_h2``: 128 bits that name the contents of ``columns``."""
+    return docs.withColumns({f"_h{i}": F.xxhash64(F.lit(i), *columns) for i in (1, 2)})
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-duplicate shingles the one with the smallest id stays, once."""
-    groups = jaccard_components(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = stored(twice, "repeated-ids")
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Of texts linked by near-duplicate shingles one with the smallest id stays, once.
+
+    Texts that share an id but are not linked are different documents. A row without an id stays.
+    """
+    key = ["doc_id", "_h1", "_h2"]
+    rows = keyed(docs, "text")
+    groups = stored(jaccard_components(rows, keep=("_h1", "_h2")).filter("doc_id IS NOT NULL"), "near-groups")
+    texts = groups.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.first("component_id").alias("component_id"), F.first("group").alias("group")
+    )
+    texts = stored(texts.withColumn("group", F.coalesce("group", "_h1")), "near-texts")
+    first = texts.filter("doc_id = component_id").groupBy("doc_id", "group").agg(
+        F.min(F.struct("_h1", "_h2")).alias("first")
+    )
+    gone = texts.join(first, ["doc_id", "group"], "left").filter(
+        "doc_id <> component_id OR struct(_h1, _h2) <> first"
+    ).select(*key)
+    kept = rows.join(gone, key, "left_anti")
+    twice = stored(texts.filter("n > 1").select(*key), "repeated-rows")
+    once = kept.join(twice, key, "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, key, "left_semi").dropDuplicates(key).select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +62,27 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; the last one of a source as far as it is taken."""
-    plan = stored(mix(docs).select("doc_id", "source", "size", "copies").filter(F.size("copies") > 0), "mix")
-    plan = plan.groupBy("doc_id").agg(F.first("size").alias("_size"), F.flatten(F.collect_list("copies")).alias("_copies"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    rows = rows.withColumn("_copy", F.explode("_copies"))
-    pieces = F.slice(F.split("text", WORD_END), F.lit(1), F.col("_copy.words").cast("int"))
+    """Every document as often as the mix takes it; the last one of a source as far as it is taken.
+
+    Rows are named by their contents. Of identical rows the plan counts for all: each comes out as
+    often as all of them do, and what is left over is taken of one.
+    """
+    key = ["_h1", "_h2"]
+    rows = keyed(docs, *docs.columns)
+    plan = stored(mix(rows, keep=("_h1", "_h2")).select(*key, "size", "copies"), "mix")
+    same = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("_same"), F.first("size").alias("_size"))
+    taken = plan.select(*key, F.explode("copies.words").alias("_words")).groupBy(*key, "_words").count()
+    taken = stored(taken.join(same, key), "mix-copies")
+    each = taken.withColumn("_times", F.expr("count div _same")).filter("_times > 0")
+    left = taken.withColumn("_times", F.expr("count % _same")).filter("_times > 0")
+    one = rows.join(left.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(
+        F.first(F.struct(*docs.columns)).alias("_row")
+    ).select(*key, "_row.*")
+    rows = rows.join(each, key).unionByName(one.join(left, key).select(*rows.columns, *each.columns[2:]))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    pieces = F.slice(F.split("text", WORD_END), F.lit(1), F.col("_words").cast("int"))
     cut = F.array_join(pieces, "")
-    rows = rows.withColumn("text", F.when(F.col("_copy.words") < F.col("_size"), cut).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -45,8 +45,8 @@ class MixPlan:
     seed: int = 7
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` (words of the whole text; null: 0)."""
+def word_sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``source``, ``size`` (words of the whole text; null: 0) and the long columns ``keep``."""
 
     def run(batches):
         for batch in batches:
@@ -54,13 +54,13 @@ def word_sizes(docs: DataFrame) -> DataFrame:
                 part.find_words()
                 rows = batch.slice(part.first, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(np.diff(part.bounds), pa.int64())],
-                    ["doc_id", "source", "size"],
+                    [rows.column(0), rows.column(1), pa.array(np.diff(part.bounds), pa.int64()), *rows.columns[3:]],
+                    ["doc_id", "source", "size", *keep],
                 )
 
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"
-    ).mapInArrow(run, "doc_id long, source string, size long")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *keep
+    ).mapInArrow(run, ", ".join(["doc_id long, source string, size long", *(f"{c} long" for c in keep)]))
 
 
 def targets(sizes: list[int], plan: MixPlan) -> list[float]:
@@ -109,7 +109,7 @@ def splitting_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
+def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ()) -> DataFrame:
     """What a mix takes of every row of ``docs(doc_id, source, text, ...)``.
 
     Returns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``: an
@@ -119,13 +119,13 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
 
     Sources are ordered by code point with null last; a null source is one source. A text without words
     has size 0 and takes nothing. Rows with a null id and repeated rows are documents of their own; which
-    of two identical rows is taken does not show. Other columns are ignored. Without words every target
+    of two identical rows is taken does not show. The long columns ``keep`` are returned too; others are ignored. Without words every target
     is 0; an empty table gives no rows. More than ``MOST_SOURCES`` sources raise an error, because a
     weight per source is then not a sensible request.
     """
     spark = docs.sparkSession
     seed = plan.seed
-    sizes = word_sizes(docs).withColumn("salt", F.monotonically_increasing_id())
+    sizes = word_sizes(docs, keep).withColumn("salt", F.monotonically_increasing_id())
     sizes = stored(sizes, "mixture-sizes")
     sources = (
         sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -200,5 +200,5 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     return whole.unionByName(partial).select(
         "doc_id", sizes["source"], "size", "source_size", "target",
         (F.col("size") * F.col("passes") + F.col("last")).cast("long").alias("taken"),
-        F.filter(copies, lambda c: c["words"] > 0).alias("copies"),
+        F.filter(copies, lambda c: c["words"] > 0).alias("copies"), *keep,
     )

@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from shardloom.llm.decontaminate import BLOCK, PARAPHRASE, TERMS, Postings, _blocks, contaminated
+from shardloom.llm.mixture import mix
 from shardloom.llm.words import sums
 
 
@@ -69,3 +72,17 @@ def test_mix_cuts_a_long_text(spark):
     docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
     got = sorted((r["text"] for r in corpus_pipeline.mixed(spark, docs, "").collect()), key=len)
     assert got == [text[: text.index("w24999") + len("w24999")], text]
+
+
+def test_pipeline_stages_on_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(prose(i, 60)) for i in (11, 12, 13))
+    near = a + " more"
+    rows = [(1, a, "s"), (1, a, "s"), (1, near, "s"), (1, b, "s"), (2, near, "s"), (3, b, "s"), (3, c, "s"), (None, a, "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()))
+    assert [x for x in got if x[1] not in (a, near)] == sorted([(1, b), (3, c)])
+    assert [x[0] for x in got if x[1] in (a, near)] == [0, 0, 1]
+    rows = [(None, " ".join(prose(100 + i, 5 + i)), f"s{i % 3}") for i in range(40)] + [(7, c, "s0")] * 9 + [(7, b, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = dict(corpus_pipeline.mixed(spark, docs, "").groupBy("source").agg(F.sum(F.size(F.split("text", " ")))).collect())
+    assert words == {r["source"]: round(r["target"]) for r in mix(docs).select("source", "target").distinct().collect()}
