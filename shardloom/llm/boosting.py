@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import FEATURES, fold, sampled_labels, text_stats, with_features
+from .stats import FEATURES, fold, known_labels, sampled_labels, text_stats, with_features
 
 SAMPLE = 10_000  # labelled rows of each class that a model is fitted on
 
@@ -43,12 +43,13 @@ class Trees:
 
 def fit(
     x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15,
-    bins: int = 48, least: float = 4.0, shrink: float = 1.0,
+    bins: int = 48, least: float = 4.0, shrink: float = 1.0, weight: np.ndarray | None = None,
 ) -> Trees:
-    """Logistic loss. With one class, or no rows, the trees are empty and the score is constant:
+    """Logistic loss; rows count ``weight`` times, once if it is not given. With one class, or no rows, the trees are empty and the score is constant:
     the smoothed share of ones."""
     inner, leaves = (1 << depth) - 1, 1 << depth
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = ((y * weight).sum() + 0.5) / (weight.sum() + 1)
     base = float(np.log(share / (1 - share)))
     out = Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), base)
     if len(np.unique(y)) < 2:
@@ -59,7 +60,7 @@ def fit(
     margin = np.full(len(y), base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         cut = np.full(inner, bins)
         node = np.zeros(len(y), np.int64)
@@ -92,7 +93,17 @@ def fit(
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, column: str, modulus: int, value: int, per_class: int):
-    """Features and labels of the bounded sample, as arrays in the driver."""
+    """Features, labels and weights of the bounded sample, as arrays in the driver.
+
+    The weights give the classes of the sample the ratio that they have among all labels outside the fold,
+    whatever the bound; they are 1 where it leaves out nothing, and 1 on average over the labels sampled.
+    """
+    known = known_labels(labels, column, modulus, value).groupBy("label").count().collect()
+    there = np.zeros(2)
+    for r in known:  # a row per class
+        there[r["label"]] = r["count"]
+    taken = np.minimum(there, per_class)
+    weight = there / np.maximum(taken, 1) * taken.sum() / max(1, there.sum())
     sample = sampled_labels(labels, column, modulus, value, per_class)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # 2 x per_class rows
@@ -101,7 +112,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, column: str, modulus:
     x = np.stack([table[f].to_numpy() for f in FEATURES], axis=1).astype(float)
     y = table["label"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows came in
-    return x[order], y[order]
+    return x[order], y[order], weight[y[order].astype(int)]
 
 
 def quality_scores(
@@ -111,14 +122,13 @@ def quality_scores(
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs(doc_id, text, ...)``.
 
     The model is fitted on at most ``per_class`` rows of each class of ``labels`` outside the fold
-    ``crc32(doc_id) mod modulus = value``. Only the text decides a score. A null or empty text has all
+    ``crc32(doc_id) mod modulus = value``, weighted to the ratio that the classes have in the table. Only the text decides a score. A null or empty text has all
     statistics 0 and is scored like any other; a row with a null id is scored, not learned from, and not
     held out; repeated rows are all scored. Without labels of both classes the score is constant. Other
     columns of either table are ignored. An empty table gives no rows.
     """
-    x, y = labelled_features(docs, labels, column, modulus, value, per_class)
-    # The sample is balanced by its bound, not by nature: ones and zeros weigh as they are sampled.
-    model = docs.sparkSession.sparkContext.broadcast(fit(x, y, trees))
+    x, y, weight = labelled_features(docs, labels, column, modulus, value, per_class)
+    model = docs.sparkSession.sparkContext.broadcast(fit(x, y, trees, weight=weight))
     stats = with_features(text_stats(docs)).select("doc_id", *FEATURES)
 
     def run(batches):

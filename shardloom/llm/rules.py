@@ -39,12 +39,12 @@ class Rule:
         )
 
 
-def _grow(x, bad, cuts, most: int) -> list[Condition]:
+def _grow(x, bad, weight, cuts, most: int) -> list[Condition]:
     """Adds the condition with the largest FOIL gain until no good row is covered."""
     rule: list[Condition] = []
     here = np.ones(len(x), bool)
     while len(rule) < most:
-        p, n = (here & bad).sum(), (here & ~bad).sum()
+        p, n = weight[here & bad].sum(), weight[here & ~bad].sum()
         if not p or not n:
             break
         now = np.log2(p / (p + n))
@@ -52,11 +52,12 @@ def _grow(x, bad, cuts, most: int) -> list[Condition]:
         for f, edges in enumerate(cuts):
             at = np.searchsorted(edges, x[here, f])  # x <= edges[i] for i >= at
             size = len(edges) + 1
-            low_p = np.cumsum(np.bincount(at[bad[here]], minlength=size))[:-1]
-            low_n = np.cumsum(np.bincount(at[~bad[here]], minlength=size))[:-1]
-            for above, pp, nn in ((False, low_p, low_n), (True, p - low_p, n - low_n)):
+            low_p = np.cumsum(np.bincount(at[bad[here]], weight[here & bad], size))[:-1]
+            low_n = np.cumsum(np.bincount(at[~bad[here]], weight[here & ~bad], size))[:-1]
+            high_p, high_n = np.maximum(p - low_p, 0), np.maximum(n - low_n, 0)
+            for above, pp, nn in ((False, low_p, low_n), (True, high_p, high_n)):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(pp > 0, pp * (np.log2(pp / np.maximum(pp + nn, 1)) - now), 0)
+                    gain = np.where(pp > 1e-6, pp * (np.log2(pp / (pp + nn)) - now), 0)
                 if len(gain) and gain.max() > best:
                     best, found = gain.max(), (f, above, float(edges[gain.argmax()]))
         if found is None:
@@ -68,22 +69,24 @@ def _grow(x, bad, cuts, most: int) -> list[Condition]:
 
 def learn(
     x: np.ndarray, y: np.ndarray, rules: int = 12, conditions: int = 4, precision: float = 0.8,
-    least: int = 4, bins: int = 64, seed: int = 5,
+    least: int = 4, bins: int = 64, seed: int = 5, weight: np.ndarray | None = None,
 ) -> list[Rule]:
     """Rules that reject rows labelled 0. A rule is kept if it is right on at least ``precision`` of
-    what it covers outside the rows it was grown on, and covers ``least`` bad rows there."""
+    what it covers outside the rows it was grown on, where rows count ``weight`` times (once if it is not
+    given), and covers ``least`` bad rows there."""
+    weight = np.ones(len(y)) if weight is None else weight
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
     bad = y == 0
     part = np.random.default_rng(seed).random(len(y)) < 2 / 3
     out: list[Rule] = []
     left = np.ones(len(y), bool)
     while len(out) < rules and (left & bad & part).any():
-        grown = _grow(x[left & part], bad[left & part], cuts, conditions)
-        xs, bs = x[left & ~part], bad[left & ~part]
+        grown = _grow(x[left & part], bad[left & part], weight[left & part], cuts, conditions)
+        xs, bs, ws = x[left & ~part], bad[left & ~part], weight[left & ~part]
 
-        def worth(k, grown=grown, xs=xs, bs=bs):
+        def worth(k, grown=grown, xs=xs, bs=bs, ws=ws):
             c = Rule(tuple(grown[:k]), 0).covers(xs)
-            return (bs[c].sum() + 1) / (c.sum() + 2), (c & bs).sum()
+            return (ws[c & bs].sum() + 1) / (ws[c].sum() + 2), (c & bs).sum()
 
         if not grown:
             break
@@ -122,10 +125,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -
     """``doc_id``, the base counts, ``base_failed``, ``kept``, ``held_out`` and ``rule`` of every row.
 
     Rules are learned from at most ``per_class`` labelled rows of each class whose
-    ``crc32(doc_id) mod 3`` is not 1, and look at statistics of the text alone. A null or empty text has no words: all
+    ``crc32(doc_id) mod 3`` is not 1, weighted to the ratio of the classes in the table, and look at statistics of the text alone. A null or empty text has no words: all
     counts 0, ``base_failed``. Without labels of both classes no rule is learned and the base decides. A
     row with a null id is judged, never learned from; repeated rows are all judged. Other columns are
     ignored. An empty table gives no rows.
     """
-    x, y = labelled_features(docs, labels, "quality", 3, 1, per_class)
-    return apply_rules(docs, learn(x, y))
+    x, y, weight = labelled_features(docs, labels, "quality", 3, 1, per_class)
+    return apply_rules(docs, learn(x, y, weight=weight))

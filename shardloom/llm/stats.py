@@ -136,16 +136,21 @@ def with_features(stats: DataFrame) -> DataFrame:
     return stats.select("*", *[F.expr(f"CAST({e} AS DOUBLE)").alias(f) for f, e in FEATURES.items()])
 
 
-def sampled_labels(labels: DataFrame, column: str, modulus: int, value: int, per_class: int) -> DataFrame:
-    """``doc_id`` and ``label`` (0 or 1) of at most ``per_class`` rows of each class outside the
-    held-out fold. A doc_id counts once; one with two different labels, or a null, not at all."""
-    known = (
+def known_labels(labels: DataFrame, column: str, modulus: int, value: int) -> DataFrame:
+    """``doc_id`` and ``label`` (0 or 1) outside the held-out fold. A doc_id counts once; one with two
+    different labels, or a null, not at all."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
         .filter("doc_id IS NOT NULL AND label IN (0, 1)")
         .filter(remainder(F.col("doc_id"), modulus) != value)
         .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .filter("label = other").select("doc_id", "label")
     )
+
+
+def sampled_labels(labels: DataFrame, column: str, modulus: int, value: int, per_class: int) -> DataFrame:
+    """At most ``per_class`` of the ``known_labels`` of each class."""
+    known = known_labels(labels, column, modulus, value)
     order = F.xxhash64(F.lit(11), "doc_id")
     of = [known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     return of[0].union(of[1])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from shardloom.llm.boosting import quality_scores
 from shardloom.llm.decontaminate import BLOCK, PARAPHRASE, TERMS, Postings, _blocks, contaminated
 from shardloom.llm.mixture import mix
+from shardloom.llm.rules import quality_rules
 from shardloom.llm.words import sums
 
 
@@ -86,3 +88,17 @@ def test_pipeline_stages_on_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     words = dict(corpus_pipeline.mixed(spark, docs, "").groupBy("source").agg(F.sum(F.size(F.split("text", " ")))).collect())
     assert words == {r["source"]: round(r["target"]) for r in mix(docs).select("source", "target").distinct().collect()}
+
+
+def test_quality_does_not_depend_on_the_cap(spark):
+    """86 % of the labels are good; of the texts with marks, bad ones are a little more than half."""
+    bad, marked = set(range(0, 1200, 7)), set(range(0, 1200, 7)) | set(range(3, 1200, 11))
+    rows = [(i, " ".join(prose(i, 40)) + (" !" * 15 if i in marked else "")) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(1200)], "doc_id long, quality int")
+    for cap in (10_000, 90):
+        assert quality_rules(docs, labels, cap).filter("rule IS NOT NULL").count() == 0
+    same = docs.withColumn("text", F.lit("one text for all"))
+    for cap in (10_000, 60):
+        score = quality_scores(same, labels, per_class=cap, trees=5).agg(F.avg("score")).first()[0]
+        assert abs(score - 0.857) < 0.03
