@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import sql
 from .boosting import quality_scores
 from .decontaminate import contaminated
 from .jaccard import jaccard_components
 from .language import identify_languages
+from .line_dedup import drop_repeated_lines
 from .lm import lm_scores
 from .mixture import mix
 from .pii import personal_data
@@ -64,6 +67,11 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op11_line_dedup(spark, sf_dir):
+    kept = drop_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixture": op2_source_mixture,
@@ -75,7 +83,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_line_dedup": op11_line_dedup,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": sql.JACCARD,
+    "op11_line_dedup": sql.LINES,
 }
