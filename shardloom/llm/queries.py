@@ -11,10 +11,11 @@ from .jaccard import jaccard_components
 from .language import identify_languages
 from .line_dedup import drop_repeated_lines
 from .lm import lm_scores
+from .merkle import merkle_manifest
 from .mixture import mix
 from .pii import personal_data
 from .rules import quality_rules
-from .tables import benchmark, documents, labels
+from .tables import benchmark, documents, labels, remainder
 from .tokens import read_documents, write_sequences
 from .toxicity import toxicity_scores
 
@@ -72,6 +73,11 @@ def op11_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.when(remainder(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle_manifest(documents(spark, sf_dir), replaced={"n_chars": tampered})
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixture": op2_source_mixture,
@@ -84,8 +90,10 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_line_dedup": op11_line_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": sql.JACCARD,
     "op11_line_dedup": sql.LINES,
+    "op12_merkle_manifest": sql.MERKLE,
 }

