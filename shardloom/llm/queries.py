@@ -14,6 +14,7 @@ from .lm import lm_scores
 from .merkle import merkle_manifest
 from .mixture import mix
 from .pii import personal_data
+from .ranked_search import ranked_search
 from .rules import quality_rules
 from .tables import benchmark, documents, labels, remainder
 from .tokens import read_documents, write_sequences
@@ -78,6 +79,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest(documents(spark, sf_dir), replaced={"n_chars": tampered})
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixture": op2_source_mixture,
@@ -91,9 +96,11 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_line_dedup": op11_line_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE = {
     "op1_ngram_jaccard_join": sql.JACCARD,
     "op11_line_dedup": sql.LINES,
     "op12_merkle_manifest": sql.MERKLE,
+    "op13_ranked_search": sql.RANKED,
 }

@@ -109,3 +109,25 @@ SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(c.proof)
 FROM placed p JOIN climb_top c ON c.r = p.r AND c.n = 1 JOIN subroots s ON s.tree = p.tree
     CROSS JOIN (SELECT digest FROM top WHERE n = 1) t
 """
+
+_TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH words AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+held AS (SELECT doc_id, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+weights AS (
+    SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM held, total GROUP BY t, docs
+), scored AS (
+    SELECT a.item_id, h.doc_id, CAST(sum(w.w * ((1000000000 * h.tf) //
+        (1000 * h.tf + 8 * (10 + (90 * s.n * total.docs) // total.terms)))) AS BIGINT) AS score
+    FROM asked a JOIN held h ON h.t = a.t JOIN weights w ON w.t = a.t JOIN sizes s ON s.doc_id = h.doc_id, total
+    GROUP BY a.item_id, h.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
