@@ -246,11 +246,12 @@ def drop_repeated_lines(
     rows = stored(docs.mapInArrow(_suspects(shared, bits, min_chars, to_arrow_schema(schema)), schema), "line-suspects")
     shared.destroy()
     found = rows.filter("suspects IS NOT NULL").select("row", "doc_id", F.inline("suspects"))
-    # Partial counts come before the shuffle. Of the join below, a frequent key is one row on one side and
-    # many on the other, which Spark's skew handling splits.
-    repeated = (
+    # Partial counts come before the shuffle. Written, because the join below is then between two exchanges:
+    # of a frequent key one side has a row, the other many, which Spark's skew handling splits.
+    repeated = stored(
         found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n") >= min_docs).select("key", "keeper")
+        .filter(F.col("n") >= min_docs).select("key", "keeper"),
+        "repeated-lines",
     )
     gone = (
         found.join(repeated, "key").filter("NOT doc_id <=> keeper")
