@@ -68,6 +68,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * _inverse[start])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats. Sorting machine integers is faster than hashing them."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... counts[0] of them, then those of the next."""
     total = int(counts.sum())

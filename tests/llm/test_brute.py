@@ -229,7 +229,7 @@ def test_decontamination(spark, texts):
     flat = {i: " ".join(x.split()) for i, x in texts.items()}
     want = {(i, j) for j, x in items.items() for i, y in flat.items() if " ".join(x.split()) in y}
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op10_benchmark_decontamination"](spark, DIR).collect()}
-    assert len(want & got) >= 0.9 * len(want)
+    assert want <= got
     # Whatever else is reported shares most of an item's words.
     assert all(len(set(items[j].split()) & set(texts[i].split())) >= 0.5 * len(set(items[j].split())) for i, j in got)
 
