@@ -8,22 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.decontaminate import contaminated
+from shardloom.llm.decontaminate import uncontaminated
 from shardloom.llm.jaccard import jaccard_components
 from shardloom.llm.mixture import mix
 from shardloom.llm.queries import tokenizer_path
 from shardloom.llm.tables import benchmark, labels, stored
 from shardloom.llm.tokens import read_documents, write_sequences
-from shardloom.llm.toxicity import toxicity_scores
+from shardloom.llm.toxicity import without_toxic
 
 # Between a word and the white space after it.
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; a row without an id cannot be named and stays."""
-    toxic = toxicity_scores(docs, labels(spark, sf_dir)).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text the toxicity model rejects go, with or without an id."""
+    return without_toxic(docs, labels(spark, sf_dir)).select(*docs.columns)
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -56,9 +55,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = contaminated(docs, benchmark(spark, sf_dir)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds a benchmark passage go, with or without an id; of rows that share an id the others stay."""
+    return uncontaminated(docs, benchmark(spark, sf_dir)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
