@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +10,12 @@ from shardloom.functions.rates import lr_schedule
 from shardloom.operators.models import ModelSpec, TrainConfig
 from shardloom.operators.sharding import train_test_split
 from shardloom.operators.training import minibatches, train_local, train_logistic
+from shardloom.plans.journal import Journal
 from shardloom.plans.rounds import RoundConfig, run_rounds
+from shardloom.schemas import OUTAGES
+from shardloom.session import fresh_path
 
+from .descent import FLAT, mlp_step, softmax_steps
 from .views import (
     digest,
     hash60,
@@ -176,7 +181,80 @@ def e11_step(spark, d):
     return run_rounds(rows, rows, cfg).model.withColumn("value", F.round("value", 6))
 
 
+# Full batches from a given model, so that SQL can follow every step.
+FULL = 10**9
+
+
+def _weights(updates):
+    return updates.select("shard_id", "n_samples", F.round("avg_loss", 6).alias("avg_loss"), *digest("weights"))
+
+
+def e1_momentum(spark, d):
+    cfg = TrainConfig(lr=0.5, momentum=0.5, epochs=3, batch=FULL)
+    return _weights(train_local(samples(spark, d), SOFTMAX, cfg, SOFTMAX.initial(zeros=True)))
+
+
+def e2_epochs(spark, d):
+    """Plain steps: the loss of every epoch."""
+    cfg = TrainConfig(lr=0.5, momentum=0.0, epochs=3, batch=FULL)
+    updates = train_local(samples(spark, d), SOFTMAX, cfg, SOFTMAX.initial(zeros=True))
+    return updates.select(
+        "shard_id", F.posexplode("epoch_losses").alias("epoch", "loss")
+    ).withColumn("loss", F.round("loss", 6))
+
+
+def e3_steps(spark, d):
+    """Adam with weight decay; in round 7 the rate has fallen once."""
+    cfg = TrainConfig(opt="adam", lr=0.01, weight_decay=0.001, epochs=3, batch=FULL, lr_gamma=0.8)
+    return _weights(train_local(samples(spark, d), SOFTMAX, cfg, SOFTMAX.initial(zeros=True), round_no=7))
+
+
+def e9_step(spark, d):
+    spec = ModelSpec(n_features=64, n_classes=10, kind="mlp", hidden=16, dropout=0.0)
+    start = np.sin(np.arange(spec.size)) / 10
+    updates = train_local(samples(spark, d), spec, ONE_STEP, start)
+    return updates.select("shard_id", *digest("weights"))
+
+
+def _resumed(spark, d):
+    """Four rounds of which two run, and the other two after a stop, from the journal's folder alone."""
+    rows, path = samples(spark, d), fresh_path(spark, "journal")
+    away = spark.createDataFrame([(2, 0), (3, 0), (3, 1)], OUTAGES)
+    run = lambda rounds: run_rounds(
+        rows, rows, RoundConfig(spec=SOFTMAX, train=ONE_STEP, rounds=rounds, zeros=True, journal=path), away
+    )
+    run(2)
+    return run(4), Journal(spark, path)
+
+
+def e11_resumed_model(spark, d):
+    result, _ = _resumed(spark, d)
+    return result.model.withColumn("value", F.round("value", 6))
+
+
+def e11_resumed_ledger(spark, d):
+    result, journal = _resumed(spark, d)
+    return journal.commits().select(
+        "round", F.round("loss", 6).alias("loss"), "active", "failed", "quorum_met", "expected"
+    )
+
+
+def e11_resumed_events(spark, d):
+    _, journal = _resumed(spark, d)
+    status = journal.status(3).select(
+        F.lit(3).alias("round"), F.lit("status").alias("event"), "participant_id", F.col("status").alias("value")
+    )
+    return journal.events().select("round", "event", "participant_id", "value").unionByName(status)
+
+
 QUERIES = {
+    "e1_train_momentum": e1_momentum,
+    "e2_epoch_losses": e2_epochs,
+    "e3_adam_steps": e3_steps,
+    "e9_mlp_step": e9_step,
+    "e11_resumed_model": e11_resumed_model,
+    "e11_resumed_ledger": e11_resumed_ledger,
+    "e11_resumed_events": e11_resumed_events,
     "e1_train_local": e1,
     "e1_train_local_one_step": e1_one_step,
     "e1_train_local_units": e1_lines,
@@ -245,7 +323,55 @@ def _looped(policy: str) -> str:
     )
 
 
+def _three(**how) -> str:
+    """Each shard's weights after three steps, and its mean loss."""
+    return softmax_steps(
+        f"""SELECT CAST(f.g AS INTEGER) AS shard_id, a.n AS n_samples,
+        round((a.loss + b.loss + c.loss) / 3, 6) AS avg_loss, {sql_digest('weights')}
+        FROM ({FLAT.format('w3')}) f JOIN loss1 a ON a.g = f.g JOIN loss2 b ON b.g = f.g JOIN loss3 c ON c.g = f.g""",
+        "shard_id", 3, **how,
+    )
+
+
+_AWAY = {2: (0,), 3: (0, 1)}
+
+
+def _resumed_loss(k: int) -> str:
+    """Loss over all samples after round k: that before a fifth round without outages."""
+    return softmax_steps(f"SELECT loss FROM loss{k + 1}", "0", k + 1, 0.5, away={r: x for r, x in _AWAY.items() if r <= k})
+
+
 ORACLE = {
+    "e1_train_momentum": _three(lr=0.5, momentum=0.5),
+    "e2_epoch_losses": softmax_steps(
+        " UNION ALL ".join(
+            f"SELECT CAST(g AS INTEGER) AS shard_id, {k} AS epoch, round(loss, 6) AS loss FROM loss{k + 1}" for k in range(3)
+        ),
+        "shard_id", 3, 0.5,
+    ),
+    "e3_adam_steps": _three(lr=0.008, decay=0.001, opt="adam"),
+    "e9_mlp_step": mlp_step(
+        f"""SELECT CAST(g AS INTEGER) AS shard_id, {sql_digest('weights')}
+        FROM (SELECT g, list(w ORDER BY i) AS weights FROM stepped GROUP BY g)""",
+        16, 0.5,
+    ),
+    "e11_resumed_model": softmax_steps(
+        """SELECT CASE WHEN pos < 0 THEN 'output.bias' ELSE 'output.weight' END AS layer,
+        CAST(CASE WHEN pos < 0 THEN label ELSE label * 64 + pos END AS INTEGER) AS pos, round(w, 6) AS value FROM w4""",
+        "0", 4, 0.5, away=_AWAY,
+    ),
+    "e11_resumed_ledger": " UNION ALL ".join(
+        f"""SELECT {k} AS round, (SELECT round(loss, 6) FROM ({_resumed_loss(k)})) AS loss,
+        CAST({4 - len(_AWAY.get(k, ()))} AS INTEGER) AS active, CAST({len(_AWAY.get(k, ()))} AS INTEGER) AS failed,
+        true AS quorum_met, CAST(4 AS INTEGER) AS expected""" for k in range(1, 5)
+    ),
+    "e11_resumed_events": with_views(
+        """SELECT * FROM (VALUES (2, 'failure', 0, 'offline'), (3, 'failure', 0, 'offline'), (3, 'failure', 1, 'offline'),
+        (4, 'recovery', 0, 'active'), (4, 'recovery', 1, 'active')) AS t(round, event, participant_id, value)
+        UNION ALL SELECT 3, 'status', shard_id, CASE WHEN shard_id < 2 THEN 'offline' ELSE 'active' END
+        FROM (SELECT DISTINCT shard_id FROM samples)""",
+        "samples",
+    ),
     "e11_run_rounds_lines": with_views(
         """SELECT CAST(unnest([1, 2]) AS INTEGER) AS round, CAST(n AS INTEGER) AS active, 0 AS failed
         FROM (SELECT count(DISTINCT shard_id) AS n FROM line_samples)""",

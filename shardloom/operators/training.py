@@ -30,8 +30,10 @@ def train_units(
     start,
     round_no: int = 1,
     on_failure: str = "capture",
+    by: tuple[str, ...] = ("shard_id", "unit"),
 ) -> DataFrame:
-    """Train every (shard, unit) group of ``samples`` from the same model.
+    """Train every (shard, unit) group of ``samples`` from the same model. ``by`` may name, after
+    these two, a column that a unit determines and by which the samples are laid out.
 
     ``on_failure="capture"`` turns an exception into a row with status
     ``failed``; ``"raise"`` lets Spark retry the task.
@@ -71,8 +73,8 @@ def train_units(
             row["error"] = f"{type(e).__name__}: {e}"
         return pa.Table.from_pylist([row], schema=schema)
 
-    columns = samples.select("shard_id", "unit", "sample_id", "features", "label")
-    return columns.groupBy("shard_id", "unit").applyInArrow(run, UNITS)
+    columns = samples.select(*by, "sample_id", "features", "label")
+    return columns.groupBy(*by).applyInArrow(run, UNITS)
 
 
 def train_local(

@@ -8,19 +8,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..operators.evaluation import evaluate_model
+from ..operators.joins import BROADCAST_ROWS
 from ..operators.models import ModelSpec, TrainConfig
-from ..operators.sharding import colocate
 from ..operators.training import train_units
-from ..schemas import LEDGER, MODEL
+from ..schemas import LEDGER
 from ..sources.checkpoints import save_checkpoint
 from ..sources.ledgers import append_ledger
+from .journal import Journal, model_table, shard_status, status_events
 
-
-UNITS_PER_TASK = 4
+# Up to so many units for each shuffle partition every unit has a task of its own.
+UNITS_PER_PARTITION = 16
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ class RoundConfig:
     partitions: int | None = None
     checkpoint_path: str | None = None
     ledger_path: str | None = None
+    # A folder that keeps the whole state of the run, from which the same call goes on.
+    journal: str | None = None
     zeros: bool = False
     start_round: int = 1
 
@@ -48,14 +51,6 @@ class RoundResult:
     weights: np.ndarray
 
 
-def model_table(spark, spec: ModelSpec, weights: np.ndarray) -> DataFrame:
-    """(layer, pos, value) rows of a flat model; its size is fixed by the spec."""
-    names = [(name, i) for name, shape in spec.layers for i in range(int(np.prod(shape)))]
-    return spark.createDataFrame(
-        [(name, i, float(v)) for (name, i), v in zip(names, weights)], MODEL
-    )
-
-
 def run_rounds(
     samples: DataFrame,
     test: DataFrame,
@@ -65,131 +60,129 @@ def run_rounds(
 ) -> RoundResult:
     """Distribute, train per shard, check the quorum, average, evaluate, log.
 
-    The sharded samples are laid out once by (shard, unit) and kept on the
-    executors; every round trains on them where they lie. Per round, what comes
-    back to the driver is the averaged model and a count per shard. Averaging
-    units by their sample counts equals averaging shards by theirs, since a
-    shard's update is the weighted mean of its units.
+    The sharded samples are laid out once by unit and kept on the executors; every round trains on them
+    where they lie. Shards and their outages stay tables: what comes back to the driver in a round is the
+    averaged model and two counts. Averaging units by their sample counts equals averaging shards by theirs,
+    since a shard's update is the weighted mean of its units; a shard with a failed unit is left out.
+
+    With ``cfg.journal`` each round leaves its model, the status of every shard, its events and, last, a
+    commit. The same call with the same folder goes on after the newest commit, up to the last of
+    ``cfg.rounds`` rounds, and its ledger holds the rounds before as well.
     """
     if cfg.policy not in ("any", "all"):
         raise ValueError(f"unknown quorum policy {cfg.policy!r}")
     spark = samples.sparkSession
-    context = spark.sparkContext
-    # a row per shard
-    counts = samples.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_samples"))
-    per_shard = counts.collect()
-    sizes = spark.createDataFrame(per_shard, counts.schema)
-    expected = {r["shard_id"] for r in per_shard}
-    n_units = len(per_shard) * cfg.units_per_shard
-    if cfg.unit_rows:
-        n_units = sum(math.ceil(r["n_samples"] / cfg.unit_rows) for r in per_shard)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # few units a task, so that little is lost with an executor
-    parts = cfg.partitions or max(width, math.ceil(n_units / UNITS_PER_TASK))
-    laid_out = colocate(
-        samples.select("shard_id", "sample_id", "features", "label"), parts, cfg.unit_rows,
-        sizes=sizes, units_per_shard=cfg.units_per_shard,
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    journal = Journal(spark, cfg.journal) if cfg.journal else None
+    newest = journal.last() if journal else None
+    first, last, elapsed = cfg.start_round, cfg.start_round + cfg.rounds - 1, 0.0
+    weights = cfg.spec.initial(cfg.train.seed, cfg.zeros) if start is None else np.asarray(start)
+    if newest is not None:
+        first, elapsed = newest["round"] + 1, newest["timestamp"]
+        weights = journal.model(cfg.spec, first)
+    shards = _shards(samples, cfg).persist(StorageLevel.MEMORY_AND_DISK)  # a row per shard
+    laid_out, parts, n_shards = _laid_out(samples, shards, cfg)
     # Even tasks for every evaluation, whatever files the test set came in.
     held_out = (
         test.select("sample_id", "features", "label")
         .repartition(parts, "sample_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    weights = cfg.spec.initial(cfg.train.seed, cfg.zeros) if start is None else np.asarray(start)
     rows = []
     began = time.monotonic()
     try:
-        away = _outages_by_round(outages, expected, cfg)
-        for r in range(cfg.start_round, cfg.start_round + cfg.rounds):
-            # A filter on the cached layout keeps its partitioning: no shuffle.
-            active = laid_out.filter(~F.col("shard_id").isin(away[r])) if r in away else laid_out
-            shared = context.broadcast(weights)
-            step = _round(active, cfg, shared, r)
-            if step.mixed:
-                # Some units of a shard failed, others not: leave the shard out.
-                keep = active.filter(F.col("shard_id").isin(step.valid))
-                step.mean = _round(keep, cfg, shared, r).mean if step.valid else None
-            failed = len(expected) - len(step.valid)
-            met = bool(step.valid) and (cfg.policy == "any" or failed == 0)
+        for r in range(first, last + 1):
+            away = None
+            if outages is not None:
+                away = outages.filter(F.col("round") == r).select("shard_id").distinct()
+            # A broadcast of the shards that are away keeps the cached layout: no shuffle.
+            active = laid_out if away is None else laid_out.join(F.broadcast(away), "shard_id", "left_anti")
+            shared = spark.sparkContext.broadcast(weights)
+            units = train_units(active, cfg.spec, cfg.train, shared, r, by=("shard_id", "unit", "slot"))
+            if journal:
+                units = units.persist(StorageLevel.MEMORY_AND_DISK)  # read again for the status
+            mean, valid = _average(units, cfg.spec.size)
+            failed = n_shards - valid
+            met = valid > 0 and (cfg.policy == "any" or failed == 0)
             if met:
-                weights = step.mean
-            shared.unpersist()
+                weights = mean
+            status = journal and shard_status(shards, units, away)
             accuracy, loss = evaluate_model(held_out, cfg.spec, weights).first()
-            rows.append(
-                (r, time.monotonic() - began, accuracy, loss, len(step.valid), failed, cfg.mode, cfg.method)
-            )
+            row = (r, elapsed + time.monotonic() - began, accuracy, loss, valid, failed, cfg.mode, cfg.method)
+            rows.append(row)
             if cfg.ledger_path:
-                append_ledger(spark.createDataFrame(rows[-1:], LEDGER), cfg.ledger_path)
+                append_ledger(spark.createDataFrame([row], LEDGER), cfg.ledger_path)
             if cfg.checkpoint_path:
                 save_checkpoint(model_table(spark, cfg.spec, weights), cfg.checkpoint_path, r)
+            if journal:
+                events = status_events(journal.status(r - 1), status, r)
+                commit = Row(*LEDGER.names, "quorum_met", "expected")(*row, met, n_shards)
+                journal.commit(commit, model_table(spark, cfg.spec, weights), status, events)
+                units.unpersist()
+            shared.destroy()
     finally:
-        laid_out.unpersist()
-        held_out.unpersist()
-    return RoundResult(
-        spark.createDataFrame(rows, LEDGER), model_table(spark, cfg.spec, weights), weights
-    )
+        for kept in (shards, laid_out, held_out):
+            kept.unpersist()
+    ledger = journal.commits().select(*LEDGER.names) if journal else spark.createDataFrame(rows, LEDGER)
+    return RoundResult(ledger, model_table(spark, cfg.spec, weights), weights)
 
 
-def _outages_by_round(outages: DataFrame | None, shards: set, cfg: RoundConfig) -> dict:
-    """Known shards that are out, per round of this run."""
-    if outages is None:
-        return {}
-    last = cfg.start_round + cfg.rounds - 1
-    rows = (
-        outages.filter(F.col("round").between(cfg.start_round, last))
-        .filter(F.col("shard_id").isin(list(shards)))
-        .select("round", "shard_id")
-        .distinct()
-        .collect()
-    )
-    found: dict[int, list] = {}
-    for r, shard in rows:
-        found.setdefault(r, []).append(shard)
-    return found
+def _shards(samples: DataFrame, cfg: RoundConfig) -> DataFrame:
+    """Every shard with its size, its number of units and the slot of its first unit. A sample without a
+    shard takes no part."""
+    sizes = samples.filter("shard_id IS NOT NULL").groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    units = F.lit(cfg.units_per_shard)
+    if cfg.unit_rows:
+        units = F.ceil(F.col("n_samples") / F.lit(cfg.unit_rows))
+    before = Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    sizes = sizes.withColumn("units", units.cast("int"))
+    return sizes.withColumn("slot", F.coalesce(F.sum("units").over(before), F.lit(0)).cast("int"))
 
 
-@dataclass
-class _Step:
-    valid: list[int]
-    mixed: bool
-    mean: np.ndarray | None
+def _laid_out(samples: DataFrame, shards: DataFrame, cfg: RoundConfig) -> tuple[DataFrame, int, int]:
+    """Samples with their unit, cached so that a unit lies in one partition; partitions; shards.
+
+    While units are few each has a partition of its own, where hashes of few keys would collide and leave
+    tasks idle. Many units are spread by hash.
+    """
+    n_shards, n_units = shards.agg(F.count(F.lit(1)), F.coalesce(F.sum("units"), F.lit(0))).first()
+    of_shard = shards.select("shard_id", "units", "slot")
+    of_shard = F.broadcast(of_shard) if n_shards <= BROADCAST_ROWS else of_shard
+    unit = F.pmod(F.xxhash64("sample_id"), F.col("units")).cast("int")
+    rows = (
+        samples.select("shard_id", "sample_id", "features", "label").join(of_shard, "shard_id")
+        .withColumn("unit", unit).withColumn("slot", F.col("slot") + F.col("unit")).drop("units")
+    )
+    width = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cfg.partitions or max(width, math.ceil(n_units / UNITS_PER_PARTITION))
+    if cfg.partitions is None and n_units <= width * UNITS_PER_PARTITION:
+        dealt = rows.repartitionById(max(1, n_units), F.col("slot"))
+    else:
+        dealt = rows.repartition(parts, "slot")
+    dealt = dealt.sortWithinPartitions("shard_id", "unit", "slot")
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK), parts, n_shards
 
 
-def _round(active: DataFrame, cfg: RoundConfig, shared, round_no: int) -> _Step:
-    """Train all units and reduce them to one mean model and a row per shard.
+def _average(units: DataFrame, size: int) -> tuple[np.ndarray | None, int]:
+    """The mean model of the shards without a failed unit, and their number, in one job.
 
-    One job: each unit yields its weights by position and a mark for its
-    shard, and a hash aggregate, partial before the shuffle, sums both.
+    Weights become (shard, pos) sums, with a mark at position -1; a failed unit marks all positions of
+    its shard. The marks drop the shard before the mean is taken. Both aggregates are partial before their shuffle.
     """
-    units = train_units(active, cfg.spec, cfg.train, shared, round_no)
-    ok = F.col("status") == "success"
-    mark = F.array(F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0)))
-    entries = units.select(
-        "n_samples",
-        F.inline(
-            F.array(
-                F.struct(F.col("shard_id").alias("shard"), mark.alias("vector")),
-                F.struct(F.lit(None).cast("int").alias("shard"), F.col("weights").alias("vector")),
-            )
-        ),
-    ).select("shard", "n_samples", F.posexplode("vector").alias("pos", "v"))
-    n = F.col("n_samples")
-    found = (
-        entries.groupBy("shard", "pos")
-        .agg(
-            F.try_divide(F.sum(n * F.col("v")), F.sum(n)).alias("value"),
-            F.min("v").alias("lowest"),
-            F.max("v").alias("highest"),
-        )
-        .toPandas()  # a row per model parameter and per shard
+    ok, n = F.col("status") == "success", F.col("n_samples")
+    missing = F.array_repeat(F.lit(None).cast("double"), size)
+    cells = units.select(
+        "shard_id", "n_samples", ok.alias("ok"),
+        F.posexplode(F.concat(F.array(F.lit(0.0)), F.coalesce("weights", missing))).alias("pos", "v"),
     )
-    model, marks = found[found["shard"].isna()], found[found["shard"].notna()]
-    valid = [int(s) for s in marks.loc[marks["lowest"] > 0, "shard"]]
-    mean = None
-    if len(model):
-        if len(model) != cfg.spec.size:
-            raise ValueError(f"averaged model has {len(model)} values, {cfg.spec.size} expected")
-        mean = np.empty(cfg.spec.size)
-        mean[model["pos"].to_numpy()] = model["value"].to_numpy()
-    return _Step(valid, bool(((marks["lowest"] == 0) & (marks["highest"] > 0)).any()), mean)
+    shards = cells.groupBy("shard_id", "pos").agg(
+        F.sum(n * F.col("v")).alias("s"), F.sum("n_samples").alias("n"), F.bool_and("ok").alias("ok")
+    ).filter("ok")
+    found = shards.groupBy("pos").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"), F.count(F.lit(1)).alias("valid"))
+    table = found.toArrow()  # a row per model parameter, and one
+    if not table.num_rows:
+        return None, 0
+    if table.num_rows != size + 1:
+        raise ValueError(f"averaged model has {table.num_rows - 1} values, {size} expected")
+    mean = np.empty(size + 1)
+    mean[table["pos"].to_numpy()] = table["value"].to_numpy()
+    return mean[1:], table["valid"][0].as_py()
