@@ -62,6 +62,14 @@ def c6(spark, d):
     return drawn.select("participant_id", "draw", "sample_id", "label")
 
 
+def c6_most(spark, d):
+    """Three samples of five for each of the participants."""
+    people = table(spark, d, "supplier").select(F.col("s_suppkey").alias("participant_id"))
+    rows = samples(spark, d)
+    drawn = O.sample_per_participant(rows, people, 3 * rows.count() // 5, seed=6)
+    return drawn.select("participant_id", "draw", "sample_id")
+
+
 def messages(spark, d):
     """Samples of each shard as messages, and two texts that are none."""
     own = samples(spark, d).withColumnRenamed("shard_id", "participant_id")
@@ -145,6 +153,7 @@ QUERIES = {
     "c4_clip": c4,
     "c5_add_feature_noise": c5,
     "c6_sample_per_participant": c6,
+    "c6_sample_most": c6_most,
     "c7_parse_messages": c7,
     "c8_flatten_features": c8,
     "c9_clean_ledger": c9,
@@ -166,7 +175,26 @@ def _line_sql(expr: str) -> str:
     )
 
 
-_M = 4 * 20 + 64
+
+def _draws_sql(k: str, seed: int, columns: str) -> str:
+    """Draws by a Feistel network over a x b, walking on while a place is outside."""
+    return with_views(
+        f"""SELECT {columns} FROM (SELECT p AS participant_id, draw, x FROM walk, size WHERE steps > 0 AND x < n) d
+        JOIN placed s ON s.spot = d.x""",
+        "samples",
+        placed="SELECT sample_id, label, row_number() OVER (ORDER BY sample_id) - 1 AS spot FROM samples",
+        size="""SELECT n, a, CAST(ceil(n / CAST(a AS DOUBLE)) AS BIGINT) AS b
+        FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM samples)""",
+        walk=f"""SELECT s_suppkey AS p, draw, CAST(draw - 1 AS BIGINT) AS x, 0 AS steps
+        FROM supplier, (SELECT CAST(unnest(range(1, {k} + 1)) AS INTEGER) AS draw FROM size)
+        UNION ALL SELECT p, draw, l2 * b + r2, steps + 1 FROM (
+            SELECT *, (r1 + {hash32('p', '3', 'l2', seed=seed)}) % b AS r2 FROM (
+            SELECT *, (l1 + {hash32('p', '2', 'r1', seed=seed)}) % a AS l2 FROM (
+            SELECT *, (r0 + {hash32('p', '1', 'l1', seed=seed)}) % b AS r1 FROM (
+            SELECT *, (l0 + {hash32('p', '0', 'r0', seed=seed)}) % a AS l1 FROM (
+            SELECT walk.*, a, b, x // b AS l0, x % b AS r0 FROM walk, size WHERE steps = 0 OR x >= n)))))""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
 
 ORACLE = {
     "c1_scale": _line_sql("x / 255"),
@@ -181,17 +209,8 @@ ORACLE = {
         ORDER BY pos) AS f FROM sample_cells GROUP BY 1, 2)""",
         "sample_cells",
     ),
-    "c6_sample_per_participant": with_views(
-        """SELECT p.participant_id, p.draw, s.sample_id, s.label FROM picks p JOIN placed s ON p.spot = s.spot
-        WHERE p.draw <= 20""",
-        "samples",
-        placed="SELECT sample_id, label, row_number() OVER (ORDER BY sample_id) - 1 AS spot FROM samples",
-        draws=f"""SELECT s_suppkey AS participant_id, i,
-        CAST(floor({hash32('s_suppkey', 'i', seed=5)} / 4294967296.0::DOUBLE * (SELECT count(*) FROM samples)) AS BIGINT) AS spot
-        FROM supplier, (SELECT unnest(range(1, {_M + 1})) AS i)""",
-        picks="""SELECT participant_id, spot, CAST(row_number() OVER (PARTITION BY participant_id ORDER BY min(i)) AS INTEGER) AS draw
-        FROM draws GROUP BY 1, 2""",
-    ),
+    "c6_sample_per_participant": _draws_sql("20", 5, "d.participant_id, d.draw, s.sample_id, s.label"),
+    "c6_sample_most": _draws_sql("3 * n // 5", 6, "d.participant_id, d.draw, s.sample_id"),
     "c7_parse_messages": with_views(
         f"SELECT shard_id AS participant_id, label, {sql_digest()} FROM samples", "samples"
     ),

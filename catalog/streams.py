@@ -12,8 +12,10 @@ from shardloom.sources.messages import (
     to_messages,
     write_messages,
 )
+from shardloom.streaming import control as C
 from shardloom.streaming import training as K
 
+from .control import _admitted
 from .views import hash60, normal, requests, samples, table, with_views
 
 SIGMA = PrivacyConfig(epsilon=50.0).sigma
@@ -133,7 +135,60 @@ def j2_stream(spark, d):
     return spark.read.schema("request_id BIGINT, day INT").parquet(out)
 
 
+def _arrivals(rows, name: str, cuts: list[int]) -> str:
+    """Rows as files that come one after another, several at a time: by day, up to each cut."""
+    path = fresh_path(rows.sparkSession, name)
+    for low, high in zip([0, *cuts], [*cuts, 1000], strict=True):
+        part = rows.filter((F.col("day") > low) & (F.col("day") <= high))
+        part.repartition(4).write.mode("append").parquet(path)
+    return path
+
+
+def _drained(df, out: str):
+    query = (
+        df.writeStream.format("parquet").option("checkpointLocation", fresh_path(df.sparkSession, "offsets"))
+        .trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def j1_replies(spark, d):
+    """A reply to every request, over micro-batches of four files."""
+    rows = requests(spark, d).select(
+        "request_id", F.col("ts").cast("timestamp").alias("ts"), "round", "participant_id",
+        F.col("day").alias("expected"), "day",
+    )
+    path = _arrivals(rows, "requests", [10, 20])
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    before = spark.conf.get(C.PROVIDER, None)
+    C.use_rocksdb(spark)
+    try:
+        found = _drained(C.replies(stream, "2 days", 10 * 86400.0), fresh_path(spark, "replies"))
+    finally:
+        spark.conf.set(C.PROVIDER, before) if before else spark.conf.unset(C.PROVIDER)
+    return found.select(
+        "request_id", "participant_id", F.coalesce("round", F.lit(-1)).alias("round"), "expected", "status",
+        F.coalesce("reason", F.lit("")).alias("reason"), "sync_required", F.coalesce("resume_round", F.lit(-1)).alias("resume_round"),
+    )
+
+
+def j2_deadlines(spark, d):
+    """Requests against a stream of round starts: each day's start is that of its first request."""
+    rows = requests(spark, d).select("request_id", F.col("ts").cast("timestamp").alias("ts"), "day")
+    starts = rows.groupBy("day").agg(F.min("ts").alias("ts"))
+    read = lambda df, name, cuts: (
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(_arrivals(df, name, cuts))
+    )
+    found = C.deadlines(
+        read(rows, "arrivals", [9, 18]), read(starts, "starts", [9, 18]), 7200, 86400, "2 days", ("day",)
+    )
+    return _drained(found, fresh_path(spark, "judged")).select("request_id", "day", "in_time")
+
+
 QUERIES = {
+    "j1_replies_stream": j1_replies,
+    "j2_deadlines_stream": j2_deadlines,
     "k1_start_stream": k1,
     "k2_train_batch": k2,
     "k5_batch_metrics": k5,
@@ -199,6 +254,16 @@ ORACLE = {
         count(*) * 0.5::DOUBLE AS spent FROM chosen""",
         "sample_cells", **_SELECT,
     ),
+    "j1_replies_stream": with_views(
+        """SELECT request_id, participant_id, coalesce(round, -1) AS round, expected, status, reason,
+        sync_required, CASE WHEN sync_required THEN expected ELSE -1 END AS resume_round FROM replies""",
+        "requests", **_admitted("day"),
+    ),
+    "j2_deadlines_stream": with_views(
+        """SELECT request_id, day, ts <= s + INTERVAL 7200 SECONDS AS in_time
+        FROM (SELECT *, min(ts) OVER (PARTITION BY day) AS s FROM requests)""",
+        "requests",
+    ),
     "j1_admit_stream": with_views(
         "SELECT DISTINCT round, participant_id FROM requests WHERE round = day", "requests"
     ),

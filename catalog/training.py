@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shardloom.functions.rates import lr_schedule
 from shardloom.operators.models import ModelSpec, TrainConfig
 from shardloom.operators.sharding import train_test_split
-from shardloom.operators.training import minibatches, train_local, train_logistic
+from shardloom.operators.training import minibatches, train_local, train_logistic, train_stream
 from shardloom.plans.journal import Journal
 from shardloom.plans.rounds import RoundConfig, run_rounds
 from shardloom.schemas import OUTAGES
@@ -194,6 +194,12 @@ def e1_momentum(spark, d):
     return _weights(train_local(samples(spark, d), SOFTMAX, cfg, SOFTMAX.initial(zeros=True)))
 
 
+def e1_stream(spark, d):
+    """Shards as sequences that pass through their task."""
+    cfg = TrainConfig(lr=0.5, momentum=0.5, epochs=3, batch=FULL, order="keyed")
+    return _weights(train_stream(samples(spark, d), SOFTMAX, cfg, SOFTMAX.initial(zeros=True)))
+
+
 def e2_epochs(spark, d):
     """Plain steps: the loss of every epoch."""
     cfg = TrainConfig(lr=0.5, momentum=0.0, epochs=3, batch=FULL)
@@ -249,6 +255,7 @@ def e11_resumed_events(spark, d):
 
 QUERIES = {
     "e1_train_momentum": e1_momentum,
+    "e1_train_stream": e1_stream,
     "e2_epoch_losses": e2_epochs,
     "e3_adam_steps": e3_steps,
     "e9_mlp_step": e9_step,
@@ -343,6 +350,7 @@ def _resumed_loss(k: int) -> str:
 
 ORACLE = {
     "e1_train_momentum": _three(lr=0.5, momentum=0.5),
+    "e1_train_stream": _three(lr=0.5, momentum=0.5),
     "e2_epoch_losses": softmax_steps(
         " UNION ALL ".join(
             f"SELECT CAST(g AS INTEGER) AS shard_id, {k} AS epoch, round(loss, 6) AS loss FROM loss{k + 1}" for k in range(3)

@@ -32,6 +32,46 @@ def uniform(*parts: Column, seed) -> Column:
     return _hex_to_long(F.substring(digest(*parts, seed=seed), 1, 8)) / F.lit(4294967296.0)
 
 
+def hash32(*parts: Column, seed) -> Column:
+    """32-bit integer of the key parts and the seed."""
+    return _hex_to_long(F.substring(digest(*parts, seed=seed), 1, 8))
+
+
+# Rounds of the network, and walks after which a place has surely come back into the range.
+FEISTEL_ROUNDS, WALKS = 4, 64
+
+
+def permuted(place: Column, n: int, *key: Column, seed) -> Column:
+    """Where a keyed permutation of 0..n-1 sends ``place``: one permutation for each key.
+
+    A Feistel network over a x b, the nearest rectangle that holds n: each round shifts one coordinate by a
+    hash of the other, which can be undone, so no two places meet. A place outside 0..n-1 is sent on until it
+    is inside. At most a x b - n places are outside: up to n = 900 that is fewer than ``WALKS``, and
+    beyond it a walk of that length has a probability under 1e-70.
+    """
+    if n < 1:
+        raise ValueError("nothing to permute")
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def send(x: Column) -> Column:
+        start = F.struct(F.floor(x / F.lit(b)).cast("bigint").alias("l"), F.pmod(x, F.lit(b)).cast("bigint").alias("r"))
+
+        def round_(s: Column, i: Column) -> Column:
+            l, r = s.getField("l"), s.getField("r")
+            moved = hash32(*key, i, F.when(i % 2 == 0, r).otherwise(l), seed=seed)
+            return F.struct(
+                F.when(i % 2 == 0, F.pmod(l + moved, F.lit(a))).otherwise(l).cast("bigint").alias("l"),
+                F.when(i % 2 == 1, F.pmod(r + moved, F.lit(b))).otherwise(r).cast("bigint").alias("r"),
+            )
+
+        rounds = F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1))
+        return F.aggregate(rounds, start, round_, lambda s: s.getField("l") * F.lit(b) + s.getField("r"))
+
+    steps = F.sequence(F.lit(1), F.lit(WALKS))
+    return F.aggregate(steps, send(place.cast("bigint")), lambda x, _: F.when(x >= F.lit(n), send(x)).otherwise(x))
+
+
 def _bind(value: Column, body) -> Column:
     """Evaluate ``value`` once inside a lambda and hand it to ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

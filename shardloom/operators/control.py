@@ -25,7 +25,9 @@ def admit(
     expected = F.lit(expected_round) if isinstance(expected_round, int) else expected_round
     known = F.col("round").isNotNull()
     base = requests.withColumn("expected", expected.cast("int"))
-    base = base.withColumn("_matches", known & (F.col("round") == F.col("expected")))
+    base = base.withColumn(
+        "_matches", F.coalesce(F.col("round") == F.col("expected"), F.lit(False))
+    )
     placed = with_position(
         base, ["ts", order_by], ["round", "participant_id", "_matches"], "_pos",
         rows_per_cell=rows_per_cell,

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import vectors as V
-from ..functions.random import normals, uniform
+from ..functions.random import normals, permuted
 from .joins import spread_join
 from .positions import with_position
 
@@ -25,46 +22,22 @@ def add_feature_noise(
     return samples.withColumn("features", V.clip(noisy, low, high))
 
 
-def _draws(k: int, n: int) -> int:
-    """Draws with replacement that contain k distinct of n, all but surely."""
-    if 2 * k <= n:
-        return 4 * k + 64
-    return n * (math.ceil(math.log(n + 1)) + 40)
-
-
 def sample_per_participant(
     samples: DataFrame, participants: DataFrame, k: int, seed=42
 ) -> DataFrame:
     """Each participant draws ``k`` distinct samples, independently of the others.
 
-    Every participant draws positions and keeps its first ``k`` distinct ones,
-    then positions are joined to samples. Work grows with
-    ``participants * k + samples``, not with their product. A participant that
-    ended up short would raise, never return fewer rows.
+    Draw i of a participant is the sample at the place to which its own permutation of the samples sends
+    i - 1: exactly ``participants * k`` rows, whatever the share of k, and nothing to sort, to sift or to
+    retry. Samples are numbered by id; then places are joined to samples.
     """
-    indexed = with_position(samples.select(ID), [ID], name="_at")
     n = samples.count()
     if k > n:
         raise ValueError(f"cannot draw {k} distinct samples out of {n}")
-    m = _draws(k, n)
-    by_draw = Window.partitionBy("participant_id").orderBy("_draw")  # at most m rows each
-    picks = (
-        participants.select("participant_id")
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(m))))
-        .withColumn(
-            "_at",
-            F.floor(uniform(F.col("participant_id"), F.col("_draw"), seed=seed) * F.lit(n)).cast("bigint"),
-        )
-        .groupBy("participant_id", "_at")
-        .agg(F.min("_draw").alias("_draw"))
-        .withColumn("_rank", F.row_number().over(by_draw))
-        .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy("participant_id")))
-        .filter(
-            F.when(F.col("_found") < k, F.raise_error(F.lit("too few distinct draws")).cast("boolean"))
-            .otherwise(F.col("_rank") <= k)
-        )
-        .select("participant_id", "_at", F.col("_rank").alias("draw"))
-    )
+    indexed = with_position(samples.select(ID), [ID], name="_at")
+    picks = participants.select(
+        "participant_id", F.explode(F.sequence(F.lit(1), F.lit(k)) if k else F.array().cast("array<int>")).alias("draw")
+    ).withColumn("_at", permuted(F.col("draw") - 1, max(n, 1), F.col("participant_id"), seed=seed))
     drawn = picks.join(indexed, "_at").drop("_at")
     return spread_join(samples, drawn, [ID])
 

@@ -71,20 +71,20 @@ def unpack(spec: ModelSpec, vector: np.ndarray) -> list[np.ndarray]:
     return parts
 
 
-def matrix(column, n_features: int) -> np.ndarray:
+def matrix(column, n_features: int, kind=np.float64) -> np.ndarray:
     """Rows of an Arrow list column as one matrix, without an object per row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if n == 0:
-        return np.empty((0, n_features))
+        return np.empty((0, n_features), kind)
     widths = pc.list_value_length(column)
     if widths.null_count or pc.min(widths).as_py() != n_features or pc.max(widths).as_py() != n_features:
         raise ValueError(f"every row needs {n_features} features")
     values = column.flatten()
     if values.null_count:
         raise ValueError("missing feature values")
-    return np.asarray(values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, n_features)
+    return np.asarray(values.to_numpy(zero_copy_only=False), dtype=kind).reshape(n, n_features)
 
 
 def forward(spec: ModelSpec, params: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -152,42 +152,66 @@ class TrainConfig:
     seed: int = 42
     lr_gamma: float = 1.0
     lr_step: int = 5
+    # Order of an epoch's rows: a permutation of the whole shard, or a hash key of each row, by which
+    # rows can be sorted outside a task's memory.
+    order: str = "permuted"
 
     def __post_init__(self):
+        if self.order not in ("permuted", "keyed"):
+            raise ValueError(f"unknown order {self.order!r}")
         if self.opt not in ("sgd", "adam"):
             raise ValueError(f"unknown optimiser {self.opt!r}")
 
 
-def train(
-    spec: ModelSpec, cfg: TrainConfig, lr: float, start: np.ndarray, x: np.ndarray, y: np.ndarray, seed
-) -> tuple[np.ndarray, list[float]]:
-    """Epochs of shuffled mini-batches; weights and mean batch loss per epoch."""
+class Descent:
+    """A model on its way: weights, the optimiser's moments, and the dropout draws."""
+
+    def __init__(self, spec: ModelSpec, cfg: TrainConfig, lr: float, start: np.ndarray, rng):
+        self.spec, self.cfg, self.lr, self.rng = spec, cfg, lr, rng
+        self.w = np.array(start, dtype=np.float64)
+        self.m, self.v, self.steps = np.zeros_like(self.w), np.zeros_like(self.w), 0
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> float:
+        """One mini-batch; its mean loss."""
+        cfg, w = self.cfg, self.w
+        loss, g = loss_and_gradient(self.spec, w, x, y, self.rng)
+        if cfg.weight_decay:
+            g += cfg.weight_decay * w
+        if cfg.opt == "sgd":
+            self.m *= cfg.momentum
+            self.m += g
+            w -= self.lr * self.m
+        else:
+            self.steps += 1
+            self.m = 0.9 * self.m + 0.1 * g
+            self.v = 0.999 * self.v + 0.001 * g * g
+            w -= self.lr * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.999**self.steps)) + 1e-8)
+        return loss
+
+
+def check_labels(spec: ModelSpec, y: np.ndarray) -> None:
     if len(y) == 0:
         raise ValueError("no samples")
     if y.min() < 0 or y.max() >= spec.n_classes:
         raise ValueError(f"label outside 0..{spec.n_classes - 1}")
+
+
+def train(
+    spec: ModelSpec, cfg: TrainConfig, lr: float, start: np.ndarray, x: np.ndarray, y: np.ndarray, seed,
+    orders: list[np.ndarray] | None = None,
+) -> tuple[np.ndarray, list[float]]:
+    """Epochs of shuffled mini-batches; weights and mean batch loss per epoch.
+
+    ``orders`` has the order of the rows for each epoch; without it they are permuted by ``seed``.
+    """
+    check_labels(spec, y)
     rng = np.random.default_rng(seed)
-    w = np.array(start, dtype=np.float64)
-    m, v, steps = np.zeros_like(w), np.zeros_like(w), 0
+    model = Descent(spec, cfg, lr, start, rng)
     epoch_losses = []
-    for _ in range(cfg.epochs):
-        order, losses = rng.permutation(len(y)), []
+    for epoch in range(cfg.epochs):
+        order, losses = rng.permutation(len(y)) if orders is None else orders[epoch], []
         xs, ys = x[order], y[order]
         for at in range(0, len(y), cfg.batch):
-            loss, g = loss_and_gradient(
-                spec, w, xs[at : at + cfg.batch], ys[at : at + cfg.batch], rng
-            )
-            losses.append(loss)
-            if cfg.weight_decay:
-                g += cfg.weight_decay * w
-            if cfg.opt == "sgd":
-                m *= cfg.momentum
-                m += g
-                w -= lr * m
-            else:
-                steps += 1
-                m = 0.9 * m + 0.1 * g
-                v = 0.999 * v + 0.001 * g * g
-                w -= lr * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+            losses.append(model.step(xs[at : at + cfg.batch], ys[at : at + cfg.batch]))
         epoch_losses.append(float(np.mean(losses)))
-    return w, epoch_losses
+    return model.w, epoch_losses

@@ -15,7 +15,7 @@ from ..functions.random import order_key
 from ..functions.rates import lr_at
 from ..functions.vectors import vector_norm
 from ..schemas import UNITS, UPDATES
-from .models import ModelSpec, TrainConfig, matrix, train
+from .models import Descent, ModelSpec, TrainConfig, check_labels, matrix, train
 from .positions import hashed_cell, with_position
 from .sharding import with_equal_units, with_unit
 
@@ -56,11 +56,15 @@ def train_units(
             "epoch_losses": None, "weights": None,
         }
         try:
-            order = np.argsort(group["sample_id"].to_numpy(), kind="stable")
+            ids = group["sample_id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
             x = matrix(group["features"], spec.n_features)[order]
             y = group["label"].to_numpy()[order]
-            seed = [cfg.seed, round_no, zlib.crc32(f"{shard}|{unit}".encode())]
-            w, losses = train(spec, cfg, lr, shared.value, x, y, seed)
+            orders = None
+            if cfg.order == "keyed":
+                keys = matrix(group["keys"], cfg.epochs, np.int64)[order]
+                orders = [np.argsort(k, kind="stable") for k in keys.T]
+            w, losses = train(spec, cfg, lr, shared.value, x, y, _seed(cfg, round_no, shard, unit), orders)
             if not np.isfinite(w).all():
                 raise FloatingPointError("training diverged")
             row |= {
@@ -74,9 +78,133 @@ def train_units(
         return pa.Table.from_pylist([row], schema=schema)
 
     columns = samples.select(*by, "sample_id", "features", "label")
+    if cfg.order == "keyed":
+        columns = columns.withColumn("keys", F.array(*[_epoch_key(cfg, round_no, e) for e in range(cfg.epochs)]))
     return columns.groupBy(*by).applyInArrow(run, UNITS)
 
 
+def _seed(cfg: TrainConfig, round_no: int, shard, unit: int) -> list[int]:
+    return [cfg.seed, round_no, zlib.crc32(f"{shard}|{unit}".encode())]
+
+
+def _epoch_key(cfg: TrainConfig, round_no: int, epoch):
+    """Where a sample stands in an epoch: a hash of its id, the round and the epoch."""
+    epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
+    return order_key(F.col("sample_id"), F.lit(round_no), epoch, seed=cfg.seed).cast("bigint")
+
+
+def train_stream(
+    samples: DataFrame,
+    spec: ModelSpec,
+    cfg: TrainConfig,
+    start=None,
+    round_no: int = 1,
+    on_failure: str = "capture",
+    partitions: int | None = None,
+) -> DataFrame:
+    """One update per shard, each shard a single sequence of mini-batches that need not fit a task.
+
+    The rows of all epochs are sorted by shard, epoch and the epoch's key, outside memory where they must,
+    and pass through the task batch by batch; weights, moments and draws are carried along. A task holds a
+    mini-batch, an Arrow batch and the model, whatever the shard's size. The features are shuffled
+    once for each epoch. Needs ``cfg.order == "keyed"`` and gives the weights of ``train_local`` with one
+    unit per shard and the same configuration.
+    """
+    if cfg.order != "keyed":
+        raise ValueError("rows can be streamed in the order of a key only")
+    if on_failure not in ("capture", "raise"):
+        raise ValueError(f"unknown failure mode {on_failure!r}")
+    start = spec.initial(cfg.seed) if start is None else start
+    shared = samples.sparkSession.sparkContext.broadcast(np.asarray(start, dtype=np.float64))
+    lr = lr_at(round_no, cfg.lr, cfg.lr_gamma, cfg.lr_step)
+    schema = to_arrow_schema(UPDATES)
+
+    def run(batches):
+        now: _Sequence | None = None
+        for batch in batches:
+            shards = pa.array(batch.column("shard_id")).fill_null(0).to_numpy()
+            none = batch.column("shard_id").is_null().to_numpy(zero_copy_only=False)
+            epochs = batch.column("epoch").to_numpy()
+            new = np.ones(len(epochs), bool)
+            new[1:] = (shards[1:] != shards[:-1]) | (none[1:] != none[:-1]) | (epochs[1:] != epochs[:-1])
+            cuts = [*np.flatnonzero(new).tolist(), len(epochs)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                shard = None if none[a] else int(shards[a])
+                if now is None or now.shard != shard:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pylist([now.update(round_no)], schema=schema)
+                    now = _Sequence(shard, spec, cfg, lr, shared.value, _seed(cfg, round_no, shard, 0), on_failure)
+                now.add(int(epochs[a]), batch.column("features").slice(a, b - a), batch.column("label").slice(a, b - a))
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([now.update(round_no)], schema=schema)
+
+    rows = samples.select("shard_id", "sample_id", "features", "label").withColumn(
+        "epoch", F.explode(F.sequence(F.lit(0), F.lit(cfg.epochs - 1)))
+    ).withColumn("key", _epoch_key(cfg, round_no, F.col("epoch")))
+    dealt = rows.repartition(partitions, "shard_id") if partitions else rows.repartition("shard_id")
+    laid = dealt.sortWithinPartitions("shard_id", "epoch", "key", "sample_id")
+    return laid.select("shard_id", "epoch", "features", "label").mapInArrow(run, UPDATES)
+
+
+class _Sequence:
+    """A shard in training: its model so far, and the rows that wait for a full mini-batch."""
+
+    def __init__(self, shard, spec, cfg, lr, start, seed, on_failure):
+        self.shard, self.spec, self.cfg, self.on_failure = shard, spec, cfg, on_failure
+        self.model = Descent(spec, cfg, lr, start, np.random.default_rng(seed))
+        self.epoch, self.rows, self.error = 0, 0, None
+        self.losses: list[list[float]] = [[] for _ in range(cfg.epochs)]
+        self.x, self.y = np.empty((0, spec.n_features)), np.empty(0, np.int64)
+
+    def add(self, epoch: int, features: pa.Array, label: pa.Array) -> None:
+        if self.error is not None:
+            return
+        try:
+            if epoch != self.epoch:
+                self._steps(True)
+                self.epoch = epoch
+            y = label.to_numpy(zero_copy_only=False)
+            check_labels(self.spec, y)
+            self.x = np.concatenate([self.x, matrix(features, self.spec.n_features)])
+            self.y = np.concatenate([self.y, y])
+            self.rows += len(y) if epoch == 0 else 0
+            self._steps(False)
+        except Exception as e:  # noqa: BLE001 - a failed shard is a result
+            self._failed(e)
+
+    def _failed(self, e: Exception) -> None:
+        if self.on_failure == "raise":
+            raise e
+        self.error = f"{type(e).__name__}: {e}"
+
+    def _steps(self, last: bool) -> None:
+        size, at = self.cfg.batch, 0
+        while len(self.y) - at >= (1 if last else size):
+            self.losses[self.epoch].append(self.model.step(self.x[at : at + size], self.y[at : at + size]))
+            at += size
+        self.x, self.y = self.x[at:], self.y[at:]
+
+    def update(self, round_no: int) -> dict:
+        row = {
+            "round": round_no, "shard_id": self.shard, "n_samples": 0, "status": "failed", "error": self.error,
+            "avg_loss": None, "lr": self.model.lr, "epoch_losses": None, "weights": None,
+        }
+        if self.error is None:
+            try:
+                self._steps(True)
+                if not np.isfinite(self.model.w).all():
+                    raise FloatingPointError("training diverged")
+            except Exception as e:  # noqa: BLE001
+                self._failed(e)
+                return row | {"error": self.error}
+            losses = [float(np.mean(x)) for x in self.losses]
+            row |= {
+                "n_samples": self.rows, "status": "success", "weights": self.model.w,
+                "avg_loss": float(np.mean(losses)), "epoch_losses": losses,
+            }
+        return row
+
+
 def train_local(
     samples: DataFrame,
     spec: ModelSpec,

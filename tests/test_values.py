@@ -94,6 +94,26 @@ def test_sample_per_participant(spark):
         C.sample_per_participant(samples, people, 31)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 100, 101, 1000])
+def test_permutation_is_one(spark, n):
+    """Every place once for each key, other keys otherwise, and no window in the plan of a draw."""
+    from shardloom.functions.random import permuted
+
+    rows = spark.range(n).selectExpr("id", "explode(array(1, 2)) AS key")
+    got = rows.select("key", permuted(F.col("id"), n, F.col("key"), seed=3).alias("x")).collect()
+    by_key = [[r["x"] for r in got if r["key"] == k] for k in (1, 2)]
+    assert all(sorted(x) == list(range(n)) for x in by_key)
+    assert n < 10 or by_key[0] != by_key[1]
+
+
+def test_draws_are_spread(spark):
+    """Each sample is drawn about as often as any other, half of them by every participant."""
+    samples = spark.range(40).select(F.col("id").alias("sample_id"))
+    people = spark.range(400).select(F.col("id").alias("participant_id"))
+    times = [r["count"] for r in C.sample_per_participant(samples, people, 20).groupBy("sample_id").count().collect()]
+    assert len(times) == 40 and sum(times) == 8000 and 140 < min(times) and max(times) < 260
+
+
 def updates(spark, data):
     return spark.createDataFrame(
         data,
