@@ -1,15 +1,16 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Counting. Tasks sort the n-grams of a few million tokens at a time, count repetitions, and pass on
-packed arrays by bucket of the context's hash; a bucket sees all n-grams of its contexts, so the totals
-of a context are exact. Words are kept with their exact counts, whatever these are; longer n-grams are
-kept from ``least`` occurrences, and what a context loses by that goes to the shorter one.
+packed arrays by bucket of the context's hash. A bucket sees all n-grams of its contexts; it merges the
+arrays as they come, so that it holds distinct n-grams, not all arrays of a frequent context. All n-grams
+are kept, those seen once as well, unless ``least`` says otherwise. Contexts are told apart by the bucket and
+32 more bits of their hash.
 
 Trie. Level 1 holds the word hashes as an Elias-Fano sequence with their counts. A higher level holds the
 context hashes as such a sequence, the monotone pointers from contexts to their successors as another,
 and the successors of each context as sorted 32-bit word hashes with one byte per probability (logarithm,
 in sixteenths of a power of two) and one byte per context for its back-off weight. Levels are cut into
-shards by context hash, each built by one task from a bounded number of n-grams, and mapped by the
+shards by context hash, each merged and written by one task, some four million tokens of text to a shard, and mapped by the
 scoring workers, which search a context and then, within its range, the successor.
 
 Smoothing is absolute discounting, interpolated: p(w|c) = max(n(cw) - d, 0) / n(c) + b(c) p(w|shorter c),
@@ -19,25 +20,27 @@ where b(c) is the rest of the mass; words have p(w) = (n(w) + 1) / (N + V + 1).
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from .elias_fano import EliasFano, build, map_arrays, write_arrays
 from .stats import fold
-from .tables import parts, remainder, stored
+from .tables import parts, remainder
 from .tokens import store_of
-from .words import PLACE, U, mix, runs, slices, sums
+from .words import PLACE, U, mix, slices, sums
 
 END = mix(np.array([0x0E0D], U))[0]
 START = mix(np.array([0x57A7], U))[0]
 BUCKET_TOKENS = 1 << 19
 CHUNK = 1 << 21  # n-grams that a counting task sorts at a time
-SHARD = 1 << 22  # n-grams of one shard of the trie
+SHARD = 1 << 22  # tokens of text for each shard of a level
+MERGE = 1 << 22  # counts that wait to be merged
 
 
 @dataclass(frozen=True)
@@ -83,12 +86,21 @@ def _count(context, word, bits: int):
     return bucket[at], key[at], np.diff(np.append(at, len(key))).astype(np.uint32)
 
 
+def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, and those from 255 up as they are."""
+    return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.uint32)
+
+
 def _packed(level: int, bucket, columns) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-2))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    body = [pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns]
+    context, word, n = columns
+    body = [[c[a:b].tobytes() for a, b in spans] for c in (context, word)]
+    body += [list(x) for x in zip(*[[y.tobytes() for y in _small(n[a:b])] for a, b in spans], strict=True)]
     number = pa.array((bucket[cuts[:-1]].astype(np.int64) << 4) | level)
-    return pa.RecordBatch.from_arrays([number, *body], ["bucket", "context", "word", "n"])
+    return pa.RecordBatch.from_arrays(
+        [number, *(pa.array(x, pa.binary()) for x in body)], ["bucket", "context", "word", "n", "more"]
+    )
 
 
 def ngram_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
@@ -130,7 +142,7 @@ def ngram_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
             yield from flush()
 
     return docs.select("text").mapInArrow(
-        run, "bucket long, context binary, word binary, n binary"
+        run, "bucket long, context binary, word binary, n binary, more binary"
     )
 
 
@@ -143,116 +155,129 @@ def _code(p: np.ndarray) -> np.ndarray:
 DECODE = np.append(2.0 ** (-np.arange(255) / 16), 0.0)
 
 
-def _reduce(counts: DataFrame, order: int, least: int, discount: float, partitions: int) -> DataFrame:
-    """Per bucket: the level's sorted entries that are kept, packed, and their totals."""
-    names = ["level", "bucket", "kept", "words", "tokens", "context", "length", "weight", "word", "value"]
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
-    def run(batches):
-        for group in runs(batches, "bucket"):
-            number = group["bucket"][0].as_py()
-            level, bucket = number & 15, number >> 4
-            n = np.frombuffer(b"".join(group["n"].to_pylist()), np.uint32).astype(np.int64)
-            words = b"".join(group["word"].to_pylist())
-            if level == 1:
-                word, at = np.unique(np.frombuffer(words, U), return_inverse=True)
-                n = np.bincount(at, n, len(word)).astype(np.int64)
-                row = [level, bucket, len(word), len(word), int(n.sum()), b"", b"", b"", word.tobytes(), n.tobytes()]
-            else:
-                context = np.frombuffer(b"".join(group["context"].to_pylist()), np.uint32).astype(U)
-                key, at = np.unique((context << U(32)) | np.frombuffer(words, np.uint32), return_inverse=True)
-                n = np.bincount(at, n, len(key))
-                context, of = np.unique(key >> U(32), return_inverse=True)
-                total = np.bincount(of, n, len(context))
-                keep = n >= least
-                share = (n[keep] - discount) / total[of[keep]]
-                length = np.bincount(of[keep], minlength=len(context))
-                value = _code(share)
-                weight = 1 - np.bincount(of[keep], DECODE[value], len(context))
-                has = length > 0
-                row = [
-                    level, bucket, int(keep.sum()), 0, 0, context[has].astype(np.uint32).tobytes(),
-                    length[has].astype(np.uint32).tobytes(), _code(np.maximum(weight[has], 2.0**-15)).tobytes(),
-                    key[keep].astype(np.uint32).tobytes(), value.tobytes(),
-                ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names
-            )
-
-    kinds = ", ".join(f"{c} {'long' if i < 5 else 'binary'}" for i, c in enumerate(names))
-    return counts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, kinds)
-
-
-def _write(reduced: DataFrame, folder: str, bits: int, shards: dict[int, int]) -> DataFrame:
-    """Builds the shards, each in one task from its buckets in order."""
-    shard = F.expr(
-        "CASE level " + " ".join(f"WHEN {k} THEN shiftright(bucket, {bits} - {s})" for k, s in shards.items()) + " END"
-    )
-    rows = reduced.filter("kept > 0").withColumn("shard", F.shiftleft(shard, 4) + F.col("level"))
+
+class _Bucket:
+    """The counts of a bucket, merged while they come."""
+
+    def __init__(self, number: int):
+        self.number, self.level = number >> 4, number & 15
+        self.keys, self.counts, self.waiting = [], [], 0
+
+    def add(self, context: bytes, word: bytes, n: bytes, more: bytes) -> None:
+        if self.level == 1:
+            key = np.frombuffer(word, U)
+        else:
+            key = (np.frombuffer(context, np.uint32).astype(U) << U(32)) | np.frombuffer(word, np.uint32)
+        count = np.frombuffer(n, np.uint8).astype(np.int64)
+        count[count == 255] = np.frombuffer(more, np.uint32)
+        self.keys.append(key)
+        self.counts.append(count)
+        self.waiting += len(key)
+        if self.waiting > MERGE + 2 * len(self.keys[0]):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            key, n = _merged(self.keys, self.counts)
+            self.keys, self.counts = [key], [n]
+        self.waiting = 0
+        return self.keys[0], self.counts[0]
+
+    def entries(self, least: int, discount: float) -> dict[str, np.ndarray]:
+        """What the trie keeps of the bucket."""
+        key, n = self.merge()
+        if self.level == 1:
+            return {"key": key, "count": n}
+        context = key >> U(32)
+        first = np.flatnonzero(np.diff(context, prepend=~context[:1]) != 0)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        total = np.add.reduceat(n, first)
+        keep = n >= least
+        value = _code((n[keep] - discount) / total[of[keep]])
+        length = np.bincount(of[keep], minlength=len(first))
+        weight = 1 - np.bincount(of[keep], DECODE[value], len(first))
+        has = length > 0
+        return {
+            "key": (U(self.number) << U(32)) | context[first[has]], "length": length[has],
+            "weight": _code(np.maximum(weight[has], 2.0**-15)), "word": key[keep].astype(np.uint32), "value": value,
+        }
+
+
+def _write(counts: DataFrame, trie: Trie, least: int, discount: float) -> DataFrame:
+    """Merges and writes the shards, each in one task from its buckets in order; a row per shard."""
+    shift = trie.bits - (trie.shards[0] - 1).bit_length()
+    level = F.expr("bucket & 15")
+    rows = counts.withColumn("shard", F.expr(f"shiftleft(shiftright(bucket, 4 + {shift}), 4)") + level)
+    names = ["level", "shard", "kept", "words", "tokens"]
 
     def run(batches):
-        store, root = store_of(folder)
-        for group in runs(batches, "shard"):
-            level, shard = group["shard"][0].as_py() & 15, group["shard"][0].as_py() >> 4
-
-            def joined(name, kind, group=group):
-                return np.frombuffer(b"".join(group[name].to_pylist()), kind)
-
-            if level == 1:
-                arrays = {"count": joined("value", np.int64)}
-                sequences = {"key": joined("word", U)}
-            else:
-                bucket = np.repeat(
-                    group["bucket"].to_numpy(), [len(x) // 4 for x in group["context"].to_pylist()]
-                ).astype(U)
-                length = joined("length", np.uint32).astype(np.int64)
-                sequences = {
-                    "key": (bucket << U(32)) | joined("context", np.uint32).astype(U),
-                    "pointer": sums(length).astype(U),
-                }
-                arrays = {
-                    "word": joined("word", np.uint32), "value": joined("value", np.uint8),
-                    "weight": joined("weight", np.uint8),
-                }
+        store, root = store_of(trie.folder)
+        shard, bucket, pieces = None, None, []
+
+        def finished():
+            level = shard & 15
+            parts = {k: np.concatenate([x[k] for x in pieces]) for k in pieces[0]}
+            sequences = {"key": parts.pop("key")}
+            if level > 1:
+                sequences["pointer"] = sums(parts.pop("length").astype(np.int64)).astype(U)
             for name, values in sequences.items():
-                arrays |= {f"{name}.{k}": v for k, v in build(values).items()}
-            write_arrays(store, f"{root}/{level}-{shard}.trie.{group['bucket'][0].as_py()}", arrays)
-            store.move(f"{root}/{level}-{shard}.trie.{group['bucket'][0].as_py()}", f"{root}/{level}-{shard}.trie")
-            yield pa.RecordBatch.from_pydict({"level": [level], "shard": [shard]})
+                parts |= {f"{name}.{k}": v for k, v in build(values).items()}
+            name = f"{root}/{level}-{shard >> 4}.trie"
+            own = f"{name}.{TaskContext.get().taskAttemptId()}"
+            write_arrays(store, own, parts)
+            store.move(own, name)
+            kept = len(parts["count"]) if level == 1 else len(parts["word"])
+            tokens = int(parts["count"].sum()) if level == 1 else 0
+            row = [level, shard >> 4, kept, kept if level == 1 else 0, tokens]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names)
 
-    count = sum(1 << s for s in shards.values())
+        for batch in batches:
+            for here, number, *body in zip(*(batch.column(c).to_pylist() for c in ("shard", "bucket", "context", "word", "n", "more")), strict=True):
+                if bucket is not None and (bucket.number << 4 | bucket.level) != number:
+                    pieces.append(bucket.entries(least, discount))
+                    bucket = None
+                if here != shard:
+                    if pieces:
+                        yield finished()
+                    shard, pieces = here, []
+                bucket = bucket or _Bucket(number)
+                bucket.add(*body)
+        if bucket is not None:
+            pieces.append(bucket.entries(least, discount))
+            yield finished()
+
+    count = sum(trie.shards)
     return (
         rows.repartition(count, "shard").sortWithinPartitions("shard", "bucket")
-        .mapInArrow(run, "level long, shard long")
+        .mapInArrow(run, ", ".join(f"{c} long" for c in names))
     )
 
 
 def train(
-    docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75,
+    docs: DataFrame, order: int = 3, least: int = 1, discount: float = 0.75,
     bucket_tokens: int = BUCKET_TOKENS, shard: int = SHARD,
 ) -> Trie:
     """Counts all texts of ``docs`` and writes the trie below the shared folder."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(24, (parts(size // 6, bucket_tokens) - 1).bit_length())
-    partitions = parts(order << bits, 8)
-    reduced = stored(_reduce(ngram_counts(docs, order, bits), order, least, discount, partitions), "lm-counts")
-    totals = {
-        r["level"]: r for r in reduced.groupBy("level")
-        .agg(*[F.sum(c).alias(c) for c in ("kept", "words", "tokens")]).collect()
-    }
-    shards = {
-        k: min(bits, (parts(totals[k]["kept"], shard) - 1).bit_length())
-        for k in range(1, order + 1) if k in totals and totals[k]["kept"]
-    }
+    bits = min(24, max(8, (parts(size // 6, bucket_tokens) - 1).bit_length()))  # contexts differ by 40 bits at least
+    shards = 1 << min(bits, (parts(size // 6, shard) - 1).bit_length())
     folder = fresh_path(spark, "trie")
     store, root = store_of(folder)
     store.create_dir(root, recursive=True)
-    if shards:
-        _write(reduced, folder, bits, shards).collect()  # a row per shard
-    return Trie(
-        order, bits, tuple(1 << shards[k] if k in shards else 0 for k in range(1, order + 1)), folder,
-        totals[1]["tokens"] if totals else 0, totals[1]["words"] if totals else 0,
-    )
+    trie = Trie(order, bits, (shards,) * order, folder, 0, 0)
+    written = _write(ngram_counts(docs, order, bits), trie, least, discount).collect()  # a row per shard
+    return replace(trie, tokens=sum(r["tokens"] for r in written), words=sum(r["words"] for r in written))
 
 
 class _Level:
@@ -351,7 +376,7 @@ def score_slice(trie: Trie, part) -> dict[str, np.ndarray]:
     }
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, value: int = 2, order: int = 3, least: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 7, value: int = 2, order: int = 3, least: int = 1) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of
     every row of ``docs(doc_id, text, ...)``.
 

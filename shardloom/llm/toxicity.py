@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stats import fold, sampled_labels
-from .words import LOWER, U, mix, prefix_hash, ragged, slices, span_hash, sums
+from .words import LOWER, U, give_back, mix, prefix_hash, ragged, slices, span_hash, sums
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -241,6 +241,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, modulus: int = 3, value:
         table = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int32())]))
         table = table.sort_by("doc_id")
         model = train(table["text"].to_pylist(), table["label"].to_numpy())
+        give_back()
         body = [[model.weight.tobytes()], [model.bias], [model.slope], [model.shift]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in body], ["weight", "bias", "slope", "shift"])
 
@@ -258,6 +259,7 @@ def _scores(model, text: int):
         for batch in batches:
             found = [model.value.probability(margins(model.value, part)) for part in slices(batch.column(text), 1 << 20)]
             yield batch, np.concatenate(found) if found else np.zeros(0)
+        give_back()
 
     return run
 

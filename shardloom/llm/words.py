@@ -8,6 +8,7 @@ memory follows the slice and the longest single text, never the table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system. A worker outlives its task, and what large temporary arrays
+    leave in the allocator would otherwise count against the executor until it ends."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = x ^ (x >> U(30))

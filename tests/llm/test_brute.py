@@ -202,14 +202,49 @@ def test_lm(spark, texts):
     tokens = {i: [*WORD.findall(x.translate(fold)), None] for i, x in texts.items()}
     count = Counter(w for i, x in tokens.items() if crc(i, 7) != 2 for w in x)
     n, v = sum(count.values()), len(count)
-    base = model = 0
+    base = model = tokens_held = 0
+    plain = plain_model([x for i, x in tokens.items() if crc(i, 7) != 2], n, v)
     for r in QUERIES["op8_lm_scoring"](spark, DIR).collect():
         x = tokens[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(x), sum(count[w] > 0 for w in x), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in x))
+        assert r["score"] == pytest.approx(plain(x), rel=1e-6)
         if r["held_out"]:
-            base, model = base + r["base_score"], model + r["score"]
-    assert base < model < 0
+            base, model, tokens_held = base + r["base_score"], model + r["score"], tokens_held + len(x)
+    assert base < model < 0 and model / tokens_held > -3.29
+
+
+def plain_model(texts, n, v, order=3, discount=0.75):
+    """The same smoothing over dictionaries, with shares and weights rounded as the trie keeps them."""
+    from shardloom.llm.lm import DECODE, _code
+
+    count = Counter(w for x in texts for w in x)
+    after = {}
+    for x in texts:
+        padded = ["<s>"] * (order - 1) + x
+        for i in range(len(x)):
+            for m in range(1, order):
+                after.setdefault(tuple(padded[i + order - 1 - m : i + order - 1]), Counter())[x[i]] += 1
+    kept = {}
+    for context, words in after.items():
+        total = words.total()
+        share = dict(zip(words, DECODE[_code(np.array([(c - discount) / total for c in words.values()]))], strict=True))
+        rest = max(1 - sum(share.values()), 2.0**-15)
+        kept[context] = share, DECODE[_code(np.array([rest]))][0]
+
+    def score(x):
+        padded, out = ["<s>"] * (order - 1) + x, 0.0
+        for i, w in enumerate(x):
+            p, last = (count[w] + 1) / (n + v + 1), True
+            for m in range(1, order):
+                share, weight = kept.get(tuple(padded[i + order - 1 - m : i + order - 1]), ({}, 1.0))
+                if last:
+                    p = share.get(w, 0.0) + weight * p
+                last = m == 1 or share.get(w, 0.0) > 0
+            out += math.log10(p)
+        return out
+
+    return score
 
 
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 5), (1000, 1 << 62), (5000, 6000), (3000, 2**64 - 1)])
