@@ -64,6 +64,14 @@ def f6(spark, d):
     return rows.withColumns({c: F.round(c, 6) for c in ("mean_lr", "mean_loss")})
 
 
+def f6_expected(spark, d):
+    """Rounds 4 to 11 of four shards are expected; shard 3 sends nothing in even rounds, and nobody from round 10."""
+    sent = shard_updates(spark, d).filter("NOT (shard_id = 3 AND round % 2 = 0)")
+    expected = spark.range(4, 12).selectExpr("CAST(id AS INT) AS round", "explode(sequence(0, 3)) AS shard_id")
+    rows = A.round_accounting(sent, expected)
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean_lr", "mean_loss")})
+
+
 def f7(spark, d):
     selected = participants(spark, d).select("participant_id").distinct()
     return _value(A.vector_sum_mean(label_updates(spark, d), "selected", selected))
@@ -92,6 +100,7 @@ QUERIES = {
     "f5_apply_quorum_any": f5_any,
     "f5_apply_quorum_all": f5_all,
     "f6_round_accounting": f6,
+    "f6_accounting_of_expected": f6_expected,
     "f7_vector_sum_mean": f7,
     "f7_vector_mean_received": f7_received,
     "f8_vector_norm": f8,
@@ -156,6 +165,20 @@ ORACLE = {
         round(avg(avg_loss) FILTER (status = 'success'), 6) AS mean_loss FROM update_heads GROUP BY 1""",
         "update_heads",
     ),
+    "f6_accounting_of_expected": with_views(
+        """SELECT e.round, count(u.status) AS received, count(*) FILTER (u.status = 'success') AS valid,
+        4 - count(*) FILTER (u.status = 'success') AS failed,
+        coalesce(string_agg(CAST(e.shard_id AS VARCHAR), ',' ORDER BY e.shard_id)
+        FILTER (coalesce(u.status, '') <> 'success'), '') AS failed_ids,
+        CAST(coalesce(sum(u.n_samples), 0) AS BIGINT) AS total_samples,
+        round(avg(u.lr) FILTER (u.status = 'success'), 6) AS mean_lr,
+        round(avg(u.avg_loss) FILTER (u.status = 'success'), 6) AS mean_loss
+        FROM (SELECT CAST(r AS INTEGER) AS round, CAST(s AS INTEGER) AS shard_id
+            FROM (SELECT unnest(range(4, 12)) AS r), (SELECT unnest(range(4)) AS s)) e
+        LEFT JOIN (SELECT * FROM update_heads WHERE NOT (shard_id = 3 AND round % 2 = 0)) u
+        ON u.round = e.round AND u.shard_id = e.shard_id GROUP BY 1""",
+        "update_heads",
+    ),
     "f7_vector_sum_mean": with_views(
         """SELECT CAST(pos AS INTEGER) AS pos, round(sum(value) / (SELECT count(DISTINCT user_id)
         FROM events), 6) AS value FROM label_means GROUP BY 1""",

@@ -48,7 +48,7 @@ def _resources(spark, d):
 
 def _run(spark, d, privacy=None, files_per_batch: int = 100) -> str:
     path = fresh_path(spark, "stream-state")
-    cfg = K.StreamConfig(path=path, n_classes=10, privacy=privacy)
+    cfg = K.StreamConfig(path=path, n_classes=10, privacy=privacy, noise_seed="42")
     stream = read_message_stream(
         spark, "text", _topic(spark, d), maxFilesPerTrigger=files_per_batch
     )

@@ -114,11 +114,13 @@ def apply_quorum(
     )
 
 
-def round_accounting(updates: DataFrame, expected: int) -> DataFrame:
+def round_accounting(updates: DataFrame, expected: int | DataFrame) -> DataFrame:
     """Per round: received, valid, failed, failed ids, samples, mean rate and loss.
 
     One row per (round, shard) first; the failed ids listed are at most the
-    number of shards. A shard that sent nothing counts as failed.
+    number of shards. A shard that sent nothing counts as failed. Where ``expected``
+    is a table of (round, shard_id), it is listed by its id as well, a round in which
+    all are silent has a row, and shards that were not expected do not count.
     """
     good = F.coalesce(F.col("status") == "success", F.lit(False)) & F.col("weights").isNotNull()
     extra = {c: F.col(c) if c in updates.columns else F.lit(None).cast("double") for c in ("lr", "avg_loss")}
@@ -129,11 +131,16 @@ def round_accounting(updates: DataFrame, expected: int) -> DataFrame:
         F.avg(F.when(good, F.col("lr"))).alias("_lr"),
         F.avg(F.when(good, F.col("avg_loss"))).alias("_loss"),
     )
+    shards = shards.withColumn("_received", F.lit(1))
+    total = F.count(F.lit(1)) if isinstance(expected, DataFrame) else F.lit(expected)
+    if isinstance(expected, DataFrame):
+        known = expected.select("round", "shard_id").distinct()
+        shards = known.join(shards, ["round", "shard_id"], "left").na.fill(0, ["_good"])
     valid = F.sum("_good")
     return shards.groupBy("round").agg(
-        F.count(F.lit(1)).alias("received"),
+        F.count("_received").alias("received"),
         valid.cast("bigint").alias("valid"),
-        (F.lit(expected) - valid).cast("bigint").alias("failed"),
+        (total - valid).cast("bigint").alias("failed"),
         F.array_join(
             F.array_sort(F.collect_list(F.when(F.col("_good") == 0, F.col("shard_id")))), ","
         ).alias("failed_ids"),

@@ -26,9 +26,13 @@ class PrivacyConfig:
 
 
 def add_gaussian_noise(
-    updates: DataFrame, cfg: PrivacyConfig, seed=42, keys: Sequence[str] = ("participant_id",)
+    updates: DataFrame, cfg: PrivacyConfig, seed, keys: Sequence[str] = ("participant_id",)
 ) -> DataFrame:
-    """``w + N(0, sigma)`` per coordinate, seeded by the update's own keys."""
+    """``w + N(0, sigma)`` per coordinate, drawn from the update's own keys and ``seed``.
+
+    Who knows the seed can subtract the noise: give a secret, such as ``secrets.token_hex(16)``, and a fixed
+    value in tests only.
+    """
     z = normals(F.size("weights"), *[F.col(k) for k in keys], seed=seed)
     return updates.withColumn(
         "weights", F.zip_with("weights", z, lambda w, e: w + F.lit(cfg.sigma) * e)

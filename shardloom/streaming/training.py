@@ -7,6 +7,7 @@ failure replaces its own rows and changes nothing else.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -44,6 +45,8 @@ class StreamConfig:
     ratio: float = 0.5
     min_n: int = 2
     seed: int = 42
+    # Of the privacy noise: a secret of this run, unless a test needs the same noise again.
+    noise_seed: str = field(default_factory=lambda: secrets.token_hex(16), repr=False)
     denominator: str = "selected"
     privacy: PrivacyConfig | None = field(default_factory=PrivacyConfig)
 
@@ -120,7 +123,7 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
                 F.col("status") == "success"
             )
             if cfg.privacy is not None:
-                updates = add_gaussian_noise(updates, cfg.privacy, f"{cfg.seed}|{batch_id}")
+                updates = add_gaussian_noise(updates, cfg.privacy, f"{cfg.noise_seed}|{batch_id}")
             # The written updates are read below; nothing is trained again.
             stage = f"{cfg.path}/updates/batch_id={batch_id}"
             updates.write.mode("overwrite").parquet(stage)
