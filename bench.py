@@ -69,7 +69,7 @@ def main() -> None:
             ledger = run(spark, sf_dir, 20, "any", kind).ledger.collect()
             seconds[f"e11_20_rounds_{kind}"] = round(time.perf_counter() - began, 3)
             print(f"{kind}: final accuracy {ledger[-1]['accuracy']:.2f}", file=sys.stderr)
-        # Throughput: 5 rounds over all line items, eight shards in 50,000-row units.
+        # Throughput: 5 rounds over all line items, eight shards, each a unit in a task of its own.
         began = time.perf_counter()
         run_lines(spark, sf_dir, 5).ledger.collect()
         seconds["e11_5_rounds_lineitem"] = round(time.perf_counter() - began, 3)

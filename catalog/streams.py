@@ -85,6 +85,30 @@ def k5(spark, d):
     return rows.withColumn("weights_norm", F.round("weights_norm", 6))
 
 
+def _run_in_three(spark, d, privacy=None) -> str:
+    """A batch for each remainder of the sample id by 3, and the second batch once more, as after a failure."""
+    topic, path = fresh_path(spark, "topic"), fresh_path(spark, "stream-state")
+    rows = samples(spark, d).withColumn("participant_id", F.pmod("sample_id", F.lit(10)).cast("int"))
+    parts = [to_messages(rows.filter(F.col("sample_id") % 3 == b), 20).select("value") for b in range(3)]
+    for part in parts:
+        write_messages(part.repartition(2), "text", topic)
+    cfg = K.StreamConfig(path=path, n_classes=10, privacy=privacy, noise_seed="42")
+    train = K.train_batch(cfg, _resources(spark, d))
+    stream = read_message_stream(spark, "text", topic, maxFilesPerTrigger=2)
+    K.start_stream(stream, train, fresh_path(spark, "offsets"), available_now=True).awaitTermination()
+    train(parts[1], 1)
+    return path
+
+
+def k5_three(spark, d):
+    rows = K.read_state(spark, _run_in_three(spark, d), "metrics")
+    return rows.withColumn("weights_norm", F.round("weights_norm", 6))
+
+
+def k7_three(spark, d):
+    return K.budget_spent(spark, _run_in_three(spark, d, PrivacyConfig(epsilon=0.5)))
+
+
 def k6(spark, d):
     """The global model after a noised batch."""
     path = _run(spark, d, PrivacyConfig(epsilon=50.0))
@@ -192,6 +216,8 @@ QUERIES = {
     "k1_start_stream": k1,
     "k2_train_batch": k2,
     "k5_batch_metrics": k5,
+    "k5_metrics_of_three_batches": k5_three,
+    "k7_budget_of_three_batches": k7_three,
     "k6_update_global_model": k6,
     "k7_budget_across_batches": k7,
     "j1_admit_stream": j1_stream,
@@ -230,6 +256,17 @@ _SELECT = dict(
     FROM graded d JOIN norms m ON m.g = d.g WHERE d.pos >= 0 GROUP BY 1""",
 )
 
+def _in_three(sql: str) -> str:
+    """The query over each of three batches by the remainder of the sample id."""
+    people = _SELECT["people"]
+    return " UNION ALL ".join(
+        "SELECT * FROM ("
+        + with_views(sql.format(b=b), "sample_cells", **(_SELECT | {"people": f"{people} WHERE sample_id % 3 = {b}"}))
+        + ")"
+        for b in range(3)
+    )
+
+
 ORACLE = {
     "k1_start_stream": with_views("SELECT label, count(*) AS n FROM samples GROUP BY 1", "samples"),
     "k2_train_batch": with_views(
@@ -243,6 +280,15 @@ ORACLE = {
         0.0::DOUBLE AS privacy_spent FROM chosen""",
         "sample_cells", **_SELECT,
     ),
+    "k5_metrics_of_three_batches": _in_three(
+        """SELECT CAST({b} AS BIGINT) AS batch_id, count(*) AS n_selected, count(*) AS n_updates,
+        CAST(sum(n) AS BIGINT) AS n_samples,
+        (SELECT round(sqrt(sum(value * value)), 6) FROM mean) AS weights_norm, 0.0::DOUBLE AS privacy_spent FROM chosen"""
+    ),
+    "k7_budget_of_three_batches": "SELECT *, sum(epsilon) OVER (ORDER BY batch_id) AS spent FROM ("
+    + _in_three(
+        "SELECT CAST({b} AS BIGINT) AS batch_id, count(*) AS n_updates, count(*) * 0.5::DOUBLE AS epsilon FROM chosen"
+    ) + ")",
     "k6_update_global_model": with_views(
         """SELECT CAST(i AS INTEGER) AS pos, round(sum(w + z) / count(*), 5) AS value FROM noised GROUP BY 1""",
         "sample_cells", **_SELECT,

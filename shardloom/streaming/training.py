@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.streaming.query import StreamingQuery
@@ -126,7 +126,12 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
                 updates = add_gaussian_noise(updates, cfg.privacy, f"{cfg.noise_seed}|{batch_id}")
             # The written updates are read below; nothing is trained again.
             stage = f"{cfg.path}/updates/batch_id={batch_id}"
-            updates.write.mode("overwrite").parquet(stage)
+            # Counted while they are written: the metrics need no job of their own.
+            counted = Observation("updates")
+            updates.observe(
+                counted, F.count(F.lit(1)).alias("n_updates"),
+                F.coalesce(F.sum("n_samples"), F.lit(0)).alias("n_samples"),
+            ).write.mode("overwrite").parquet(stage)
             written = spark.read.parquet(stage)
             if cfg.privacy is not None:
                 _replace(
@@ -143,7 +148,7 @@ def train_batch(cfg: StreamConfig, resources: DataFrame) -> Callable[[DataFrame,
             update_global_model(mean, cfg.path, batch_id)
             epsilon = cfg.privacy.epsilon if cfg.privacy is not None else 0.0
             _replace(
-                batch_metrics(spark, cfg.path, batch_id, selected, written, epsilon),
+                batch_metrics(spark, cfg.path, batch_id, selected, written, epsilon, counted.get),
                 cfg.path, "metrics", batch_id,
             )
             selected.unpersist()
@@ -161,9 +166,12 @@ def batch_metrics(
     selected: DataFrame,
     updates: DataFrame,
     epsilon: float = 0.0,
+    counts: dict | None = None,
 ) -> DataFrame:
     """One row: participants, updates, samples, model norm, budget spent so far.
 
+    ``counts`` has ``n_updates`` and ``n_samples`` where they were observed as the updates were made.
+
     The budget adds to that of the last earlier batch, so the history of
     updates is not read again, and a replayed batch arrives at the same sum.
     """
@@ -174,10 +182,16 @@ def batch_metrics(
         .agg(F.max_by("privacy_spent", "batch_id"))
     )
     norm = model.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))))
-    return updates.agg(
-        F.count(F.lit(1)).alias("n_updates"),
-        F.coalesce(F.sum("n_samples"), F.lit(0)).cast("bigint").alias("n_samples"),
-    ).select(
+    if counts is None:
+        totals = updates.agg(
+            F.count(F.lit(1)).alias("n_updates"),
+            F.coalesce(F.sum("n_samples"), F.lit(0)).cast("bigint").alias("n_samples"),
+        )
+    else:
+        totals = spark.range(1).select(
+            *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("n_updates", "n_samples")]
+        )
+    return totals.select(
         selected.agg(F.count(F.lit(1))).scalar().alias("n_selected"),
         "n_updates",
         "n_samples",
