@@ -12,8 +12,8 @@ from shardloom.sources import checkpoints
 from .views import requests, shard_updates, table, with_views
 
 
-def j1(spark, d):
-    rows = J.admit(requests(spark, d), F.col("day"))
+def j1(spark, d, **cells):
+    rows = J.admit(requests(spark, d), F.col("day"), **cells)
     none = F.lit(-1)
     return rows.select(
         "request_id", "participant_id", F.coalesce("round", none).alias("round"), "expected", "status",
@@ -22,6 +22,10 @@ def j1(spark, d):
     )
 
 
+def j1_cells(spark, d):
+    return j1(spark, d, rows_per_cell=500)
+
+
 def j1_fixed(spark, d):
     """All requests of the month against one expected round."""
     rows = J.admit(requests(spark, d), 15)
@@ -100,6 +104,7 @@ def j6(spark, d):
 QUERIES = {
     "j1_admit": j1,
     "j1_admit_one_round": j1_fixed,
+    "j1_admit_cells": j1_cells,
     "j2_within_deadline": j2,
     "j3_round_complete": j3,
     "j3_round_complete_requests": j3_requests,
@@ -170,3 +175,4 @@ ORACLE = {
         CAST(user_id AS INTEGER) AS participant_id, 'participant_offline' AS value
         FROM events GROUP BY 1, 3 HAVING count(*) FILTER (event_type <> 'error') = 0""",
 }
+ORACLE["j1_admit_cells"] = ORACLE["j1_admit"]

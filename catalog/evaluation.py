@@ -43,6 +43,10 @@ def h4(spark, d):
     return _loss(H.cross_entropy(scored(spark, d), mode="batch_mean", batch=32))
 
 
+def h4_cells(spark, d):
+    return _loss(H.cross_entropy(scored(spark, d), mode="batch_mean", batch=32, rows_per_cell=64))
+
+
 def h5(spark, d):
     rows = scored(spark, d).withColumn("log_probabilities", V.log_softmax("scores"))
     return _loss(H.nll(rows))
@@ -86,6 +90,7 @@ QUERIES = {
     "h2_accuracy": h2,
     "h3_cross_entropy": h3,
     "h4_cross_entropy_batch_mean": h4,
+    "h4_cross_entropy_batch_mean_cells": h4_cells,
     "h5_nll": h5,
     "h6_confusion": h6,
     "h6_confusion_labels": h6_labels,
@@ -149,3 +154,4 @@ ORACLE = {
     "h7_classification_metrics_labels": _report(_WEIGHTED, "pairs", pairs=_LABELS),
     "h7_metrics_per_label": _report(_PER_LABEL, "predicted", "predicted"),
 }
+ORACLE["h4_cross_entropy_batch_mean_cells"] = ORACLE["h4_cross_entropy_batch_mean"]

@@ -93,7 +93,41 @@ def b12(spark, d):
     )
 
 
+# The same in some dozen cells and more, where the plan above has one cell up to 100,000 rows.
+SMALL_CELL = 500
+
+
+def b1_cells(spark, d):
+    return S.shard_contiguous(order_samples(spark, d), 7, rows_per_cell=SMALL_CELL).select(*_KEEP)
+
+
+def b2_cells(spark, d):
+    return S.shard_contiguous(order_samples(spark, d), 7, remainder="drop", rows_per_cell=SMALL_CELL).select(*_KEEP)
+
+
+def b5_cells(spark, d):
+    return S.shard_noniid(order_samples(spark, d), 6, seed=3, rows_per_cell=SMALL_CELL).select(*_KEEP, "block_id")
+
+
+def b8_cells(spark, d):
+    rows = order_samples(spark, d)
+    assignment = rows.filter("state <> 'P'").select(
+        "sample_id", F.pmod("owner", F.lit(5)).cast("int").alias("shard_id")
+    )
+    return S.to_local_index(rows.select("sample_id"), assignment, rows_per_cell=SMALL_CELL)
+
+
+def b11_cells(spark, d):
+    rows = S.with_dense_index(table(spark, d, "lineitem"), LINE_ORDER, rows_per_cell=10 * SMALL_CELL)
+    return rows.select("idx", "l_orderkey", "l_linenumber", "l_partkey")
+
+
 QUERIES = {
+    "b11_dense_index_cells": b11_cells,
+    "b1_shard_contiguous_cells": b1_cells,
+    "b2_shard_contiguous_drop_cells": b2_cells,
+    "b5_shard_noniid_cells": b5_cells,
+    "b8_to_local_index_cells": b8_cells,
     "b1_shard_contiguous": b1,
     "b2_shard_contiguous_drop": b2,
     "b3_shard_iid": b3,
@@ -191,3 +225,6 @@ ORACLE = {
         "line_samples",
     ),
 }
+ORACLE |= {f"{name}_cells": ORACLE[name] for name in (
+    "b1_shard_contiguous", "b2_shard_contiguous_drop", "b5_shard_noniid", "b8_to_local_index", "b11_dense_index",
+)}
