@@ -23,11 +23,11 @@ def minutes(spark, rows, schema):
 
 
 def drained(spark, batches, plan, out=None, offsets=None, **more):
-    """The plan over a stream in which each batch is a set of files."""
+    """The plan over a stream in which each batch is a file."""
     path, out, offsets = fresh_path(spark, "in"), out or fresh_path(spark, "out"), offsets or fresh_path(spark, "offsets")
     for rows in batches:
-        rows.repartition(3).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 3).parquet(path)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
     df = plan(stream)
     df.writeStream.option("checkpointLocation", offsets).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
@@ -45,7 +45,7 @@ def requests(hot=0):
 
 @pytest.mark.parametrize("hot", [0, 600])
 def test_replies_equal_the_batch_form(spark, rocksdb, hot):
-    """Over several batches of several files; with a third of the requests by one participant."""
+    """Over several batches; with a third of the requests by one participant."""
     batches = [minutes(spark, x, SCHEMA) for x in requests(hot)]
     got = drained(spark, batches, lambda s: C.replies(s, "1 hour"))
     whole = batches[0]
