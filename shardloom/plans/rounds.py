@@ -87,12 +87,16 @@ def run_rounds(
         .repartition(parts, "sample_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    short = set()  # rounds with an outage; which shards are away stays a table
+    if outages is not None:
+        of_run = outages.filter(F.col("round").between(first, last))
+        short = {row[0] for row in of_run.select("round").distinct().collect()}
     rows = []
     began = time.monotonic()
     try:
         for r in range(first, last + 1):
             away = None
-            if outages is not None:
+            if r in short:
                 away = outages.filter(F.col("round") == r).select("shard_id").distinct()
             # A broadcast of the shards that are away keeps the cached layout: no shuffle.
             active = laid_out if away is None else laid_out.join(F.broadcast(away), "shard_id", "left_anti")
@@ -100,7 +104,7 @@ def run_rounds(
             units = train_units(active, cfg.spec, cfg.train, shared, r, by=("shard_id", "unit", "slot"))
             if journal:
                 units = units.persist(StorageLevel.MEMORY_AND_DISK)  # read again for the status
-            mean, valid = _average(units, cfg.spec.size)
+            mean, valid = _average(units, cfg.spec.size, cfg.units_per_shard == 1 and not cfg.unit_rows)
             failed = n_shards - valid
             met = valid > 0 and (cfg.policy == "any" or failed == 0)
             if met:
@@ -162,11 +166,12 @@ def _laid_out(samples: DataFrame, shards: DataFrame, cfg: RoundConfig) -> tuple[
     return dealt.persist(StorageLevel.MEMORY_AND_DISK), parts, n_shards
 
 
-def _average(units: DataFrame, size: int) -> tuple[np.ndarray | None, int]:
+def _average(units: DataFrame, size: int, whole: bool) -> tuple[np.ndarray | None, int]:
     """The mean model of the shards without a failed unit, and their number, in one job.
 
     Weights become (shard, pos) sums, with a mark at position -1; a failed unit marks all positions of
-    its shard. The marks drop the shard before the mean is taken. Both aggregates are partial before their shuffle.
+    its shard. The marks drop the shard before the mean is taken. Both aggregates are partial before their shuffle. Where a unit is a ``whole`` shard
+    there is nothing to sum by shard.
     """
     ok, n = F.col("status") == "success", F.col("n_samples")
     missing = F.array_repeat(F.lit(None).cast("double"), size)
@@ -174,9 +179,12 @@ def _average(units: DataFrame, size: int) -> tuple[np.ndarray | None, int]:
         "shard_id", "n_samples", ok.alias("ok"),
         F.posexplode(F.concat(F.array(F.lit(0.0)), F.coalesce("weights", missing))).alias("pos", "v"),
     )
-    shards = cells.groupBy("shard_id", "pos").agg(
-        F.sum(n * F.col("v")).alias("s"), F.sum("n_samples").alias("n"), F.bool_and("ok").alias("ok")
-    ).filter("ok")
+    if whole:
+        shards = cells.filter("ok").select("pos", (n * F.col("v")).alias("s"), n.alias("n"))
+    else:
+        shards = cells.groupBy("shard_id", "pos").agg(
+            F.sum(n * F.col("v")).alias("s"), F.sum("n_samples").alias("n"), F.bool_and("ok").alias("ok")
+        ).filter("ok")
     found = shards.groupBy("pos").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"), F.count(F.lit(1)).alias("valid"))
     table = found.toArrow()  # a row per model parameter, and one
     if not table.num_rows:
