@@ -11,8 +11,8 @@ A candidate is accepted if the longest common subsequence of words covers enough
 but the answer, or the part's rarest words where it has no answer, is there too: so paraphrases are
 found and topical neighbours are not. A bound on the subsequence, for all candidates of a slice at once, comes first.
 
-Word frequencies are counted over all documents and every passage of every document is searched; only
-the axes of the space are fitted on a bounded sample of documents, beside all benchmark passages. The
+Word frequencies are counted over all documents, the axes are fitted on all passages of all documents
+beside those of the benchmark, and every passage of every document is searched. The
 benchmark is a stated set of queries: it is matched in blocks, each of bounded size, against all rows.
 """
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ SPACE_PARTS = 48  # parts of benchmark passages that share a space
 SPACES = 8  # spaces that are searched in one pass over the documents
 SHARE = 0.9  # of its length that each part keeps, at least
 EMPHASIS = 256  # times a benchmark passage counts in the fit
-SAMPLE = 1_024  # documents that the axes are fitted on
+CORPUS = 8_192  # passages that all documents count for in the fit, if they have more
+MIXED = 256  # rows in which a task adds up its passages with random signs
+RANGE = 2_048  # terms whose products are summed together
 BLOCK = 8  # words
 LONGEST = 48  # words of a part of a benchmark passage
 COPY, PARAPHRASE, KEYS = 0.65, 0.5, 0.8
@@ -85,30 +88,38 @@ def _blocks(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(bounds[:-1], count) + width * ragged(np.zeros_like(count), count), count
 
 
-def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages each term occurs, over all documents; passages."""
+def _passages(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """The distinct terms of all passages of all documents, how often each occurs there, and terms per passage;
+    in how many passages each term occurs; passages."""
 
     def run(batches):
         seen, passages = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for part in _folded(batch.column(0)):
                 terms = _terms(part)
+                if not len(terms):
+                    continue
                 first, count = _blocks(part.bounds, LONGEST)
                 of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
-                pairs = distinct(of * TERMS + terms)
-                seen += np.bincount(pairs % TERMS, minlength=TERMS)
+                pairs = np.sort(of * TERMS + terms)
+                at = np.flatnonzero(np.diff(pairs, prepend=-1))
+                of, terms = np.divmod(pairs[at], TERMS)
+                seen += np.bincount(terms, minlength=TERMS)
                 passages += int(count.sum())
+                body = terms.astype("<u2"), np.diff(np.append(at, len(pairs))).astype("u1"), np.bincount(of).astype("u1")
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.array([x.tobytes()]) for x in body], names)
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), pa.array(np.append(seen[at], passages))], ["term", "n"]
-        )
+        counts = [pa.array(np.append(at, -1)), pa.array(np.append(seen[at], passages))]
+        yield pa.RecordBatch.from_arrays(counts + [pa.nulls(len(at) + 1, pa.binary())] * 3, names)
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    table = found.toArrow()  # at most TERMS + 1 rows
+    names = ["term", "n", "terms", "times", "sizes"]
+    found = docs.select("text").mapInArrow(run, "term long, n long, terms binary, times binary, sizes binary")
+    found = stored(found, "passages")
+    table = found.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most TERMS + 1 rows
     term, n = table["term"].to_numpy(), table["n"].to_numpy()
     out = np.zeros(TERMS)
     out[term[term >= 0]] = n[term >= 0]
-    return out, int(n[term < 0].sum())
+    return found.filter("term IS NULL").select("terms", "times", "sizes"), out, int(n[term < 0].sum())
 
 
 def _bags(words: np.ndarray, of: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,61 +131,79 @@ def _bags(words: np.ndarray, of: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     return of, words, x / (np.sqrt(np.bincount(of, x * x))[of] + 1e-12)
 
 
-def _drawn(seed: int, space: int) -> np.ndarray:
-    return np.random.default_rng([seed, space]).standard_normal((TERMS, RANK), np.float32)
+def _drawn(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((TERMS, RANK), np.float32)
+
+
+def corpus_products(bags: DataFrame, idf: np.ndarray, passages: int, seed: int = 1) -> DataFrame:
+    """X'(X random) for the TF-IDF passages X of all documents, in ranges of terms.
+
+    A task adds its passages with random signs to ``MIXED`` rows M, each passage to one, so that the mean of
+    M'M is X'X; with no more than so many passages M'M is X'X. The products of the tasks are summed. All
+    documents together count for ``CORPUS`` passages at most.
+    """
+    shared = bags.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+
+    def run(batches):
+        weight, sign = shared.value, np.random.default_rng([seed, TaskContext.get().partitionId()])
+        mixed, done = np.zeros((MIXED, TERMS), np.float32), 0
+        for batch in batches:
+            for body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms, times, sizes = (np.frombuffer(x, k).astype(np.int64) for x, k in zip(body, ("<u2", "u1", "u1"), strict=True))
+                x = weight[terms] * times.astype(np.float32)
+                length = np.sqrt(np.add.reduceat(x * x, sums(sizes)[:-1])) + 1e-12
+                x *= np.repeat((sign.integers(0, 2, len(sizes)) * 2 - 1).astype(np.float32) / length, sizes)
+                # Neighbours share a row, as far as there are more than rows: a row stays in the cache meanwhile.
+                row = (done + np.arange(len(sizes)) * MIXED // max(MIXED, len(sizes))) % MIXED
+                np.add.at(mixed.reshape(-1), np.repeat(row, sizes) * TERMS + terms, x)
+                done += len(sizes)
+        if not done:
+            return
+        out = mixed.T @ (mixed @ _drawn(seed)) * np.float32(min(1, CORPUS / passages))
+        for at in range(0, TERMS, RANGE):
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "body": [out[at : at + RANGE].tobytes()]})
+        give_back()
+
+    def total(key, found):
+        out = np.zeros(RANGE * RANK)
+        for body in found["body"]:
+            out += np.frombuffer(body.as_buffer(), np.float32)
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "body": [out.astype(np.float32).tobytes()]})
+
+    parts = bags.mapInArrow(run, "at int, body binary")
+    return stored(parts.groupBy("at").applyInArrow(total, "at int, body binary"), "latent-products")
 
 
 def fit_latent(rows: DataFrame, idf: np.ndarray, queries: list[Query], seed: int = 1) -> np.ndarray:
+    """``fit_spaces`` on the documents of ``rows(text, space)``, which are those with space -1."""
+    bags, _, passages = _passages(rows.filter("space = -1"))
+    return fit_spaces(corpus_products(bags, idf, passages, seed), idf, queries, seed)
+
+
+def fit_spaces(products: DataFrame, idf: np.ndarray, queries: list[Query], seed: int = 1) -> np.ndarray:
     """Gives every query the terms that its latent vector weighs, and the weights; returns kept lengths.
 
-    A randomised range finder of the passages X of ``rows(text, space)``: the products X'(X random) of each
-    space are summed over tasks, and an orthogonal basis of them spans the space. A document's passages
-    (space -1) count in every space, a benchmark part ``EMPHASIS`` times and in its own. Of a part that keeps less than ``SHARE`` of its length the rest
+    A randomised range finder of the passages X of all documents and of a space's benchmark parts: an
+    orthogonal basis of the products X'(X random) spans the space. The documents' ``corpus_products`` serve every space, a benchmark part
+    counts ``EMPHASIS`` times and in its own. Of a part that keeps less than ``SHARE`` of its length the rest
     becomes an axis of its own. Cosines depend on the space alone, so the axes are not turned within it. A
     region's product with a query is the sum of the weights of its terms. The driver gets those only.
     """
-    spaces = 1 + max(q.space for q in queries)
-    shared = rows.sparkSession.sparkContext.broadcast((idf, [(q.space, q.terms) for q in queries]))
-
-    def products(batches):
-        weight, bags = shared.value[0], []
-        for batch in batches:
-            space = batch.column(1).to_numpy()
-            for part in _folded(batch.column(0), 1 << 16):
-                words = _terms(part)
-                if len(words):
-                    first, count = _blocks(part.bounds, LONGEST)
-                    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
-                    bags.append((*_bags(words, of, weight), np.repeat(space[part.first : part.first + len(part)], count)))
-        if not bags:
-            return
-        here = distinct(np.concatenate([words for _, words, _, _ in bags]))
-        for space in range(spaces):
-            right = _drawn(seed, space)[here]
-            out = np.zeros((len(here), RANK), np.float32)
-            for of, words, x, own in bags:
-                times = np.where(own < 0, 1, EMPHASIS * (own == space)).astype(np.float32)
-                if times.any():
-                    some, column = np.unique(words, return_inverse=True)
-                    dense = np.zeros((len(own), len(some)), np.float32)
-                    dense[of, column] = x
-                    at = np.searchsorted(here, some)
-                    out[at] += dense.T @ ((dense @ right[at]) * times[:, None])
-            yield pa.RecordBatch.from_pydict({"space": pa.array([space], pa.int32()), "terms": [here.astype("<i4").tobytes()], "body": [out.tobytes()]})
+    spark = products.sparkSession
+    shared = spark.sparkContext.broadcast((idf, [(q.space, q.terms) for q in queries]))
 
     def learn(key, found):
         weight, asked = shared.value
-        parts = [np.frombuffer(x, "<i4") for x in found["terms"].to_pylist()]
-        here = distinct(np.concatenate(parts))
-        total = np.zeros((len(here), RANK))
-        for terms, body in zip(parts, found["body"], strict=True):
-            total[np.searchsorted(here, terms)] += np.frombuffer(body.as_buffer(), np.float32).reshape(-1, RANK)
-        basis = np.linalg.qr(total)[0]
+        total = np.zeros((TERMS, RANK))
+        for at, body in zip(found["at"].to_pylist(), found["body"], strict=True):
+            total[at : at + RANGE] = np.frombuffer(body.as_buffer(), np.float32).reshape(-1, RANK)
         own = [i for i, (space, _) in enumerate(asked) if space == key[0].as_py()]
         of = np.repeat(np.arange(len(own)), [len(asked[i][1]) for i in own])
         row, words, x = _bags(np.concatenate([asked[i][1] for i in own]), of, weight)
+        here = distinct(np.append(np.flatnonzero(total.any(1)), words))
         bags = np.zeros((len(own), len(here)))
         bags[row, np.searchsorted(here, words)] = x
+        basis = np.linalg.qr(total[here] + EMPHASIS * (bags.T @ (bags @ _drawn(seed)[here])))[0]
         vectors = bags @ basis
         weak = np.linalg.norm(vectors, axis=1) < SHARE
         if weak.any():
@@ -189,8 +218,10 @@ def fit_latent(rows: DataFrame, idf: np.ndarray, queries: list[Query], seed: int
             "weights": [v[k].tobytes() for v, k in zip(latent, keep, strict=True)],
         })
 
-    sums_ = rows.select("text", "space").mapInArrow(products, "space int, terms binary, body binary")
-    learnt = sums_.groupBy("space").applyInArrow(learn, "query int, kept double, terms binary, weights binary")
+    spaces = spark.range(1 + max(q.space for q in queries)).withColumnRenamed("id", "space")
+    learnt = products.crossJoin(F.broadcast(spaces)).groupBy("space").applyInArrow(
+        learn, "query int, kept double, terms binary, weights binary"
+    )
     kept = np.zeros(len(queries))
     for query, length, terms, weights in learnt.collect():  # a few dozen terms a query
         queries[query].latent = np.frombuffer(bytes(terms), "<i4").astype(np.int64), np.frombuffer(bytes(weights))
@@ -264,7 +295,7 @@ def _queries(items: list[tuple], idf: np.ndarray) -> list[Query]:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``cosine``, ``covered``, ``paraphrase`` and ``way`` of every document of
     ``docs(doc_id, text, ...)`` that holds a passage of ``benchmark(item_id, text[, answer], ...)``.
 
@@ -279,7 +310,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) ->
     kind = dict(benchmark.dtypes)["item_id"]
     kind = f"doc_id long, item_id {kind}, cosine double, covered double, paraphrase boolean, ways int"
     found = docs.sparkSession.createDataFrame([], kind)
-    for shared in _passes(docs.select("text"), benchmark, sample):
+    for shared in _passes(docs.select("text"), benchmark):
         found = found.unionByName(stored(docs.mapInArrow(_findings(shared), kind), "contaminated"))
         shared.destroy()
     way = F.element_at(F.array(F.lit("latent"), F.lit("words"), F.lit("both")), F.bit_or("ways"))
@@ -289,17 +320,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) ->
     )
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no passage of ``benchmark``, with all their columns.
 
     Each row is judged by its own text where it lies, whatever its id: nothing is shuffled or joined.
     """
-    for shared in _passes(docs.select("text").filter("text IS NOT NULL"), benchmark, sample):
+    for shared in _passes(docs.select("text").filter("text IS NOT NULL"), benchmark):
         docs = docs.mapInArrow(_clean(shared, docs.columns.index("text")), docs.schema)
     return docs
 
 
-def _passes(texts: DataFrame, benchmark: DataFrame, sample: int):
+def _passes(texts: DataFrame, benchmark: DataFrame):
     """Broadcasts of queries, bounded in number, one for each pass over the documents."""
     spark = texts.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
@@ -307,13 +338,9 @@ def _passes(texts: DataFrame, benchmark: DataFrame, sample: int):
     items = stored(
         items.distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(_item_blocks(items)))), "items"
     )
-    seen, passages = _frequencies(texts)
+    bags, seen, passages = _passages(texts)
     idf = np.log((1 + passages) / (1 + seen)) + 0.1
-    # Texts, not ids, are drawn, each once: a text of many rows is drawn like any other.
-    texts = texts.select("text", F.xxhash64(F.lit(5), "text").alias("draw"))
-    few = texts.select("draw").distinct().orderBy("draw").limit(sample)
-    drawn = texts.join(F.broadcast(few), "draw", "left_semi").groupBy("draw").agg(F.first("text").alias("text"))
-    drawn = stored(drawn.select("text", F.lit(-1).alias("space")), "latent-sample")
+    products = corpus_products(bags, idf, passages)
     for r in items.select("block").distinct().collect():
         own = items.filter(F.col("block") == r["block"])
         table = own.orderBy("item_id", "text", "answer").select("item_id", "text", "answer").collect()
@@ -322,10 +349,7 @@ def _passes(texts: DataFrame, benchmark: DataFrame, sample: int):
             some = queries[at : at + SPACE_PARTS * SPACES]
             for i, query in enumerate(some):
                 query.space = i // SPACE_PARTS
-            asked = spark.createDataFrame(
-                [(" ".join(q.words[slice(*q.part)]), q.space) for q in some], "text string, space int"
-            )
-            fit_latent(drawn.union(asked), idf, some)
+            fit_spaces(products, idf, some)
             yield spark.sparkContext.broadcast((some, idf, seen))
 
 
@@ -360,7 +384,7 @@ class Postings:
             parts.append((term, np.full(len(term), q), times, weight))
         term, query, times, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(term, kind="stable")
-        self.query, self.step = query[order], np.stack([times[order], weight[order]])
+        self.query, self.step = query[order], times[order] + 1j * weight[order]
         self.size = np.bincount(term, minlength=TERMS)
         self.first = sums(self.size)
 
@@ -387,11 +411,14 @@ class Postings:
         where = ragged(self.first[term], size)
         base = self.query[where] * (len(start) + 1)
         key = np.concatenate([base + np.repeat(lo, size), base + np.repeat(hi, size)])
-        order = np.argsort(key)
-        key = key[order]
-        times, weight = self.step[:, where]
-        shared = np.cumsum(np.concatenate([times, -times])[order])
-        product = np.cumsum(np.concatenate([weight, -weight])[order])
+        # Sorting keys with their places in the low bits takes a fraction of the time of np.argsort.
+        low = len(key).bit_length()
+        key = np.sort(key << low | np.arange(len(key)))
+        order = key & ((1 << low) - 1)
+        key >>= low
+        step = self.step[where]
+        total = np.cumsum(np.concatenate([step, -step])[order])
+        shared, product = total.real, total.imag
         last = np.flatnonzero(key[1:] > key[:-1])
         query, at = np.divmod(key[last], len(start) + 1)
         block = np.arange(len(start))

@@ -69,6 +69,32 @@ def test_fit_keeps_lengths(spark):
     assert kept.min() >= dc.SHARE and kept.max() < 1 + 1e-6
 
 
+def test_axes_are_fitted_on_all_documents(spark):
+    """Products of 3,000 documents, with copies, in small and large tasks, against those of all their passages."""
+    _, docs, _ = planted(40)
+    texts = [x for _, x in docs] + [" ".join(["copy", str(i % 50), *["again"] * (i % 3)]) for i in range(1000)]
+    idf = dc.np.random.default_rng(3).random(dc.TERMS) + 0.1
+    random_, whole, n = dc._drawn(1), dc.np.zeros((dc.TERMS, dc.RANK)), 0
+    for part in dc._folded(dc.pa.array(texts)):
+        words = dc._terms(part)
+        first, count = dc._blocks(part.bounds, dc.LONGEST)
+        of, words, x = dc._bags(words, dc.np.repeat(range(len(first)), dc.np.diff(dc.np.append(first, len(words)))), idf)
+        dense, some = dc.np.zeros((len(first), dc.TERMS)), dc.distinct(words)
+        dense[of, words] = x
+        whole[some] += dense[:, some].T @ (dense[:, some] @ random_[some])
+        n += len(first)
+    assert len(texts) > 3000
+    for tasks, near in ((120, 1e-4), (4, 0.5)):  # with up to MIXED passages a task its product is exact
+        rows = spark.createDataFrame([(x,) for x in texts], "text string").repartition(tasks)
+        bags, _, passages = dc._passages(rows)
+        assert passages == n
+        got = dc.np.zeros((dc.TERMS, dc.RANK))
+        for at, body in dc.corpus_products(bags.repartition(tasks), idf, passages).collect():
+            got[at : at + dc.RANGE] = dc.np.frombuffer(bytes(body), dc.np.float32).reshape(-1, dc.RANK)
+        assert dc.np.linalg.norm(got - whole) < near * dc.np.linalg.norm(whole)
+        assert ((got != 0).any(1) == (whole != 0).any(1)).all()
+
+
 def test_bound_is_above_the_subsequence():
     draw = random.Random(4)
     words = vocabulary(draw, 60)
