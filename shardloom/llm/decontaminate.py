@@ -88,6 +88,18 @@ def _blocks(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(bounds[:-1], count) + width * ragged(np.zeros_like(count), count), count
 
 
+def _places(terms: np.ndarray, first: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The terms, those ``known`` if given, in order, and the blocks that each occurs in."""
+    at = np.arange(len(terms)) if known is None else np.flatnonzero(known[terms])
+    return np.divmod(distinct(terms[at] * len(first) + (np.searchsorted(first, at, "right") - 1)), len(first))
+
+
+def _texts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each block's text, and the first one after it."""
+    ends = sums(count)
+    return np.repeat(ends[:-1], count), np.repeat(ends[1:], count)
+
+
 def _passages(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """The distinct terms of all passages of all documents, how often each occurs there, and terms per passage;
     in how many passages each term occurs; passages."""
@@ -367,20 +379,22 @@ class Postings:
     has enough words in common has at least the lowered number, so none is lost.
     """
 
-    def __init__(self, queries: list[Query], seen: np.ndarray):
+    def __init__(self, queries: list[np.ndarray], seen: np.ndarray, latent: list | None = None):
+        """Terms of each query; in how many passages each term occurs; terms and weights of the latent vectors."""
         self.need = np.zeros(len(queries), np.int64)
         parts = []
-        for q, query in enumerate(queries):
-            t, n = np.unique(query.terms, return_counts=True)
+        for q, own in enumerate(queries):
+            t, n = np.unique(own, return_counts=True)
             order = np.lexsort((t, -seen[t]))
             t, n = t[order], n[order]
-            need = int(np.ceil(PARAPHRASE * len(query.terms)))
+            need = int(np.ceil(PARAPHRASE * len(own)))
             left_out = int(np.searchsorted(np.cumsum(n), need // 2, "right"))
             self.need[q] = need - n[:left_out].sum()
-            term = np.union1d(t[left_out:], query.latent[0])
+            near, by = latent[q] if latent else (t[:0], n[:0])
+            term = np.union1d(t[left_out:], near)
             times, weight = np.zeros(len(term)), np.zeros(len(term))
             times[np.searchsorted(term, t[left_out:])] = n[left_out:]
-            weight[np.searchsorted(term, query.latent[0])] = query.latent[1]
+            weight[np.searchsorted(term, near)] = by
             parts.append((term, np.full(len(term), q), times, weight))
         term, query, times, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(term, kind="stable")
@@ -388,7 +402,13 @@ class Postings:
         self.size = np.bincount(term, minlength=TERMS)
         self.first = sums(self.size)
 
-    def candidates(self, term, block, start, stop, square, blocks: int):
+    def candidates(self, terms, bounds, first, count, blocks: int):
+        """Block and query of the ``regions`` that share enough words, for texts as ``_blocks`` cuts them."""
+        square = np.arange(len(first) + 1)
+        block, query, _, way = self.regions(*_places(terms, first), *_texts(count), square, blocks)
+        return block[way >= 2], query[way >= 2]
+
+    def regions(self, term, block, start, stop, square, blocks: int):
         """Block, query, cosine and way (1 latent, 2 words) of the regions, from one block before a block
         to ``blocks`` after it and within its text, that are near a query or share enough of its words.
 
@@ -445,7 +465,10 @@ class Matcher:
         by_size: dict[int, list[int]] = {}
         for i, query in enumerate(queries):
             by_size.setdefault(query.blocks, []).append(i)
-        self.sizes = {b: (np.array(own), Postings([queries[i] for i in own], seen)) for b, own in by_size.items()}
+        self.sizes = {
+            b: (np.array(own), Postings([queries[i].terms for i in own], seen, [queries[i].latent for i in own]))
+            for b, own in by_size.items()
+        }
         self.known = sum(p.size for _, p in self.sizes.values()) > 0
         self.length = np.array([len(q.terms) for q in queries])
         # For each query and term a bit for every place of the term in the query.
@@ -482,13 +505,11 @@ class Matcher:
             return hits
         first, count = _blocks(part.bounds, BLOCK)
         text = np.repeat(np.arange(len(part)), count)
-        start, stop = np.repeat(sums(count)[:-1], count), np.repeat(sums(count)[1:], count)
+        start, stop = _texts(count)
         square = np.append(0, np.cumsum(np.add.reduceat(self.square[terms], first)))
-        at = np.flatnonzero(self.known[terms])
-        pairs = distinct(terms[at] * len(first) + (np.searchsorted(first, at, "right") - 1))
-        term, place = np.divmod(pairs, len(first))
+        term, place = _places(terms, first, self.known)
         for blocks, (own, postings) in self.sizes.items():
-            block, query, near, way = postings.candidates(term, place, start, stop, square, blocks)
+            block, query, near, way = postings.regions(term, place, start, stop, square, blocks)
             if not len(block):
                 continue
             query = own[query]
