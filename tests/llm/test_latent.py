@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shardloom.llm import decontaminate as dc
 from shardloom.llm.decontaminate import contaminated, lcs, uncontaminated
 from shardloom.llm.toxicity import toxicity_scores, without_toxic
@@ -145,3 +146,24 @@ def test_toxic_rows_go_by_their_text(spark):
     assert len(left) == len(rows) - toxic and toxic >= 280
     assert sum("grumblefoo" in (x or "") for x in left) <= 10
     assert without_toxic(docs.limit(0), labels).collect() == []
+
+
+def test_pipeline_stage_fits_on_all_documents(spark, tmp_path, monkeypatch):
+    """2,000 documents of 80 words and some with passages: the axes come from every passage, not from some."""
+    items, docs, want = planted(40)
+    spark.createDataFrame(items, "item_id long, text string, answer string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fitted = []
+    whole = dc.corpus_products
+
+    def products(bags, idf, passages, seed=1):
+        sizes = [len(r["sizes"]) for r in bags.select("sizes").collect()]
+        fitted.append((sum(sizes), passages))
+        return whole(bags, idf, passages, seed)
+
+    monkeypatch.setattr(dc, "corpus_products", products)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, rows, str(tmp_path)).select("doc_id").collect()}
+    passages = sum(-(-len(x.split()) // dc.LONGEST) for _, x in docs)
+    assert fitted == [(passages, passages)] and passages > 4000
+    assert not left & {i for form in ("whole", "changed") for i, _ in want[form]}
+    assert len(left & set(range(2000))) >= 1980
