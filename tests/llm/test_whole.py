@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from shardloom.llm import jaccard
 from shardloom.llm.boosting import quality_scores
 from shardloom.llm.decontaminate import BLOCK, PARAPHRASE, TERMS, Postings, _blocks, contaminated
 from shardloom.llm.mixture import mix
@@ -102,3 +103,38 @@ def test_quality_does_not_depend_on_the_cap(spark):
     for cap in (10_000, 60):
         score = quality_scores(same, labels, per_class=cap, trees=5).agg(F.avg("score")).first()[0]
         assert abs(score - 0.857) < 0.03
+
+
+def test_chance_shingles_do_not_join_unlike_documents(spark, monkeypatch):
+    """Each document shares a few rare shingles with its neighbours: none may enter the tiles for that. Near copies link."""
+    words = prose(7, 400 * 40)
+    texts = [words[i * 40 : i * 40 + 48] for i in range(399)]  # eight words of each are the next one's first
+    near = [x[:24] + ["other"] + x[25:] if i % 2 else [*x, "more"] for i, x in enumerate(texts[:60])]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts + near)]
+    tiled, whole = [], jaccard._tiled
+
+    def count(sets, block):
+        tiled.append(sets.select("k1").distinct().count())
+        return whole(sets, block)
+
+    monkeypatch.setattr(jaccard, "_tiled", count)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(jaccard.jaccard_components(docs).select("doc_id", "component_id").collect())
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts + near]
+    want = {i: i for i in range(len(sets))}
+    for i in range(60):
+        if 100 * len(sets[i] & sets[399 + i]) >= 75 * len(sets[i] | sets[399 + i]):
+            want[399 + i] = i
+    assert got == want and sum(k != v for k, v in want.items()) >= 30
+    assert tiled[0] <= 140
+
+
+def test_counts_of_all_tasks_find_frequent_shingles(spark):
+    """A passage once in each of 60 tasks is frequent, although no task sees it more than once."""
+    passage = " ".join(prose(8, 12))
+    rows = [(i, " ".join([*prose(100 + i, 30), passage])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60, "doc_id")
+    counts = jaccard._profiles(docs, 5).filter("cell IS NOT NULL")
+    found = {r["cell"]: r["n"] for r in jaccard._frequent(counts).collect()}
+    sets = jaccard._sets(next(jaccard.slices(jaccard.pa.array([passage]))), 5)[0]
+    assert len(sets) == 8 and all(found[c] >= 60 for c in jaccard._cells(sets).tolist())
