@@ -135,7 +135,7 @@ def write_arrays(store: pafs.FileSystem, path: str, arrays: dict[str, np.ndarray
 def map_arrays(store: pafs.FileSystem, path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped where the store is mounted, else read."""
     if isinstance(store, pafs.LocalFileSystem):
-        body = np.memmap(path, np.uint8, "r")
+        body = np.memmap(path, np.uint8, "r").view(np.ndarray)  # every look-up of a memmap would pass through Python
     else:
         with store.open_input_file(path) as file:
             body = np.frombuffer(file.read(), np.uint8)

@@ -91,11 +91,22 @@ def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.uint32)
 
 
+def _thin(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as compressed planes of the bytes of their differences."""
+    planes = np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
+
+
+def _wide(body: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(body, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _packed(level: int, bucket, columns) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-2))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     context, word, n = columns
-    body = [[c[a:b].tobytes() for a, b in spans] for c in (context, word)]
+    body = [[_thin(context[a:b]) if level > 1 else b"" for a, b in spans], [word[a:b].tobytes() for a, b in spans]]
     body += [list(x) for x in zip(*[[y.tobytes() for y in _small(n[a:b])] for a, b in spans], strict=True)]
     number = pa.array((bucket[cuts[:-1]].astype(np.int64) << 4) | level)
     return pa.RecordBatch.from_arrays(
@@ -177,7 +188,7 @@ class _Bucket:
         if self.level == 1:
             key = np.frombuffer(word, U)
         else:
-            key = (np.frombuffer(context, np.uint32).astype(U) << U(32)) | np.frombuffer(word, np.uint32)
+            key = (_wide(context, len(word) // 4).astype(U) << U(32)) | np.frombuffer(word, np.uint32)
         count = np.frombuffer(n, np.uint8).astype(np.int64)
         count[count == 255] = np.frombuffer(more, np.uint32)
         self.keys.append(key)
@@ -393,7 +404,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, value: int = 2, order: int = 3,
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch.column(1), 1 << 20):
+            for part in slices(batch.column(1), 1 << 21):
                 found = score_slice(trie, part)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, len(part)), *map(pa.array, found.values())],

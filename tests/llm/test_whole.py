@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from shardloom.llm import jaccard
+from shardloom.llm import jaccard, lm
 from shardloom.llm.boosting import quality_scores
 from shardloom.llm.decontaminate import BLOCK, PARAPHRASE, TERMS, Postings, _blocks, contaminated
 from shardloom.llm.mixture import mix
@@ -138,3 +138,14 @@ def test_counts_of_all_tasks_find_frequent_shingles(spark):
     found = {r["cell"]: r["n"] for r in jaccard._frequent(counts).collect()}
     sets = jaccard._sets(next(jaccard.slices(jaccard.pa.array([passage]))), 5)[0]
     assert len(sets) == 8 and all(found[c] >= 60 for c in jaccard._cells(sets).tolist())
+
+
+def test_ngram_counts_travel_thin(spark):
+    """Contexts are sent as differences: fewer bytes than the 4 of each n-gram, and the same contexts on arrival."""
+    draw = np.random.default_rng(2)
+    for x in (np.zeros(0, np.uint32), np.array([2**32 - 1], np.uint32), np.sort(draw.integers(0, 2**32, 9000).astype(np.uint32))):
+        assert (lm._wide(lm._thin(x), len(x)) == x).all()
+    docs = spark.createDataFrame([(" ".join(prose(1, 20_000)),)], "text string")
+    rows = [r for r in lm.ngram_counts(docs, 3, 4).collect() if r["bucket"] & 15 > 1]
+    sent, words = (sum(len(r[c]) for r in rows) for c in ("context", "word"))
+    assert words == 4 * sum(len(r["n"]) for r in rows) and sent < 0.85 * words
