@@ -1,7 +1,7 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Counting. Tasks sort the n-grams of a few million tokens at a time, count repetitions, and pass on
-packed arrays by bucket of the context's hash. A bucket sees all n-grams of its contexts; it merges the
+Counting. Tasks sort the n-grams of a few million tokens at a time, level by level, count repetitions, and
+pass on packed arrays by bucket of the context's hash. A bucket sees all n-grams of its contexts; it merges the
 arrays as they come, so that it holds distinct n-grams, not all arrays of a frequent context. All n-grams
 are kept, those seen once as well, unless ``least`` says otherwise. Contexts are told apart by the bucket and
 32 more bits of their hash.
@@ -11,7 +11,8 @@ context hashes as such a sequence, the monotone pointers from contexts to their
 and the successors of each context as sorted 32-bit word hashes with one byte per probability (logarithm,
 in sixteenths of a power of two) and one byte per context for its back-off weight. Levels are cut into
 shards by context hash, each merged and written by one task, some four million tokens of text to a shard, and mapped by the
-scoring workers, which search a context and then, within its range, the successor.
+scoring workers; a shard keeps its hashes without the bits that all of them share. A worker seeks each
+distinct context of a slice and then, within its range, each distinct successor, both in the order of the trie.
 
 Smoothing is absolute discounting, interpolated: p(w|c) = max(n(cw) - d, 0) / n(c) + b(c) p(w|shorter c),
 where b(c) is the rest of the mass; words have p(w) = (n(w) + 1) / (N + V + 1).
@@ -33,14 +34,15 @@ from .elias_fano import EliasFano, build, map_arrays, write_arrays
 from .stats import fold
 from .tables import parts, remainder
 from .tokens import store_of
-from .words import PLACE, U, mix, slices, sums
+from .words import PLACE, U, mix, ragged, slices, sums
 
 END = mix(np.array([0x0E0D], U))[0]
 START = mix(np.array([0x57A7], U))[0]
 BUCKET_TOKENS = 1 << 19
-CHUNK = 1 << 21  # n-grams that a counting task sorts at a time
+CHUNK = 1 << 22  # tokens whose n-grams a counting task sorts at a time
 SHARD = 1 << 22  # tokens of text for each shard of a level
 MERGE = 1 << 22  # counts that wait to be merged
+MANY = 12  # words sought after one context from which on it is searched by itself
 
 
 @dataclass(frozen=True)
@@ -92,21 +94,25 @@ def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _thin(x: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as compressed planes of the bytes of their differences."""
-    planes = np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T
+    """Ascending numbers as compressed planes of the bytes of their differences."""
+    planes = np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T
     return pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
 
 
-def _wide(body: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(body, 4 * n, "zstd"), np.uint8).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+def _wide(body: bytes, n: int, kind: type = np.uint32) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(body, width * n, "zstd"), np.uint8).reshape(width, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 def _packed(level: int, bucket, columns) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-2))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     context, word, n = columns
-    body = [[_thin(context[a:b]) if level > 1 else b"" for a, b in spans], [word[a:b].tobytes() for a, b in spans]]
+    if level == 1:
+        body = [[b""] * len(spans), [_thin(word[a:b]) for a, b in spans]]
+    else:
+        body = [[_thin(context[a:b]) for a, b in spans], [word[a:b].tobytes() for a, b in spans]]
     body += [list(x) for x in zip(*[[y.tobytes() for y in _small(n[a:b])] for a, b in spans], strict=True)]
     number = pa.array((bucket[cuts[:-1]].astype(np.int64) << 4) | level)
     return pa.RecordBatch.from_arrays(
@@ -117,40 +123,34 @@ def _packed(level: int, bucket, columns) -> pa.RecordBatch:
 def ngram_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """Packed counts of one chunk of tokens after another, by ``bucket`` (number and level)."""
 
-    def run(batches):
-        kept: list[list[tuple]] = [[] for _ in range(order)]
-        held = 0
-
-        def flush():
-            for level in range(1, order + 1):
-                if level == 1:
-                    word = np.sort(np.concatenate([x[0] for x in kept[0]]))
-                    new = np.ones(len(word), bool)
-                    new[1:] = word[1:] != word[:-1]
-                    at = np.flatnonzero(new)
-                    n = np.diff(np.append(at, len(word))).astype(np.uint32)
-                    word = word[at]
-                    bucket = (word >> U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(word), np.uint32)
-                    yield _packed(1, bucket, (np.zeros(len(word), "V0"), word, n))
-                else:
-                    context, word = (np.concatenate(x) for x in zip(*kept[level - 1], strict=True))
-                    bucket, key, n = _count(context, word, bits)
-                    yield _packed(
-                        level, bucket, ((key >> U(32)).astype(np.uint32), key.astype(np.uint32), n)
-                    )
+    def flush(kept):
+        tokens = np.concatenate([x for x, _ in kept])
+        first = sums(np.array([len(x) for x, _ in kept]))
+        bounds = np.append(np.concatenate([b[:-1] + n for (_, b), n in zip(kept, first, strict=False)]), len(tokens))
+        kept.clear()
+        word = np.sort(tokens)
+        new = np.ones(len(word), bool)
+        new[1:] = word[1:] != word[:-1]
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(word))).astype(np.uint32)
+        word = word[at]
+        bucket = (word >> U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(word), np.uint32)
+        yield _packed(1, bucket, (np.zeros(len(word), "V0"), word, n))
+        for level in range(2, order + 1):  # one level's contexts at a time
+            bucket, key, n = _count(contexts(tokens, bounds, level), tokens, bits)
+            yield _packed(level, bucket, ((key >> U(32)).astype(np.uint32), key.astype(np.uint32), n))
 
+    def run(batches):
+        kept, held = [], 0
         for batch in batches:
             for part in slices(batch.column(0), 1 << 20):
-                tokens, bounds = token_hashes(part)
-                kept[0].append((tokens,))
-                for level in range(2, order + 1):
-                    kept[level - 1].append((contexts(tokens, bounds, level), tokens))
-                held += len(tokens)
+                kept.append(token_hashes(part))
+                held += len(kept[-1][0])
                 if held > CHUNK:
-                    yield from flush()
-                    kept, held = [[] for _ in range(order)], 0
+                    yield from flush(kept)
+                    held = 0
         if held:
-            yield from flush()
+            yield from flush(kept)
 
     return docs.select("text").mapInArrow(
         run, "bucket long, context binary, word binary, n binary, more binary"
@@ -186,9 +186,9 @@ class _Bucket:
 
     def add(self, context: bytes, word: bytes, n: bytes, more: bytes) -> None:
         if self.level == 1:
-            key = np.frombuffer(word, U)
+            key = _wide(word, len(n), U)
         else:
-            key = (_wide(context, len(word) // 4).astype(U) << U(32)) | np.frombuffer(word, np.uint32)
+            key = (_wide(context, len(n)).astype(U) << U(32)) | np.frombuffer(word, np.uint32)
         count = np.frombuffer(n, np.uint8).astype(np.int64)
         count[count == 255] = np.frombuffer(more, np.uint32)
         self.keys.append(key)
@@ -226,7 +226,8 @@ class _Bucket:
 
 def _write(counts: DataFrame, trie: Trie, least: int, discount: float) -> DataFrame:
     """Merges and writes the shards, each in one task from its buckets in order; a row per shard."""
-    shift = trie.bits - (trie.shards[0] - 1).bit_length()
+    bits = (trie.shards[0] - 1).bit_length()
+    shift = trie.bits - bits
     level = F.expr("bucket & 15")
     rows = counts.withColumn("shard", F.expr(f"shiftleft(shiftright(bucket, 4 + {shift}), 4)") + level)
     names = ["level", "shard", "kept", "words", "tokens"]
@@ -238,7 +239,9 @@ def _write(counts: DataFrame, trie: Trie, least: int, discount: float) -> DataFr
         def finished():
             level = shard & 15
             parts = {k: np.concatenate([x[k] for x in pieces]) for k in pieces[0]}
-            sequences = {"key": parts.pop("key")}
+            parts["base"] = np.array([(shard >> 4) << (64 - bits) if bits else 0], U)
+            keys = parts.pop("key")
+            sequences = {"key": keys - (parts["base"] if level == 1 else parts["base"] >> U(32 - trie.bits))}
             if level > 1:
                 sequences["pointer"] = sums(parts.pop("length").astype(np.int64)).astype(U)
             for name, values in sequences.items():
@@ -309,54 +312,73 @@ class _Level:
             self.shards.append((sequences, arrays))
 
     def _by_shard(self, hashes: np.ndarray):
-        if len(self.shards) == 1:
-            groups = [(0, np.arange(len(hashes)))]
-        elif self.shards:
-            shard = (hashes >> U(64 - (len(self.shards) - 1).bit_length())).astype(np.int64)
-            groups = [(i, np.flatnonzero(shard == i)) for i in range(len(self.shards))]
-        else:
-            groups = []
-        return [(*self.shards[i], at) for i, at in groups if len(at) and self.shards[i]]
+        """The shards of ascending ``hashes``, what lies before their keys, and the range of the hashes of each."""
+        bits = (len(self.shards) - 1).bit_length()
+        first = np.arange(len(self.shards), dtype=U) << U(64 - bits) if bits else np.zeros(len(self.shards), U)
+        cuts = [*np.searchsorted(hashes, first).tolist(), len(hashes)]
+        for i, held in enumerate(self.shards):
+            if held and cuts[i] < cuts[i + 1]:
+                yield *held, cuts[i], cuts[i + 1]
 
     def counts(self, words: np.ndarray) -> np.ndarray:
+        """Counts of ascending hashes of words."""
         out = np.zeros(len(words), np.int64)
-        for sequences, arrays, at in self._by_shard(words):
-            found = sequences["key"].find(words[at])
-            hit = found >= 0
-            out[at[hit]] = arrays["count"][found[hit]]
+        for sequences, arrays, a, b in self._by_shard(words):
+            found = sequences["key"].find(words[a:b] - arrays["base"])
+            hit = np.flatnonzero(found >= 0)
+            out[a + hit] = arrays["count"][found[hit]]
         return out
 
-    def look_up(self, context: np.ndarray, word: np.ndarray):
-        """Share of the word after the context, and the weight of the shorter context."""
-        share, weight = np.zeros(len(word)), np.ones(len(word))
+    def look_up(self, context: np.ndarray, word: np.ndarray, words: np.ndarray):
+        """Share of the word after the context, and the weight of the shorter context.
+
+        ``word`` are places in the ascending ``words``. Each pair is sought once, in the order of the trie.
+        """
         distinct, of = np.unique(context >> U(32 - self.bits), return_inverse=True)
-        for sequences, arrays, at in self._by_shard(distinct << U(32 - self.bits)):
-            found = sequences["key"].find(distinct[at])
-            at, found = at[found >= 0], found[found >= 0]
-            if not len(at):
-                continue
-            lo, hi = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-            lo[at] = sequences["pointer"].get(found)
-            hi[at] = sequences["pointer"].get(found + 1)
-            back = np.zeros(len(distinct))
-            back[at] = DECODE[arrays["weight"][found]]
-            rows = np.flatnonzero(hi[of] > lo[of])
-            weight[rows] = back[of[rows]]
-            # The successor among those of its own context.
-            want = (word[rows] >> U(32)).astype(np.uint32)
-            a, b = lo[of[rows]], hi[of[rows]]
-            end = b.copy()
-            live = np.arange(len(rows))
-            while len(live):
-                mid = (a[live] + b[live]) >> 1
-                less = arrays["word"][mid] < want[live]
-                a[live[less]] = mid[less] + 1
-                b[live[~less]] = mid[~less]
-                live = live[a[live] < b[live]]
-            hit = a < end
-            hit[hit] = arrays["word"][a[hit]] == want[hit]
-            share[rows[hit]] = DECODE[arrays["value"][a[hit]]]
-        return share, weight
+        room = max(1, (len(words) - 1).bit_length())
+        pair, of_pair = np.unique((of << room) | word, return_inverse=True)
+        of, want = pair >> room, (words >> U(32)).astype(np.uint32)[pair & ((1 << room) - 1)]
+        share, weight = np.zeros(len(pair)), np.ones(len(distinct))
+        first = np.searchsorted(of, np.arange(len(distinct) + 1))
+        for sequences, arrays, begin, stop in self._by_shard(distinct << U(32 - self.bits)):
+            found = sequences["key"].find(distinct[begin:stop] - (arrays["base"] >> U(32 - self.bits)))
+            at = np.flatnonzero(found >= 0)
+            found = found[at]
+            at += begin
+            weight[at] = DECODE[arrays["weight"][found]]
+            lo, hi = (x.astype(np.int64) for x in sequences["pointer"].pairs(found))
+            each = first[at + 1] - first[at]
+            rows = ragged(first[at], each)
+            place = _among(arrays["word"], lo, hi, want[rows], each)
+            hit = np.flatnonzero(place >= 0)
+            share[rows[hit]] = DECODE[arrays["value"][place[hit]]]
+        return share[of_pair], weight[of][of_pair]
+
+
+def _among(held: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Places of ``want`` in ``held``, -1 where it does not occur: the first ``each[0]`` are sought in the sorted
+    range from ``lo[0]`` to ``hi[0]``, the next ``each[1]`` in the next range."""
+    own = np.repeat(np.arange(len(each)), each)
+    a, end = lo[own], hi[own]
+    b, bounds = end.copy(), sums(each)
+    many = each >= MANY
+    for g in np.flatnonzero(many).tolist():
+        at = slice(bounds[g], bounds[g + 1])
+        a[at] += held[lo[g] : hi[g]].searchsorted(want[at])
+    live = np.flatnonzero(~many[own] & (a < b))
+    while len(live):
+        low, high = a[live], b[live]
+        mid = (low + high) >> 1
+        less = held[mid] < want[live]
+        low = np.where(less, mid + 1, low)
+        high = np.where(less, high, mid)
+        a[live], b[live] = low, high
+        live = live[low < high]
+    out = np.full(len(a), -1, np.int64)
+    inside = np.flatnonzero(a < end)
+    hit = inside[held[a[inside]] == want[inside]]
+    out[hit] = a[hit]
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -375,7 +397,7 @@ def score_slice(trie: Trie, part) -> dict[str, np.ndarray]:
     open_ = np.arange(len(tokens))  # tokens whose longer contexts may be known
     for level in levels[1:]:
         context = contexts(tokens, bounds, level.level)[open_]
-        share, weight = level.look_up(context, tokens[open_])
+        share, weight = level.look_up(context, of[open_], distinct)
         p[open_] = share + weight * p[open_]
         open_ = open_[share > 0] if level.level > 2 else open_
     total = [sums(np.log10(x)) for x in (base, p)]
