@@ -34,12 +34,13 @@ from .elias_fano import EliasFano, build, map_arrays, write_arrays
 from .stats import fold
 from .tables import parts, remainder
 from .tokens import store_of
-from .words import PLACE, U, mix, ragged, slices, sums
+from .words import PLACE, U, give_back, mix, ragged, slices, sums
 
 END = mix(np.array([0x0E0D], U))[0]
 START = mix(np.array([0x57A7], U))[0]
 BUCKET_TOKENS = 1 << 19
 CHUNK = 1 << 22  # tokens whose n-grams a counting task sorts at a time
+RANGES = 3  # bits of a context's hash by which a chunk is parted before it is sorted
 SHARD = 1 << 22  # tokens of text for each shard of a level
 MERGE = 1 << 22  # counts that wait to be merged
 MANY = 12  # words sought after one context from which on it is searched by itself
@@ -136,9 +137,17 @@ def ngram_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
         word = word[at]
         bucket = (word >> U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(word), np.uint32)
         yield _packed(1, bucket, (np.zeros(len(word), "V0"), word, n))
-        for level in range(2, order + 1):  # one level's contexts at a time
-            bucket, key, n = _count(contexts(tokens, bounds, level), tokens, bits)
-            yield _packed(level, bucket, ((key >> U(32)).astype(np.uint32), key.astype(np.uint32), n))
+        del word, new, at, n, bucket
+        context = None
+        for level in range(2, order + 1):  # contexts of a level at a time, sorted in ranges of their hashes
+            context = contexts(tokens, bounds, level)
+            for i in range(1 << RANGES):
+                own = np.flatnonzero(context >> U(64 - RANGES) == U(i))
+                if len(own):
+                    bucket, key, n = _count(context[own], tokens[own], bits)
+                    yield _packed(level, bucket, ((key >> U(32)).astype(np.uint32), key.astype(np.uint32), n))
+        del context, tokens
+        give_back()
 
     def run(batches):
         kept, held = [], 0
