@@ -114,6 +114,56 @@ def test_draws_are_spread(spark):
     assert len(times) == 40 and sum(times) == 8000 and 140 < min(times) and max(times) < 260
 
 
+def test_many_draws_go_to_all_tasks_once(spark):
+    """Draws of participants that lie in one file, more than a broadcast takes: none is repeated to meet the samples."""
+    samples = spark.range(1500).selectExpr("id * 3 AS sample_id", "id AS label")
+    people = spark.range(0, 100, 1, 1).select(F.col("id").alias("participant_id"))
+    got = C.sample_per_participant(samples, people, 1200, seed=4)
+    assert got.columns == ["sample_id", "label", "participant_id", "draw"]
+    assert "salt" not in got._jdf.queryExecution().analyzed().toString()
+    per = got.groupBy("participant_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("ids"), F.countDistinct("draw").alias("draws"),
+        F.max("draw").alias("last"), F.sum((F.col("sample_id") != 3 * F.col("label")).cast("int")).alias("wrong"),
+    ).collect()
+    assert len(per) == 100 and {tuple(r)[1:] for r in per} == {(1200, 1200, 1200, 1200, 0)}
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_draws_of_repeated_and_null_ids(spark):
+    """A draw of a repeated id gives all its rows, one of a null id none; a null participant draws by its own key."""
+    samples = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "sample_id LONG, label STRING")
+    people = spark.createDataFrame([(7,), (None,)], "participant_id INT")
+    got = C.sample_per_participant(samples, people, 4).select("participant_id", "sample_id", "label").collect()
+    each = [(1, "a"), (1, "a"), (1, "b"), (1, "b"), (2, "d")]
+    assert sorted(map(tuple, got), key=repr) == sorted([(p, *x) for p in (7, None) for x in each], key=repr)
+
+
+@pytest.mark.parametrize("n", [12, 1000])
+def test_permutation_by_hand(spark, n):
+    """Each place as a plain loop of one md5 a round sends it; null places stay null, a null key leaves no bar."""
+    from hashlib import md5
+    from math import ceil, isqrt
+
+    from shardloom.functions.random import permuted
+
+    a = isqrt(n - 1) + 1
+    b = ceil(n / a)
+
+    def sent(x, key):
+        l, r = divmod(x, b)
+        for i in range(4):
+            text = "|".join([*key, str(i), str(l if i % 2 else r), "5"])
+            h = int(md5(text.encode()).hexdigest()[:8], 16)
+            l, r = (l, (r + h) % b) if i % 2 else ((l + h) % a, r)
+        return l * b + r if l * b + r < n else sent(l * b + r, key)
+
+    keys = spark.createDataFrame([("x", 1), (None, 2), (None, None)], "p STRING, q INT")
+    places = spark.range(n).selectExpr("id").union(spark.sql("SELECT CAST(NULL AS BIGINT) AS id"))
+    got = places.crossJoin(keys).select("id", "p", "q", permuted(F.col("id"), n, F.col("p"), F.col("q"), seed=5).alias("to"))
+    for x, p, q, to in got.collect():
+        assert to == (None if x is None else sent(x, [str(k) for k in (p, q) if k is not None]))
+
+
 def updates(spark, data):
     return spark.createDataFrame(
         data,
