@@ -149,3 +149,20 @@ def test_ngram_counts_travel_thin(spark):
     rows = [r for r in lm.ngram_counts(docs, 3, 4).collect() if r["bucket"] & 15 > 1]
     sent, words = (sum(len(r[c]) for r in rows) for c in ("context", "word"))
     assert words == 4 * sum(len(r["n"]) for r in rows) and sent < 0.85 * words
+
+
+def test_shingles_that_occur_once_are_not_counted_together(spark):
+    """Of two million shingles the eight of a passage in 30 tasks are frequent, and no cell that others share by chance."""
+    passage = " ".join(prose(8, 12))
+    draw = np.random.default_rng(3)
+    texts = [" ".join(map(str, draw.integers(0, 1 << 40, 70_000).tolist())) + f" {passage}" for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30, "doc_id")
+    rows = jaccard._profiles(docs, 5)
+    counts = rows.filter("cell IS NOT NULL")
+    found = {r["cell"]: r["n"] for r in jaccard._frequent(counts).collect()}
+    sets = jaccard._sets(next(jaccard.slices(jaccard.pa.array([passage]))), 5)[0]
+    own = set(jaccard._cells(sets).tolist())
+    assert all(found[c] in (30, 31) for c in own) and len(found) <= len(own) + 3
+    assert counts.agg(F.sum("n")).first()[0] == rows.filter("cell IS NULL").agg(F.sum("n")).first()[0] > 2_000_000
+    levels = jaccard._Levels(np.array(sorted(found), np.int32), np.array([found[c] for c in sorted(found)], np.int32))
+    assert (levels.of(sets) >= 30).all() and not levels.of(jaccard.mix(sets)).any()
