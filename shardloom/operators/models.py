@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,22 +197,79 @@ def check_labels(spec: ModelSpec, y: np.ndarray) -> None:
         raise ValueError(f"label outside 0..{spec.n_classes - 1}")
 
 
+# Bytes of a unit's samples, or of their order, beyond which they lie in a file.
+IN_MEMORY = 64 << 20
+# Rows that are taken in an epoch's order at once, whole mini-batches.
+GATHERED = 1 << 16
+
+
+class Rows:
+    """A unit's samples as they come: in memory while they are few, else in files without a name in the
+    worker's temporary folder, which end with it. Files are mapped, so the system holds of them what fits."""
+
+    def __init__(self, n_features: int):
+        self.n_features, self.held, self.bytes, self.n = n_features, [], 0, 0
+        self.files = None
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.held.append((x, y))
+        self.bytes += x.nbytes + y.nbytes
+        self.n += len(y)
+        if self.bytes > IN_MEMORY:
+            self.files = self.files or (tempfile.TemporaryFile(), tempfile.TemporaryFile())
+            self.kind = y.dtype
+            for arrays in self.held:
+                for file, array in zip(self.files, arrays, strict=True):
+                    file.write(np.ascontiguousarray(array).data)
+            self.held, self.bytes = [], 0
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.files is None:
+            if not self.held:
+                return np.empty((0, self.n_features)), np.empty(0, np.int64)
+            return tuple(np.concatenate(a) for a in zip(*self.held, strict=True))
+        for x, y in self.held:
+            self.files[0].write(np.ascontiguousarray(x).data)
+            self.files[1].write(np.ascontiguousarray(y).data)
+        self.held = []
+        shapes = ((np.float64, (self.n, self.n_features)), (self.kind, (self.n,)))
+        for file in self.files:
+            file.flush()
+        return tuple(np.asarray(np.memmap(f, t, "r", shape=s)) for f, (t, s) in zip(self.files, shapes, strict=True))
+
+
+def permutation(rng, n: int) -> np.ndarray:
+    """``rng.permutation(n)``; of many rows in a mapped file."""
+    if 8 * n <= IN_MEMORY:
+        return rng.permutation(n)
+    with tempfile.TemporaryFile() as file:
+        order = np.asarray(np.memmap(file, np.uint32 if n < 1 << 32 else np.int64, "w+", shape=(n,)))
+    for a in range(0, n, GATHERED):
+        order[a : a + GATHERED] = np.arange(a, min(n, a + GATHERED))
+    rng.shuffle(order)
+    return order
+
+
 def train(
     spec: ModelSpec, cfg: TrainConfig, lr: float, start: np.ndarray, x: np.ndarray, y: np.ndarray, seed,
     orders: list[np.ndarray] | None = None,
 ) -> tuple[np.ndarray, list[float]]:
     """Epochs of shuffled mini-batches; weights and mean batch loss per epoch.
 
-    ``orders`` has the order of the rows for each epoch; without it they are permuted by ``seed``.
+    ``orders`` has the order of the rows for each epoch; without it they are permuted by ``seed``. Rows are
+    taken in that order some mini-batches at a time, so ``x`` and ``y`` may be mapped files.
     """
     check_labels(spec, y)
     rng = np.random.default_rng(seed)
     model = Descent(spec, cfg, lr, start, rng)
     epoch_losses = []
     for epoch in range(cfg.epochs):
-        order, losses = rng.permutation(len(y)) if orders is None else orders[epoch], []
-        xs, ys = x[order], y[order]
-        for at in range(0, len(y), cfg.batch):
-            losses.append(model.step(xs[at : at + cfg.batch], ys[at : at + cfg.batch]))
+        order, losses = permutation(rng, len(y)) if orders is None else orders[epoch], []
+        taken = cfg.batch * max(1, GATHERED // cfg.batch)
+        for first in range(0, len(y), taken):
+            some = order[first : first + taken]
+            xs, ys = x[some], y[some]
+            for at in range(0, len(ys), cfg.batch):
+                losses.append(model.step(xs[at : at + cfg.batch], ys[at : at + cfg.batch]))
         epoch_losses.append(float(np.mean(losses)))
     return model.w, epoch_losses

@@ -15,7 +15,7 @@ from ..functions.random import order_key
 from ..functions.rates import lr_at
 from ..functions.vectors import vector_norm
 from ..schemas import UNITS, UPDATES
-from .models import Descent, ModelSpec, TrainConfig, check_labels, matrix, train
+from .models import Descent, ModelSpec, Rows, TrainConfig, check_labels, matrix, train
 from .positions import hashed_cell, with_position
 from .sharding import with_equal_units, with_unit
 
@@ -35,6 +35,9 @@ def train_units(
     """Train every (shard, unit) group of ``samples`` from the same model. ``by`` may name, after
     these two, a column that a unit determines and by which the samples are laid out.
 
+    ``samples`` may be ``packed``, with the blocks of a unit one after another in a partition: then a unit
+    of any size passes through its task, and its samples lie in files while it is trained.
+
     ``on_failure="capture"`` turns an exception into a row with status
     ``failed``; ``"raise"`` lets Spark retry the task.
     """
@@ -48,22 +51,14 @@ def train_units(
     lr = lr_at(round_no, cfg.lr, cfg.lr_gamma, cfg.lr_step)
     schema = to_arrow_schema(UNITS)
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        shard, unit = key[0].as_py(), key[1].as_py()
+    def update(shard, unit, load) -> pa.Table:
         row = {
             "round": round_no, "shard_id": shard, "unit": unit, "n_samples": 0,
             "status": "failed", "error": None, "avg_loss": None, "lr": lr,
             "epoch_losses": None, "weights": None,
         }
         try:
-            ids = group["sample_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x = matrix(group["features"], spec.n_features)[order]
-            y = group["label"].to_numpy()[order]
-            orders = None
-            if cfg.order == "keyed":
-                keys = matrix(group["keys"], cfg.epochs, np.int64)[order]
-                orders = [np.argsort(k, kind="stable") for k in keys.T]
+            x, y, orders = load()
             w, losses = train(spec, cfg, lr, shared.value, x, y, _seed(cfg, round_no, shard, unit), orders)
             if not np.isfinite(w).all():
                 raise FloatingPointError("training diverged")
@@ -77,12 +72,93 @@ def train_units(
             row["error"] = f"{type(e).__name__}: {e}"
         return pa.Table.from_pylist([row], schema=schema)
 
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        def load():
+            ids = group["sample_id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            x = matrix(group["features"], spec.n_features)[order]
+            y = group["label"].to_numpy()[order]
+            orders = None
+            if cfg.order == "keyed":
+                keys = matrix(group["keys"], cfg.epochs, np.int64)[order]
+                orders = [np.argsort(k, kind="stable") for k in keys.T]
+            return x, y, orders
+
+        return update(key[0].as_py(), key[1].as_py(), load)
+
+    def stream(batches):
+        now, rows, error = None, None, None
+
+        def load():
+            if error is not None:
+                raise ValueError(error)
+            return *rows.arrays(), None
+
+        for batch in batches:
+            shards, units, counts, errors, kinds = (
+                batch.column(c).to_pylist() for c in ("shard_id", "unit", "n", "error", "kind")
+            )
+            for i, own in enumerate(zip(shards, units, strict=True)):
+                if own != now:
+                    if now is not None:
+                        yield from update(*now, load).to_batches()
+                    now, rows, error = own, Rows(spec.n_features), None
+                error = error or errors[i]
+                if error is None:
+                    n, width = counts[i], 8 * spec.n_features
+                    body = pa.decompress(batch.column("body")[i].as_buffer(), n * (width + np.dtype(kinds[i]).itemsize), "zstd")
+                    x = np.frombuffer(body, np.float64, n * spec.n_features).reshape(n, spec.n_features)
+                    rows.add(x, np.frombuffer(body, kinds[i], n, n * width))
+        if now is not None:
+            yield from update(*now, load).to_batches()
+
+    if "body" in samples.columns:
+        if cfg.order == "keyed":
+            raise ValueError("packed samples have no keys")
+        return samples.select(*BLOCKS).mapInArrow(stream, UNITS)
     columns = samples.select(*by, "sample_id", "features", "label")
     if cfg.order == "keyed":
         columns = columns.withColumn("keys", F.array(*[_epoch_key(cfg, round_no, e) for e in range(cfg.epochs)]))
     return columns.groupBy(*by).applyInArrow(run, UNITS)
 
 
+# Columns of packed samples, besides what they are laid out by.
+BLOCKS = ["shard_id", "unit", "n", "error", "kind", "body"]
+
+
+def packed(samples: DataFrame, spec: ModelSpec, by: str) -> DataFrame:
+    """Samples that lie unit by unit, as compressed blocks of a unit: ``n`` rows of features, then their labels of
+    type ``kind``. ``by`` is a column that names the unit. A block that cannot be trained on has an ``error``."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(by).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part, error, kind, body = batch.slice(a, b - a), None, None, None
+                try:
+                    x = matrix(part.column("features"), spec.n_features)
+                    y = part.column("label").to_numpy(zero_copy_only=False)
+                    if y.dtype.kind not in "iu":
+                        raise ValueError("a label is missing or no whole number")
+                    body, kind = pa.compress(x.tobytes() + y.tobytes(), "zstd", asbytes=True), y.dtype.str
+                except ValueError as e:
+                    error = str(e)
+                one = [part.column(c).slice(0, 1) for c in names[:3]]
+                yield pa.RecordBatch.from_arrays(
+                    [*one, pa.array([b - a]), pa.array([error], pa.string()), pa.array([kind], pa.string()),
+                     pa.array([body], pa.binary())],
+                    [*names[:3], *BLOCKS[2:]],
+                )
+
+    names = ["shard_id", "unit", by, "features", "label"]
+    fields = [f"{c} {samples.schema[c].dataType.simpleString()}" for c in names[:3]]
+    schema = ", ".join([*fields, "n long, error string, kind string, body binary"])
+    return samples.select(*names).mapInArrow(run, schema)
+
+
 def _seed(cfg: TrainConfig, round_no: int, shard, unit: int) -> list[int]:
     return [cfg.seed, round_no, zlib.crc32(f"{shard}|{unit}".encode())]
 

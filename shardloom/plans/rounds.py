@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluation import evaluate_model
 from ..operators.joins import BROADCAST_ROWS
 from ..operators.models import ModelSpec, TrainConfig
-from ..operators.training import train_units
+from ..operators.training import packed, train_units
 from ..schemas import LEDGER
 from ..sources.checkpoints import save_checkpoint
 from ..sources.ledgers import append_ledger
@@ -22,6 +22,8 @@ from .journal import Journal, model_table, shard_status, status_events
 
 # Up to so many units for each shuffle partition every unit has a task of its own.
 UNITS_PER_PARTITION = 16
+# Feature values of a test set up to which it is kept on the executors.
+HELD_VALUES = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -60,8 +62,8 @@ def run_rounds(
 ) -> RoundResult:
     """Distribute, train per shard, check the quorum, average, evaluate, log.
 
-    The sharded samples are laid out once by unit and kept on the executors; every round trains on them
-    where they lie. Shards and their outages stay tables: what comes back to the driver in a round is the
+    The sharded samples are laid out once by unit and kept on the executors, compressed; every round trains on them
+    where they lie, and a unit of any size passes through its task (with ``order="keyed"`` a task must hold its unit). Shards and their outages stay tables: what comes back to the driver in a round is the
     averaged model and two counts. Averaging units by their sample counts equals averaging shards by theirs,
     since a shard's update is the weighted mean of its units; a shard with a failed unit is left out.
 
@@ -81,12 +83,10 @@ def run_rounds(
         weights = journal.model(cfg.spec, first)
     shards = _shards(samples, cfg).persist(StorageLevel.MEMORY_AND_DISK)  # a row per shard
     laid_out, parts, n_shards = _laid_out(samples, shards, cfg)
-    # Even tasks for every evaluation, whatever files the test set came in.
-    held_out = (
-        test.select("sample_id", "features", "label")
-        .repartition(parts, "sample_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    held_out = test.select("sample_id", "features", "label")
+    if held_out.count() * cfg.spec.n_features <= HELD_VALUES:
+        # Even tasks for every evaluation, whatever files the test set came in. A larger one is read anew.
+        held_out = held_out.repartition(parts, "sample_id").persist(StorageLevel.MEMORY_AND_DISK)
     short = set()  # rounds with an outage; which shards are away stays a table
     if outages is not None:
         of_run = outages.filter(F.col("round").between(first, last))
@@ -143,7 +143,8 @@ def _shards(samples: DataFrame, cfg: RoundConfig) -> DataFrame:
 
 
 def _laid_out(samples: DataFrame, shards: DataFrame, cfg: RoundConfig) -> tuple[DataFrame, int, int]:
-    """Samples with their unit, cached so that a unit lies in one partition; partitions; shards.
+    """Samples with their unit, packed in the order of their ids and cached so that a unit lies in one
+    partition; partitions; shards.
 
     While units are few each has a partition of its own, where hashes of few keys would collide and leave
     tasks idle. Many units are spread by hash.
@@ -162,7 +163,10 @@ def _laid_out(samples: DataFrame, shards: DataFrame, cfg: RoundConfig) -> tuple[
         dealt = rows.repartitionById(max(1, n_units), F.col("slot"))
     else:
         dealt = rows.repartition(parts, "slot")
-    dealt = dealt.sortWithinPartitions("shard_id", "unit", "slot")
+    if cfg.train.order == "keyed":
+        dealt = dealt.sortWithinPartitions("shard_id", "unit", "slot")
+    else:
+        dealt = packed(dealt.sortWithinPartitions("slot", F.col("sample_id").asc_nulls_last()), cfg.spec, "slot")
     return dealt.persist(StorageLevel.MEMORY_AND_DISK), parts, n_shards
 
 

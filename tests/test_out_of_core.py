@@ -79,3 +79,68 @@ def test_no_rows_and_no_shard(spark, samples):
     lost = samples.withColumn("shard_id", F.when(F.col("shard_id") > 0, F.col("shard_id")))
     got = collect(E.train_stream(lost, spec, cfg))
     assert None in got and got[None]["n_samples"] == 1000 and 0 not in got
+
+
+def test_an_epoch_does_not_copy_the_unit():
+    """Training holds an order and some mini-batches of it besides the samples, not all of them once more."""
+    import tracemalloc
+
+    from shardloom.operators.models import train
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(400_000, 4)), rng.integers(0, 3, 400_000)
+    spec, cfg = ModelSpec(4, 3), TrainConfig(epochs=1, batch=256)
+    tracemalloc.start()
+    got, losses = train(spec, cfg, 0.1, spec.initial(), x, y, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6 < x.nbytes + y.nbytes
+    order = np.random.default_rng(5).permutation(len(y))  # as a whole
+    want, same = train(spec, cfg, 0.1, spec.initial(), x, y, 5, [order])
+    assert (got == want).all() and losses == same
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 5000])
+def test_rows_beyond_memory_lie_in_files(monkeypatch, n):
+    from shardloom.operators import models
+
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=(n, 4)), rng.integers(0, 3, n).astype(np.int32)
+    found = []
+    for most in (models.IN_MEMORY, 1000):
+        monkeypatch.setattr(models, "IN_MEMORY", most)
+        rows = models.Rows(4)
+        for a in range(0, n, 17):
+            rows.add(x[a : a + 17], y[a : a + 17])
+        assert (rows.files is None) == (n < 40 or most > 1000)
+        a, b = rows.arrays()
+        assert (a == x).all() and (b == y).all() and len(b) == n
+        found.append(models.permutation(np.random.default_rng(2), n))
+    assert (found[0] == found[1]).all()
+
+
+@pytest.mark.parametrize("kind", ["softmax", "mlp"])
+@pytest.mark.parametrize("most, arrow", [(64 << 20, 10_000), (2000, 70)])
+def test_rounds_train_units_as_they_pass(spark, samples, monkeypatch, kind, most, arrow):
+    """A round gives the mean of the shards' own models, with units in memory or in files, in small Arrow batches
+    or large; a unit with a vector too short, a label missing or out of range fails its shard, and only that."""
+    from shardloom.operators import models
+    from shardloom.plans.rounds import RoundConfig, run_rounds
+
+    monkeypatch.setattr(models, "IN_MEMORY", most)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrow)
+    label = F.when(F.col("sample_id") == 4, 7).when(F.col("sample_id") != 7, F.col("label"))
+    short = F.when(F.col("sample_id") == 5, F.array(F.lit(1.0))).otherwise(F.col("features"))
+    bad = samples.withColumn("label", label).withColumn("features", short)
+    spec, cfg = ModelSpec(4, 3, kind, hidden=8), TrainConfig(epochs=2)
+    try:
+        got = run_rounds(bad, samples, RoundConfig(spec, cfg, 1))
+    finally:
+        spark.conf.set(name, before)
+    own = [r for s, r in collect(E.train_local(samples, spec, cfg)).items() if s not in (4, 5, 7)]
+    want = np.average([r["weights"] for r in own], axis=0, weights=[r["n_samples"] for r in own])
+    assert np.allclose(got.weights, want, rtol=1e-10, atol=1e-12)
+    row = got.ledger.first()
+    assert (row["active"], row["failed"]) == (25, 3)
